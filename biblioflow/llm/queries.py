@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from biblioflow.llm import lookalikes as lk
 from biblioflow.llm import survivors as sv
 from biblioflow.session import table
 
@@ -42,3 +43,21 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_golden_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One surviving record per group: each field's value and the record it came from."""
     return _p1_best(spark, sf_dir).select("group_key", "group_id", *(c for f in P1_FIELDS for c in (F.col(f"{f}.value").alias(f), F.col(f"{f}.id").alias(f"{f}_from"))))
+
+
+def _p3_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    books = table(spark, sf_dir, "books")
+    fields = F.array(F.struct(F.lit("title").alias("field_name"), F.array("title").alias("texts")), F.struct(F.lit("series").alias("field_name"), F.array("series").alias("texts")), F.struct(F.lit("authors").alias("field_name"), F.col("authors").alias("texts")))
+    return books.select("id", F.explode(fields).alias("f")).select(F.col("f.field_name"), "id", F.explode("f.texts").alias("text")).where("text is not null")
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of books with titles, series or author names that look the same but differ in code points."""
+    return lk.same_look_pairs(_p3_values(spark, sf_dir)).select("field_name", F.col("id_1").alias("book_id_1"), F.col("id_2").alias("book_id_2"))
+
+
+@query("p3_forms")
+def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one form of every title, series and author name."""
+    return lk.forms(_p3_values(spark, sf_dir))
