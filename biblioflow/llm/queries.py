@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from biblioflow.llm import canon as cn
 from biblioflow.llm import lookalikes as lk
+from biblioflow.llm import spans as sp
 from biblioflow.llm import survivors as sv
 from biblioflow.session import table
 
@@ -61,3 +63,44 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one form of every title, series and author name."""
     return lk.forms(_p3_values(spark, sf_dir))
+
+
+def _p2_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = {"publisher": "publishers", "tag": "tags"}
+    one = [table(spark, sf_dir, t).select(F.lit(kind).alias("kind"), F.col("id").alias("row_id"), "name") for kind, t in kinds.items()]
+    return one[0].union(one[1])
+
+
+def _p2_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _p2_names(spark, sf_dir)
+    found = cn.map_to_terms(names, table(spark, sf_dir, "canon_terms"))
+    return names.join(found, ["kind", "name"], "left").select(F.col("kind").alias("field_name"), "row_id", "name", F.coalesce("term_id", F.lit(0)).alias("term_id"))
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entry of the reference list that each publisher name and tag means, or 0."""
+    return _p2_mapped(spark, sf_dir).select("field_name", "row_id", "term_id")
+
+
+@query("p2_unmatched")
+def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that mean no entry, with the number of rows that hold them."""
+    return _p2_mapped(spark, sf_dir).where("term_id = 0").groupBy("field_name", "name").agg(F.count("*").alias("row_count"))
+
+
+def _p9_repeated(docs: DataFrame) -> DataFrame:
+    return sp.repeated(docs, sp.sketch(docs))
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents that share an unbroken run of 200 code points."""
+    return sp.shared_pairs(_p9_repeated(table(spark, sf_dir, "documents")))
+
+
+@query("p9_shared_parts")
+def p9_shared_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document's text stands word for word in other documents."""
+    docs = table(spark, sf_dir, "documents")
+    return sp.shared_lengths(docs, _p9_repeated(docs))
