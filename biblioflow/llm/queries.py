@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from biblioflow.llm import canon as cn
 from biblioflow.llm import lookalikes as lk
+from biblioflow.llm import people as pe
 from biblioflow.llm import spans as sp
 from biblioflow.llm import survivors as sv
 from biblioflow.session import table
@@ -104,3 +105,15 @@ def p9_shared_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document's text stands word for word in other documents."""
     docs = table(spark, sf_dir, "documents")
     return sp.shared_lengths(docs, _p9_repeated(docs))
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of author rows that mean the same person or body."""
+    return pe.linked_pairs(table(spark, sf_dir, "authors")).select(F.col("id_1").alias("author_id_1"), F.col("id_2").alias("author_id_2"))
+
+
+@query("p5_entities")
+def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The person or body that each author row means."""
+    return pe.linked(table(spark, sf_dir, "authors"))
