@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from biblioflow.llm import canon as cn
 from biblioflow.llm import lookalikes as lk
+from biblioflow.llm import mixing as mx
+from biblioflow.llm import packing as pk
 from biblioflow.llm import people as pe
 from biblioflow.llm import spans as sp
 from biblioflow.llm import survivors as sv
-from biblioflow.session import table
+from biblioflow.llm import tokens as tk
+from biblioflow.session import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -117,3 +120,32 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The person or body that each author row means."""
     return pe.linked(table(spark, sf_dir, "authors"))
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their size in tokens, written once."""
+    return written(table(spark, sf_dir, "documents").select("doc_id", "source", tk.token_count(F.col("text")).alias("tokens")), "sized")
+
+
+@query("p7_containers")
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in a container of every capacity."""
+    return pk.packed(_sized(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
+
+
+@query("p7_fill")
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    return pk.fill_report(p7_containers(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
+
+
+@query("p8_selection")
+def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of documents in the order of their virtual finish times, up to the budget."""
+    return mx.mixed(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")).select("doc_id", "source", "copy", "tokens", "finish").orderBy("finish", "source", "doc_id", "copy")
+
+
+@query("p8_shares")
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return mx.share_report(mx.mixed(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")), table(spark, sf_dir, "mix_targets"))
