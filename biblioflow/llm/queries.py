@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from biblioflow.llm import canon as cn
 from biblioflow.llm import lookalikes as lk
+from biblioflow.llm import matching as ma
 from biblioflow.llm import mixing as mx
 from biblioflow.llm import packing as pk
 from biblioflow.llm import people as pe
@@ -149,3 +150,15 @@ def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share of every source."""
     return mx.share_report(mx.mixed(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")), table(spark, sf_dir, "mix_targets"))
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The book that each fetched record describes."""
+    return p6_matches(spark, sf_dir).select("book_id", "meta_id")
+
+
+@query("p6_matches")
+def p6_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The book that each fetched record describes, with cosine and confidence."""
+    return ma.matches(table(spark, sf_dir, "books"), table(spark, sf_dir, "fetched_meta"))
