@@ -45,6 +45,8 @@ PLAIN_LETTERS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ":
 
 def letters(s: str) -> str:
     """Lower case without accents; separators as they are."""
+    if s.isascii():
+        return s.lower()
     s = ud.normalize("NFKD", s.casefold())
     return "".join(c for c in s if not ud.combining(c) and ud.category(c) != "Cf").translate(PLAIN_LETTERS)
 
