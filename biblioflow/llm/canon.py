@@ -117,6 +117,35 @@ def osa(a: str, b: str) -> int:
     return prev[-1]
 
 
+def within(a: str, b: str, k: int) -> bool:
+    """Whether osa(a, b) <= k, looking at the diagonals within k only."""
+    if a == b:
+        return True
+    if abs(len(a) - len(b)) > k or not k:
+        return False
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    if not a or not b:
+        return len(a) + len(b) <= k
+    far = k + 1
+    before, prev = {}, {j: j for j in range(min(len(b), k) + 1)}
+    for i, x in enumerate(a, 1):
+        row = {0: i} if i <= k else {}
+        for j in range(max(1, i - k), min(len(b), i + k) + 1):
+            y = b[j - 1]
+            v = min(prev.get(j, far) + 1, row.get(j - 1, far) + 1, prev.get(j - 1, far) + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                v = min(v, before.get(j - 2, far) + 1)
+            if v <= k:
+                row[j] = v
+        if not row:
+            return False
+        before, prev = prev, row
+    return prev.get(len(b), far) <= k
+
+
 class Trie:
     """Keys to labels: (term_id or 0 for a rival, edits allowed at most)."""
 
