@@ -119,7 +119,7 @@ def sketch(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
 
 
 def repeated(docs: DataFrame, merged: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
-    """(h, i, j, side, doc_id, pos, off, around) of anchors that the sketch estimates to occur twice or more."""
+    """(h, i, j, side, doc_id, pos, off, around, last) of anchors that the sketch estimates to occur twice or more."""
     chunk = min(CHUNK_BITS, bits)
     spark = docs.sparkSession
     # classes of the estimate in one byte per cell, packed: 0 unique, else 1 + number of blocks
@@ -140,20 +140,23 @@ def repeated(docs: DataFrame, merged: DataFrame, bits: int = SKETCH_BITS) -> Dat
                     continue
                 blocks = np.minimum.reduce([e[c] for e, c in zip(est, _cells(h, bits))])
                 keep = np.flatnonzero(blocks)
-                seen = set()
+                runs: dict[tuple[int, str], list[list[int]]] = {}
                 for x, p, n in zip(h[keep].astype(np.int64).tolist(), at[keep].tolist(), blocks[keep].tolist()):
                     start = max(0, p - (SPAN - GRAM) - 1)
-                    around = text[start : p + SPAN]
-                    if (x, around) in seen:
-                        continue
-                    seen.add((x, around))
-                    own = doc_id % n
-                    for other in range(n):
-                        out.append((x, min(own, other), max(own, other), own, doc_id, p, p - start, around))
+                    same = runs.setdefault((x, text[start : p + SPAN]), [])
+                    if same and p - same[-1][1] <= GRAM:  # a repeating text: one row from the first to the last
+                        same[-1][1] = p
+                    else:
+                        same.append([p, p, p - start, n])
+                for (x, around), same in runs.items():
+                    for first, last, off, n in same:
+                        own = doc_id % n
+                        for other in range(n):
+                            out.append((x, min(own, other), max(own, other), own, doc_id, first, off, around, last))
             if out:
-                yield pd.DataFrame(out, columns=["h", "i", "j", "side", "doc_id", "pos", "off", "around"])
+                yield pd.DataFrame(out, columns=["h", "i", "j", "side", "doc_id", "pos", "off", "around", "last"])
 
-    schema = "h bigint, i int, j int, side int, doc_id bigint, pos bigint, off int, around string"
+    schema = "h bigint, i int, j int, side int, doc_id bigint, pos bigint, off int, around string, last bigint"
     return docs.select("doc_id", "text").where(F.length("text") >= SPAN).mapInPandas(look, schema)
 
 
@@ -177,7 +180,7 @@ def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
     held: list[tuple] = []
     key = None
     for b in batches:
-        for row in zip(*(b[c].tolist() for c in ("h", "i", "j", "side", "doc_id", "pos", "off", "around"))):
+        for row in zip(*(b[c].tolist() for c in ("h", "i", "j", "side", "doc_id", "pos", "off", "around", "last"))):
             if row[:3] != key:
                 if len(held) > 1:
                     yield held
@@ -239,7 +242,7 @@ def shared_lengths(docs: DataFrame, found: DataFrame) -> DataFrame:
             for one, two, left, right in _runs(rows):
                 ids = {r[4] for r in one} | {r[4] for r in two}
                 if len(ids) > 1:
-                    out.update((r[4], r[5] - left, r[5] + GRAM + right) for r in (*one, *two))
+                    out.update((r[4], r[5] - left, r[8] + GRAM + right) for r in (*one, *two))
             if out:
                 yield pd.DataFrame(list(out), columns=["doc_id", "start", "stop"])
 
