@@ -19,6 +19,7 @@ from biblioflow.plans.cleaning import (
     NEVER_COPIED, author_sort_pass, authors_pass, canonical_names, consensus_tags, credited, expanded_tags, mapped, preferred_casing, publishers_pass, tag_backfill_pass, tags_pass,
 )
 from biblioflow.plans.model import author_lists, custom_columns, loaded, pivoted
+from biblioflow.plans.online import classify_pass, fetch_pass, junk_author_books, series_lookup_pass
 from biblioflow.plans.run import offline
 from biblioflow.plans.series import accepted, candidates, first_come, gap_report, names, parsed, series_pass, titles_pass
 from biblioflow.session import table
@@ -651,3 +652,35 @@ def q_intake_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch form of the streamed count of deliveries."""
     i = table(spark, sf_dir, "intake").where("received_at is not null")
     return i.groupBy(F.window("received_at", "1 day"), "channel").agg(F.count("*").alias("records")).select(F.col("window.start").alias("start"), "channel", "records")
+
+
+# ---- passes over answers of services, the fetched records as the answers --------------------
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetched records of the same title as answers for a book, in the order of their ids."""
+    b = _books(spark, sf_dir).where("title != ''").select(F.col("id").alias("book_id"), "title")
+    m = table(spark, sf_dir, "fetched_meta").where("title is not null")
+    return b.join(m, "title").withColumnRenamed("meta_id", "rank")
+
+
+@query("fetch_changes")
+def q_fetch_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fetch_pass(_books(spark, sf_dir), _answers(spark, sf_dir)).changes
+
+
+@query("series_lookup_changes")
+def q_series_lookup_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _answers(spark, sf_dir).select("book_id", "rank", "title", F.lit("").alias("subtitle"), "authors", F.nullif("series", F.lit("")).alias("series"), F.col("series_index").alias("position"))
+    return series_lookup_pass(_books(spark, sf_dir), hits).changes
+
+
+@query("classify_changes")
+def q_classify_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = table(spark, sf_dir, "fetched_meta").where("series is not null and series != ''").select(F.col("series").alias("query"), F.col("series").alias("title"), F.lit("").alias("main_title"), F.lit("novel").alias("medium")).distinct()
+    return classify_pass(_books(spark, sf_dir), hits, {"general": ["Granite", "Umber"]}).changes
+
+
+@query("junk_author_books")
+def q_junk_author_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return junk_author_books(_books(spark, sf_dir)).select("book_id", "name", "info.reason")

@@ -46,16 +46,9 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder once and read it back: a cut in the lineage
-    that survives the loss of executors."""
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_dir(spark)) if spark.sparkContext.getCheckpointDir() is None else None
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, label: str = "t") -> DataFrame:
-    """Like cut(), as a Parquet table: columnar, so later readers prune columns."""
+    """Write a frame once to the shared folder and read it back: a cut in the lineage that survives
+    the loss of executors, and of which later readers take only the columns they need."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
