@@ -52,3 +52,13 @@ def written(df: DataFrame, label: str = "t") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys to two partitions a core or more, for steps that cost much per byte.
+
+    Adaptive execution merges partitions by their bytes, which leaves such steps on few cores;
+    a given number of partitions is kept as it is.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *keys)
