@@ -25,7 +25,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from biblioflow.session import spread
 
 # Abbreviations in use for words of publishers' names and for genres.
 SHORT_FORMS = {
@@ -297,4 +298,4 @@ def map_to_terms(names: DataFrame, terms: DataFrame, max_terms: int = 100_000) -
                 out.append(seen[kind, keys])
             yield pd.DataFrame({"kind": b["kind"], "name": b["name"], "term_id": pd.Series(out, dtype="int64")})
 
-    return names.select("kind", "name").where("name is not null").distinct().mapInPandas(search, "kind string, name string, term_id bigint")
+    return spread(names.select("kind", "name").where("name is not null"), "kind", "name").distinct().mapInPandas(search, "kind string, name string, term_id bigint")

@@ -34,9 +34,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from biblioflow.llm.canon import letters, osa
+from biblioflow.llm.canon import letters, osa, within
 from biblioflow.llm.lookalikes import _decomposed
-from biblioflow.session import written
+from biblioflow.session import spread, written
 
 # Short forms of given names in use in English.
 SHORT_NAMES = {
@@ -123,13 +123,15 @@ def near_tokens(tokens: DataFrame) -> DataFrame:
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ds = [osa(x, y) for x, y in zip(b["token"], b["other"])]
+            most = [1 if len(t) < 7 else 2 for t in b["token"]]
+            ds = [osa(x, y) if within(x, y, k) else 9 for x, y, k in zip(b["token"], b["other"], most)]
             b = b.assign(d=pd.Series(ds, index=b.index, dtype="int32"))
-            yield b[b["d"] <= b["token"].str.len().map(lambda n: 1 if n < 7 else 2)]
+            yield b[b["d"] < 9]
 
-    idx = tokens.where(F.length("token") >= 4).mapInPandas(index, "v string, token string, n bigint")
+    idx = spread(tokens.where(F.length("token") >= 4), "token").mapInPandas(index, "v string, token string, n bigint")
     a, b = idx, idx.select("v", F.col("token").alias("other"), F.col("n").alias("m")).where("m > 0")
-    pairs = a.join(b, "v").where("m >= n * n and m >= n and (m > n or other < token) and token != other").select("token", "n", "other", "m").distinct()
+    pairs = a.join(b, "v").where("m >= n * n and m >= n and (m > n or other < token) and token != other").select("token", "n", "other", "m")
+    pairs = spread(pairs, "token", "other").distinct()
     best = pairs.mapInPandas(compare, "token string, n bigint, other string, m bigint, d int").groupBy("token").agg(F.min(F.struct("d", (-F.col("m")).alias("m"), "other"))["other"].alias("root"))
     best = written(best, "roots")
     on = best.select(F.col("token").alias("root"), F.col("root").alias("further"))
@@ -285,7 +287,7 @@ def linked(authors: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["id", "kind", "toks", "lead", "stoks", "slead"])
 
     parsed = written(
-        authors.select("id", "name", "author_sort").mapInPandas(cut_names, "id bigint, kind string, toks array<string>, lead int, stoks array<string>, slead int").where("kind != 'none'"), "names"
+        spread(authors.select("id", "name", "author_sort"), "id").mapInPandas(cut_names, "id bigint, kind string, toks array<string>, lead int, stoks array<string>, slead int").where("kind != 'none'"), "names"
     )
     # counts of tokens, and how often they stand where given names stand
     occ = parsed.select("id", "kind", "lead", "slead", F.size("toks").alias("n"), F.size("stoks").alias("sn"), F.array_union("toks", "stoks").alias("all"), "toks").select(
@@ -340,14 +342,14 @@ def linked(authors: DataFrame) -> DataFrame:
                     out.append((r.id, family, " ".join(givens)))
             yield pd.DataFrame(out, columns=["id", "family", "givens"])
 
-    signed = written(rows.select("id", "kind", "lead", "slead", "toks", "stoks", "r_toks", "r_stoks", "broken").mapInPandas(sign, "id bigint, family string, givens string"), "signed")
+    signed = written(spread(rows.select("id", "kind", "lead", "slead", "toks", "stoks", "r_toks", "r_stoks", "broken"), "id").mapInPandas(sign, "id bigint, family string, givens string"), "signed")
 
     def settle(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found = resolve([tuple(g.split()) for g in pdf["givens"]])
         rows = [(key[0], g, f"{key[0]}/{found[tuple(g.split())]}") for g in pdf["givens"] if tuple(g.split()) in found]
         return pd.DataFrame(rows, columns=["family", "givens", "entity"])
 
-    settled = signed.select("family", "givens").distinct().groupBy("family").applyInPandas(settle, "family string, givens string, entity string")
+    settled = spread(signed.select("family", "givens").distinct(), "family").groupBy("family").applyInPandas(settle, "family string, givens string, entity string")
     return signed.join(settled, ["family", "givens"]).select("id", "entity")
 
 
