@@ -10,6 +10,8 @@
 3. Each name becomes a signature: family root and given names (full, short form or
    initial), taken from name and sort form, whichever says more; for bodies the set of
    their roots.
+   A family near a more frequent one, however frequent both are, is read as its slip if
+   ALIGNED of its written-out given names or more mean persons of that one.
 4. Within a family, signatures are aligned with the full given names: each given name
    must be assigned its equal, a short form of it or its initial. Differing first or
    middle names keep people apart; a signature that fits more than one person is linked
@@ -66,6 +68,9 @@ TITLES = {"dr", "prof", "professor", "sir", "dame", "lord", "lady", "rev", "mr",
 ADDED = {"phd", "md", "ma", "ba", "msc", "bsc", "esq", "llb", "obe", "mbe", "frs", "dphil"}
 GENERATIONS = {"jr", "sr", "ii", "iii", "iv", "junior", "senior"}
 
+# Fixed value: least share of a family's written-out signatures that mean persons of the family it is a slip of.
+ALIGNED = 0.8
+
 _BODY_SHORT = {s: w for w, ss in BODY_WORDS.items() for s in ss.split()}
 _FULL = {s: tuple(v.split()) for s, v in SHORT_NAMES.items()}
 _MAPPED: dict[str, str] = {}
@@ -112,8 +117,8 @@ def spellings(token: str) -> set[str]:
     return out
 
 
-def near_tokens(tokens: DataFrame) -> DataFrame:
-    """(token, root) for tokens that are a slip of a more frequent token. tokens: token, n."""
+def near_pairs(tokens: DataFrame, condition: str) -> DataFrame:
+    """(token, n, other, m, d) of tokens within the edits allowed of an other at least as frequent. tokens: token, n."""
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -130,9 +135,14 @@ def near_tokens(tokens: DataFrame) -> DataFrame:
 
     idx = spread(tokens.where(F.length("token") >= 4), "token").mapInPandas(index, "v string, token string, n bigint")
     a, b = idx, idx.select("v", F.col("token").alias("other"), F.col("n").alias("m")).where("m > 0")
-    pairs = a.join(b, "v").where("m >= n * n and m >= n and (m > n or other < token) and token != other").select("token", "n", "other", "m")
+    pairs = a.join(b, "v").where(f"{condition} and m >= n and (m > n or other < token) and token != other").select("token", "n", "other", "m")
     pairs = spread(pairs, "token", "other").distinct()
-    best = pairs.mapInPandas(compare, "token string, n bigint, other string, m bigint, d int").groupBy("token").agg(F.min(F.struct("d", (-F.col("m")).alias("m"), "other"))["other"].alias("root"))
+    return pairs.mapInPandas(compare, "token string, n bigint, other string, m bigint, d int")
+
+
+def near_tokens(tokens: DataFrame) -> DataFrame:
+    """(token, root) for tokens that are a slip of a clearly more frequent token. tokens: token, n."""
+    best = near_pairs(tokens, "m >= n * n").groupBy("token").agg(F.min(F.struct("d", (-F.col("m")).alias("m"), "other"))["other"].alias("root"))
     best = written(best, "roots")
     on = best.select(F.col("token").alias("root"), F.col("root").alias("further"))
     return best.join(on, "root", "left").select("token", F.coalesce("further", "root").alias("root"))
@@ -212,6 +222,32 @@ def resolve(signatures: list[tuple[str, ...]]) -> dict[tuple[str, ...], str]:
     return out
 
 
+def aligned(slip: list[tuple[str, ...]], root: list[tuple[str, ...]]) -> float:
+    """Share of the signatures with a full first name in one family that mean persons of the other."""
+    found = resolve([*slip, *root])
+    persons = {found[s] for s in root if s in found and s and is_full(s[0])}
+    full = {s for s in slip if s and is_full(s[0])}
+    return sum(found.get(s) in persons for s in full) / len(full) if full else 0.0
+
+
+def near_families(signed: DataFrame) -> DataFrame:
+    """(family, root) for families that are a slip of a near one by their given names. signed: family, givens of every row."""
+    people = signed.where("not startswith(family, 'body ')")
+    sigs = people.groupBy("family").agg(F.collect_set("givens").alias("sigs"))
+    pairs = near_pairs(people.groupBy(F.col("family").alias("token")).agg(F.count("*").alias("n")), "true").select("token", "other", "m", "d")
+    pairs = pairs.join(sigs.select(F.col("family").alias("token"), F.col("sigs").alias("slip")), "token").join(sigs.select(F.col("family").alias("other"), F.col("sigs").alias("whole")), "other")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cut = lambda xs: [tuple(x.split()) for x in xs]
+        for b in batches:
+            yield b[["token", "other", "m", "d"]].assign(share=[aligned(cut(x), cut(y)) for x, y in zip(b["slip"], b["whole"])])
+
+    fit = spread(pairs, "token", "other").mapInPandas(compare, "token string, other string, m bigint, d int, share double").where(F.col("share") >= ALIGNED)
+    best = written(fit.groupBy("token").agg(F.min(F.struct("d", (-F.col("share")).alias("share"), (-F.col("m")).alias("m"), "other"))["other"].alias("root")), "families")
+    on = best.select(F.col("token").alias("root"), F.col("root").alias("further"))
+    return best.join(on, "root", "left").select(F.col("token").alias("family"), F.coalesce("further", "root").alias("root"))
+
+
 def signature(name: list[str], lead: int, given_like: list[bool], sort: list[str], sort_lead: int, counts: dict[str, int], joined: dict[tuple[str, str], str]) -> tuple[str, tuple[str, ...]]:
     """(family, given names) from the roots of a name and of its sort form."""
 
@@ -344,6 +380,8 @@ def linked(authors: DataFrame) -> DataFrame:
 
     signed = written(spread(rows.select("id", "kind", "lead", "slead", "toks", "stoks", "r_toks", "r_stoks", "broken"), "id").mapInPandas(sign, "id bigint, family string, givens string"), "signed")
 
+    signed = written(signed.join(near_families(signed), "family", "left").select("id", F.coalesce("root", "family").alias("family"), "givens"), "joined")
+
     def settle(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found = resolve([tuple(g.split()) for g in pdf["givens"]])
         rows = [(key[0], g, f"{key[0]}/{found[tuple(g.split())]}") for g in pdf["givens"] if tuple(g.split()) in found]
