@@ -27,7 +27,6 @@ whose names are equal are linked unless they fit more than one person.
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -166,19 +165,20 @@ def assigned(parts: tuple[str, ...], whole: tuple[str, ...]) -> int | None:
 
     A part more than the whole has must be an initial, a name less a middle name.
     """
-    best = None
-    for perm in itertools.permutations(range(max(len(parts), len(whole)))) if max(len(parts), len(whole)) <= 3 else [tuple(range(max(len(parts), len(whole))))]:
-        cost = 0
-        for i, j in enumerate(perm):
-            if i < len(parts) and j < len(whole):
-                if not (fits(parts[i], whole[j]) or fits(whole[j], parts[i])):
-                    break
-                cost += i != j
-            elif i == 0 or j == 0:  # first names have to meet
-                break
-        else:
-            best = cost if best is None else min(best, cost)
-    return best
+    if len(parts) > len(whole):
+        return assigned(whole, parts)
+    n = len(parts)
+    costs = {0: 0}  # cost by the set of the whole's places taken; a part is placed at a time
+    for i, p in enumerate(parts):
+        after: dict[int, int] = {}
+        for taken, cost in costs.items():
+            for j, w in enumerate(whole):
+                if not taken >> j & 1 and (fits(p, w) or fits(w, p)):
+                    t, c = taken | 1 << j, cost + (i != j)
+                    if c < after.get(t, c + 1):
+                        after[t] = c
+        costs = after
+    return min((c for t, c in costs.items() if t & 1 or not n and not whole), default=None)
 
 
 def resolve(signatures: list[tuple[str, ...]]) -> dict[tuple[str, ...], str]:
