@@ -45,17 +45,38 @@ def author_suggestions(names: DataFrame, least: float = AUTHORS_ALIKE, block_cap
     return _first_reason([roman, order, fuzzy])
 
 
+def _unmatched(total: Column, least: float) -> Column:
+    """Letters of two names without a partner, at most, of this many letters together."""
+    u = F.floor((1 - least) * total + 1e-9)
+    return F.greatest(u - (total - u) % 2, F.lit(0))
+
+
+def _whole_run(total: Column, least: float) -> Column:
+    """Length of the longest matching block at least: the matched letters over one block more than letters without a partner."""
+    u = _unmatched(total, least)
+    return F.least(F.ceil((total - u) / 2 / (u + 1)), F.lit(_longest(least)))
+
+
+def _longest(least: float) -> int:
+    """Longest block length used: what is left whole in names of any great length."""
+    return max(1, int(least / (2 * (1 - least) + 1e-9) + 1)) if least < 1 else 5
+
+
 def publisher_suggestions(books: DataFrame, least: float = PUBLISHERS_ALIKE) -> DataFrame:
     """(name_a, name_b, reason) of winners of different keys: one key begins the other, or the names are alike.
 
-    Blocks: the first letters of the keys for beginnings; pairs of words for likeness, of which
-    two alike names of this threshold share one.
+    Blocks: the first letters of the keys for beginnings; for likeness runs of letters as long as the
+    likeness leaves whole at least, given the lengths of both names.
     """
     g = publisher_groups(books).where("name = winner").select("name", "key")
     start = g.where(F.length("key") >= 5).withColumn("block", F.left("key", F.lit(5)))
     prefix = _pairs(start, "block", ["name", "key"], "beginning").where("key_a != key_b and (startswith(key_a, key_b) or startswith(key_b, key_a))")
-    grams = g.withColumn("block", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("key") - 4, F.lit(1))), lambda i: F.substr(F.col("key"), i, F.lit(5))))))
-    near = _pairs(grams, "block", ["name", "key"], "likeness").where("key_a != key_b").where(F.abs(F.length("key_a") - F.length("key_b")) <= 0.25 * F.greatest(F.length("key_a"), F.length("key_b"))).distinct()
+    n = F.length("words")
+    runs = mapped(g, "name", words=T.words_key).withColumn("run", F.explode(F.array_distinct(F.transform(F.sequence(F.floor(n * 2 / (2 - least)), F.ceil(n * 2 / least)), lambda total: _whole_run(total, least))))).where(n >= F.col("run"))
+    grams = runs.withColumn("block", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n - F.col("run") + 1), lambda i: F.concat(F.col("run").cast("string"), F.lit("|"), F.substr("words", i, F.col("run")))))))
+    total = F.length("words_a") + F.length("words_b")
+    near = _pairs(grams, "block", ["name", "key", "words", "run"], "likeness").where("key_a != key_b").where(F.col("run_a") == _whole_run(total, least))
+    near = near.where(F.levenshtein("words_a", "words_b") <= _unmatched(total, least)).select("name_a", "name_b", "reason").distinct()
     near = near.where(T.similarity(F.col("name_a"), F.col("name_b")) >= least)
     return _first_reason([prefix, near])
 

@@ -104,3 +104,20 @@ def test_native(spark):
 def test_decision(spark, row, decision):
     df = spark.createDataFrame([row], "f string, m string, t string, p string, n boolean, c boolean, s boolean")
     assert df.select(T.decide_booktype(*(F.col(c) for c in "fmtpncs"))["decision"]).first()[0] == decision
+
+
+def test_publisher_likeness_against_all_pairs(spark):
+    import random
+
+    from biblioflow.functions import kernel
+    from biblioflow.operators.linkage import publisher_suggestions
+
+    rnd, names = random.Random(3), {"Granta", "Granita"}
+    for n in range(5, 13):
+        for _ in range(6):
+            x = "".join(rnd.choices("abdeiklmnorstu", k=n)).capitalize()
+            i = rnd.randrange(1, n)
+            names |= {x, x[:i] + rnd.choice("aeiou") + x[i:], x[:2] + "y" + x[2:-2] + "w" + x[-2:]}
+    got = publisher_suggestions(spark.createDataFrame([(i, x) for i, x in enumerate(sorted(names))], "id long, publisher string")).collect()
+    alike = {(a, b) for a in names for b in names if a < b and kernel.ratio(a, b) >= 0.9}
+    assert ("Granita", "Granta") in alike and alike <= {(r["name_a"], r["name_b"]) for r in got}
