@@ -54,6 +54,14 @@ def written(df: DataFrame, label: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a written frame, once nothing will read them again."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()} or ():
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows dealt by keys to two partitions a core or more, for steps that cost much per byte.
 
