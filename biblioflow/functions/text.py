@@ -54,31 +54,103 @@ def tokens_align(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([K.tokens_align(x, y) for x, y in zip(a, b)], index=a.index, dtype="bool")
 
 
-@F.pandas_udf(T.StructType([T.StructField("authors", T.ArrayType(T.StringType())), T.StructField("dropped", T.ArrayType(T.StringType()))]))
-def split_author(s: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([K.split_credits(x) for x in s], columns=["authors", "dropped"], index=s.index)
+# ---- author strings, tags, junk authors: native steps over the cleaned string ------------
 
+# Phrases before a name that announce a credit to drop, or to keep; words of bodies that are no persons.
+DROPPED_ROLES = ["illustrated by", "illustration by", "illustrations by", "illustrator", "cover art by", "translated by", "translator", "translation by", "edited by", "editor", "narrated by"]
+KEPT_ROLES = ["author", "written by", "story by", "original story by", "by"]
+NO_PERSON_WORDS = ["editorial", "department", "publishing", "publishers", "staff", "bunko"]
+# Vocabulary prefixes and genre endings of catalogue headings.
+HEADING_PREFIXES = ["cyac", "lcgft", "lcsh", "fast", "bisac"]
+HEADING_ENDS = ["fiction", "juvenile fiction", "comic books, strips, etc", "novels", "translations into english"]
 
-flipped = _text(K.turned)
+_FIELD_TAG = r"^\d{3}-\d{2} +"
+_LIFE_DATES = r",? *(?:\d{4} *- *(?:\d{4})?|[bd]\. *\d{4})\.? *$"
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def expand_tag(s: pd.Series) -> pd.Series:
-    return s.map(K.expand_tag, na_action=None)
+def _role(phrases: list[str]) -> str:
+    longest_first = sorted(phrases, key=len, reverse=True)
+    return rf"(?i)^(?:{'|'.join(p.replace(' ', ' +') for p in longest_first)}) *[:_-]? +"
 
 
-JUNK_SCHEMA = "struct<reason:string,volume:double,volume_end:double,publisher:string,source:string,complete:boolean,subtitle:string>"
+def _split(x: Column, sign: str) -> Column:
+    """The pieces between signs, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(x, sign), lambda p: F.trim(p)), lambda p: p != "")
 
 
-def junk_author_info(name: Column, junk_names: list[str]) -> Column:
-    names = frozenset(map(K.fold, junk_names))
-    fields = ["reason", "volume", "volume_end", "publisher", "source", "complete", "subtitle"]
+def tidy(x: Column) -> Column:
+    """A cleaned name without catalogue marks, life dates and separators at its ends."""
+    bare = F.regexp_replace(F.regexp_replace(x, _FIELD_TAG, ""), _LIFE_DATES, "")
+    return F.regexp_replace(bare, r"^[ ,;_]+|[ ,;_]+$", "")
+
+
+def turned(x: Column) -> Column:
+    """A cleaned "Last, First" as "First Last"; "" for anything else."""
+    halves = F.transform(F.split(x, ","), lambda p: F.trim(p))
+    fits = (F.size(halves) == 2) & F.forall(halves, lambda h: h != "") & ~x.rlike(r"\p{Nd}")
+    return F.when(fits, F.concat_ws(" ", F.get(halves, F.lit(1)), F.get(halves, F.lit(0)))).otherwise("")
+
+
+def flipped(x: Column) -> Column:
+    return turned(clean_text(x))
 
-    @F.pandas_udf(JUNK_SCHEMA)
-    def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([K.junk_author(x, names) or dict.fromkeys(fields) for x in s], columns=fields, index=s.index)
 
-    return run(F.coalesce(name, F.lit("")))
+def split_author(x: Column) -> Column:
+    """The struct (authors, dropped) of one stored author string: names it credits, and credits of other roles."""
+    return _credits(clean_text(x))
+
+
+def _credits(whole: Column) -> Column:
+    catalogued = whole.contains(";") | whole.rlike(_FIELD_TAG) | whole.rlike(_LIFE_DATES)
+    dropped_role, kept_role, body = _role(DROPPED_ROLES), _role(KEPT_ROLES), rf"(?i)\b(?:{'|'.join(NO_PERSON_WORDS)})\b"
+
+    def names(piece: Column) -> Column:
+        """A piece is a list of names if a role is told in it or every name has a blank."""
+        parts = _split(piece, ",")
+        told = F.exists(parts, lambda p: p.rlike(dropped_role) | p.rlike(kept_role))
+        listed = piece.contains(",") & F.forall(parts, lambda p: p.contains(" "))
+        return F.transform(F.when(told | listed, parts).otherwise(F.array(piece)), tidy)
+
+    pieces = F.filter(F.transform(F.split(whole, ";"), lambda p: tidy(F.trim(p))), lambda p: p != "")
+    found = F.filter(F.flatten(F.transform(pieces, names)), lambda n: n != "")
+    other = lambda n: n.rlike(dropped_role) | n.rlike(body)
+    kept = F.filter(F.transform(F.filter(found, lambda n: ~other(n)), lambda n: tidy(F.regexp_replace(n, kept_role, ""))), lambda n: n != "")
+    authors = F.when(catalogued, F.transform(kept, lambda n: F.coalesce(F.nullif(turned(n), F.lit("")), n))).otherwise(kept)
+    dropped = F.transform(F.filter(found, other), lambda n: tidy(F.regexp_replace(n, dropped_role, "")))
+    return F.struct(authors.alias("authors"), dropped.alias("dropped"))
+
+
+def expand_tag(x: Column, slashes: bool = True) -> Column:
+    """The tags that one stored tag stands for, in order."""
+    kept = F.filter(_split(clean_text(x), r"\|"), lambda p: ~p.rlike("(?i)^https?://"))
+    prefix, end = rf"(?i)^(?:{'|'.join(HEADING_PREFIXES)}) *: *", rf"(?i) *-- *(?:{'|'.join(HEADING_ENDS)})\.? *$"
+    heading = lambda p: F.trim(F.substring_index(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(p, prefix, ""), end, ""), r"\.+$", "")), "--", 1))
+    levels = F.flatten(F.transform(kept, lambda p: _split(heading(p), " / ") if slashes else F.array(heading(p))))
+    return F.filter(F.transform(levels, lambda p: F.regexp_replace(p, "(?i) +- +general$", "")), lambda p: p != "")
+
+
+def junk_author_info(name: Column, junk_names: list[str]) -> Column:
+    """What a name tells that is no author's: a known stand-in, a copyright line, or a release file's name; NULL fields for others.
+
+    The struct (reason, volume, volume_end, publisher, source, complete, subtitle).
+    """
+    return _junk_info(clean_text(name), fold(name), sorted({K.fold(j) for j in junk_names}))
+
+
+def _junk_info(x: Column, folded: Column, junk: list[str]) -> Column:
+    groups = F.transform(F.regexp_extract_all(x, F.lit(r"\[([^\]]*)\]"), F.lit(1)), lambda p: F.trim(p))
+    release = x.rlike(r"^[^\[\]]*(?:\[[^\]]*\] *){2,}$") & F.element_at(groups, -1).rlike("^[0-9A-Fa-f]{8}$")
+    lead = F.trim(F.regexp_extract(x, r"^([^\[]*)", 1))
+    numbers = r"(?i)^vol(?:ume)?\.? *(\d{1,3})(?: *- *(\d{1,3}))?(?: +chapter +\d+)?$"
+    volume = lambda g: F.when(release & lead.rlike(numbers), F.regexp_extract(lead, numbers, g).try_cast("double"))
+    whole = F.lower(lead) == "complete"
+    reason = F.when(folded.isin(junk), "stand-in").when(x.rlike(r"(?i)^(?:©|\(c\)|copyright\b)"), "copyright").when(F.coalesce(release, F.lit(False)), "release")
+    of_file = lambda v: F.when(reason == "release", v)
+    return F.struct(
+        reason.alias("reason"), of_file(volume(1)).alias("volume"), of_file(volume(2)).alias("volume_end"),
+        of_file(F.nullif(F.get(groups, F.lit(0)), F.lit(""))).alias("publisher"), of_file(F.nullif(F.array_join(F.slice(groups, 2, F.greatest(F.size(groups) - 2, F.lit(0))), ", "), F.lit(""))).alias("source"),
+        F.when(reason.isNotNull(), F.coalesce(of_file(whole), F.lit(False))).alias("complete"), of_file(F.when(~whole & (lead != "") & ~lead.rlike(numbers), lead)).alias("subtitle"),
+    )
 
 
 TITLE_SCHEMA = T.StructType([
@@ -122,9 +194,9 @@ def series_key(words: Column) -> Column:
 def strip_legal(name: Column) -> Column:
     """A publisher's name without legal forms at its end, underscores as blanks."""
     x = F.replace(name, F.lit("_"), F.lit(" "))
-    for _ in range(3):
-        x = F.regexp_replace(F.regexp_replace(x, LEGAL_END, ""), r"^[ ,]+|[ ,]+$", "")
-    return x
+    shorter = lambda y: F.regexp_replace(F.regexp_replace(y, LEGAL_END, ""), r"^[ ,]+|[ ,]+$", "")
+    # a round takes a word at least, so there are no more rounds than words
+    return F.aggregate(F.split(x, " "), x, lambda y, _: shorter(y))
 
 
 def publisher_key(name: Column) -> Column:
@@ -141,6 +213,7 @@ def sorted_tokens(folded: Column) -> Column:
 
 def numbering(name: Column) -> Column:
     """Numbers, roman numerals and words of sub-series of a name, sorted."""
+    # Roman numerals and words that tell series of one name apart.
     found = F.regexp_extract_all(F.lower(name), F.lit(r"\b(?:\d+|[ivxlc]+|nt|ss|ex|zero|gaiden|side stor(?:y|ies)|short stor(?:y|ies))\b"), F.lit(0))
     return F.array_join(F.array_sort(found), ",")
 
@@ -211,10 +284,41 @@ def first_non_empty(*xs: Column) -> Column:
     return F.coalesce(*(F.nullif(x, F.lit("")) for x in xs))
 
 
-def each_once(items: Column) -> Column:
-    """The items that differ without letter case, in their order, the first spelling of each."""
-    trimmed = F.filter(F.transform(items, one_blank), lambda x: x != "")
-    return F.filter(trimmed, lambda x, i: F.array_position(F.transform(trimmed, F.lower), F.lower(x)) == i + 1)
+def each_once(items: Column, prefer: dict[str, str] | None = None) -> Column:
+    """The items that differ when folded, in their order, in the preferred or the first spelling of each."""
+    shown = {K.fold(k): v for k, v in (prefer or {}).items()}
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(lists: pd.Series) -> pd.Series:
+        def once(xs) -> list[str]:
+            out: dict[str, str] = {}
+            for x in map(K.clean, xs if xs is not None else ()):
+                if x:
+                    out.setdefault(K.fold(x), shown.get(K.fold(x), x))
+            return list(out.values())
+
+        return lists.map(once, na_action=None)
+
+    return run(items)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _lacking(have: pd.Series, more: pd.Series) -> pd.Series:
+    folded = lambda xs: {K.fold(x) for x in xs} if xs is not None else set()
+    return pd.Series([[y for y in (ys if ys is not None else ()) if K.fold(y) not in folded(xs)] for xs, ys in zip(have, more)], index=have.index, dtype=object)
+
+
+def lacking(have: Column, more: Column) -> Column:
+    """The items of more that have lacks, compared when folded."""
+    return _lacking(have, more)
+
+
+def standard_title(series: Column, keyword: Column, volume: Column, part: Column, part_label: Column, subtitle: Column, label: str = "Vol.") -> Column:
+    """"Series, Vol. N, Part M: Subtitle" of its parts; NULL without series or volume."""
+    word = F.when(keyword == "part", "Part").when(keyword == "book", "Book").otherwise(label)
+    numbered = F.concat(series, F.lit(", "), word, F.lit(" "), number_text(volume))
+    with_part = F.when(part.isNotNull() & (keyword != "part"), F.concat(numbered, F.lit(", "), part_label, F.lit(" "), part.cast("string"))).otherwise(numbered)
+    return F.when(series.isNotNull() & volume.isNotNull(), F.concat_ws(": ", with_part, F.nullif(subtitle, F.lit(""))))
 
 
 # ---- media and publishers ----------------------------------------------------------------
@@ -245,7 +349,7 @@ def publisher_class(words: Column, lists: dict[str, list[str]]) -> Column:
 
 
 def tag_medium(tags: Column) -> Column:
-    novel, manga = F.exists(tags, lambda t: F.lower(t) == "light novel"), F.exists(tags, lambda t: F.lower(t) == "manga")
+    novel, manga = F.exists(tags, lambda t: F.lower(F.trim(t)) == "light novel"), F.exists(tags, lambda t: F.lower(F.trim(t)) == "manga")
     return F.when(novel & manga, "conflict").when(novel, "novel").when(manga, "manga")
 
 

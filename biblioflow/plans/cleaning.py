@@ -15,6 +15,7 @@ from biblioflow.functions import kernel as K
 from biblioflow.functions import text as T
 from biblioflow.operators.changes import changes
 from biblioflow.plans.model import Result
+from biblioflow.session import written
 
 # Tags removed everywhere; variants and the tag they stand for; tags not copied across a series.
 JUNK_TAGS = ["-", "new subject", "general", "ebook", "e-book", "story", "fiction / general"]
@@ -47,7 +48,7 @@ def capitals(x: Column) -> Column:
 
 def preferred_casing(books: DataFrame) -> DataFrame:
     """(folded, preferred): the spelling in use most often of tags that fold alike; of equals the one with more capitals, then by name."""
-    used = mapped(books.select(F.explode("tags").alias("raw")).where("raw is not null").groupBy("raw").count(), "raw", tag=T.clean_text, folded=T.fold)
+    used = books.select(F.explode("tags").alias("raw")).where("raw is not null").groupBy("raw").count().select("raw", "count", T.clean_text(F.col("raw")).alias("tag"), T.fold(F.col("raw")).alias("folded"))
     counted = used.where("tag != ''").groupBy("folded", "tag").agg(F.sum("count").alias("n"))
     return counted.groupBy("folded").agg(F.min(F.struct((-F.col("n")).alias("n"), (-capitals(F.col("tag"))).alias("c"), "tag"))["tag"].alias("preferred"))
 
@@ -56,31 +57,39 @@ def expanded_tags(books: DataFrame) -> DataFrame:
     """(id, pos, sub, tag, folded): the tags that the stored ones stand for."""
     raw = books.select("id", F.posexplode("tags").alias("pos", "raw")).where("raw is not null")
     d = raw.select("raw").distinct().select("raw", F.posexplode(T.expand_tag(F.col("raw"))).alias("sub", "tag"))
-    d = mapped(d, "tag", folded=T.fold)
+    d = d.withColumn("folded", T.fold(F.col("tag")))
     return raw.join(d, "raw").select("id", "pos", "sub", "tag", "folded")
 
 
-def tags_pass(books: DataFrame, junk: list[str] = JUNK_TAGS, synonyms: dict[str, str] = SYNONYMS, drop_authors: bool = True) -> Result:
-    """Tags split, mapped to synonyms and preferred casing, junk and own authors' names dropped, each once."""
+def normal_tags(books: DataFrame, library: DataFrame, junk: list[str] = JUNK_TAGS, synonyms: dict[str, str] = SYNONYMS, drop_authors: bool = True) -> DataFrame:
+    """(id, new_tags): tags split, mapped to synonyms and the library's preferred casing, junk and own authors' names dropped, each once.
+
+    books: id, tags, authors; a book of which no tag is left has no row.
+    """
     spark = books.sparkSession
     tags = expanded_tags(books)
     junk_rows = lookup(spark, {j: j for j in junk}, "folded", "junk")
     names = mapped(books.select("id", F.explode("authors").alias("name")).where("name is not null").distinct(), "name", folded=T.fold).select("id", "folded").distinct()
     tags = tags.join(junk_rows, "folded", "left_anti")
     tags = tags.join(names, ["id", "folded"], "left_anti") if drop_authors else tags
-    canon = tags.join(lookup(spark, synonyms, "folded", "synonym"), "folded", "left").join(preferred_casing(books), "folded", "left")
+    canon = tags.join(lookup(spark, synonyms, "folded", "synonym"), "folded", "left").join(preferred_casing(library), "folded", "left")
     canon = canon.select("id", "pos", "sub", F.coalesce("synonym", "preferred", "tag").alias("tag"))
     canon = mapped(canon, "tag", folded=T.fold).join(junk_rows, "folded", "left_anti")
     first = canon.groupBy("id", "folded").agg(F.min(F.struct("pos", "sub", "tag")).alias("x"))
-    lists = first.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["tag"]).alias("new_tags"))
+    return first.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["tag"]).alias("new_tags"))
+
+
+def tags_pass(books: DataFrame, junk: list[str] = JUNK_TAGS, synonyms: dict[str, str] = SYNONYMS, drop_authors: bool = True) -> Result:
+    """Every book's tags in their normal form."""
+    lists = normal_tags(books, books, junk, synonyms, drop_authors)
     after = books.join(lists, "id", "left").withColumn("tags", F.coalesce("new_tags", F.array().cast("array<string>"))).drop("new_tags")
     return Result(after, changes(books, after, ["tags"], "tags"))
 
 
 def publisher_groups(books: DataFrame) -> DataFrame:
     """(name, n, key, winner): publishers' names by key; most books, then without a legal form, then the shorter, then by name."""
-    counted = mapped(books.where("publisher is not null and publisher != ''").groupBy(F.col("publisher").alias("raw")).count(), "raw", name=T.clean_text)
-    counted = mapped(counted.groupBy("name").agg(F.sum("count").alias("n")), "name", key=T.publisher_key).where("key != ''")
+    counted = books.where("publisher is not null and publisher != ''").groupBy(F.col("publisher").alias("raw")).count().withColumn("name", T.clean_text(F.col("raw")))
+    counted = written(counted.groupBy("name").agg(F.sum("count").alias("n")).withColumn("key", T.publisher_key(F.col("name"))).where("key != ''"), "publishers")
     rank = F.struct((-F.col("n")).alias("n"), F.col("name").rlike(T.LEGAL_END).alias("legal"), F.length("name").alias("len"), "name")
     return counted.join(counted.groupBy("key").agg(F.min(rank)["name"].alias("winner")), "key").select("name", "n", "key", "winner")
 
@@ -89,11 +98,13 @@ def publishers_pass(books: DataFrame, aliases: dict[str, str] | None = None) ->
     """Publishers by alias, else the winner of their key, that by alias again."""
     spark = books.sparkSession
     alias = lookup(spark, aliases or {}, "folded", "alias")
-    groups = mapped(publisher_groups(books), "name", folded=T.fold).join(alias, "folded", "left")
+    groups = publisher_groups(books).withColumn("folded", T.fold(F.col("name"))).join(alias, "folded", "left")
     target = groups.where("alias is not null").groupBy("key").agg(F.min("alias").alias("target"))
     groups = groups.join(target, "key", "left").select("name", F.coalesce("alias", "target", "winner").alias("canonical"))
-    named = mapped(books, "publisher", clean=lambda x: T.clean_text(x))
-    after = named.join(groups.withColumnRenamed("name", "clean"), "clean", "left").withColumn("publisher", F.coalesce("canonical", "publisher")).select(books.columns)
+    # whole books meet only the few raw names that change
+    raw = books.where("publisher is not null and publisher != ''").select("publisher").distinct().withColumn("name", T.clean_text(F.col("publisher")))
+    target = raw.join(groups, "name").where("canonical != publisher").select("publisher", "canonical")
+    after = books.join(target, "publisher", "left").withColumn("publisher", F.coalesce("canonical", "publisher")).select(books.columns)
     log = changes(books, after, ["publisher"], "publishers")
     return Result(after, log, log.groupBy("before", "after").agg(F.count("*").alias("books")))
 
@@ -107,8 +118,8 @@ def credited(books: DataFrame) -> DataFrame:
 
 def author_canon(names: DataFrame) -> DataFrame:
     """(name, n, key, winner): counted names by key; most books, with blanks, in mixed case, without a comma, by name."""
-    counted = mapped(names.groupBy("name").agg(F.count("*").alias("n")), "name", key=T.name_key)
-    mixed = (F.upper("name") != F.col("name")) & (F.lower("name") != F.col("name"))
+    counted = names.groupBy("name").agg(F.count("*").alias("n")).withColumn("key", T.name_key(F.col("name")))
+    mixed = ~((F.upper("name") == F.col("name")) & (F.lower("name") != F.col("name"))) & ~((F.lower("name") == F.col("name")) & (F.upper("name") != F.col("name")))
     rank = F.struct((-F.col("n")).alias("n"), (~F.col("name").contains(" ")).alias("one"), (~mixed).alias("case"), F.col("name").contains(",").alias("comma"), "name")
     return counted.join(counted.groupBy("key").agg(F.min(rank)["name"].alias("winner")), "key").select("name", "n", "key", "winner")
 
@@ -116,23 +127,34 @@ def author_canon(names: DataFrame) -> DataFrame:
 def canonical_names(names: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """(name, canonical, why): alias; else the existing name that "Last, First" turns into; else the winner of the key, that by alias again."""
     spark = names.sparkSession
-    canon = mapped(author_canon(names), "name", folded=T.fold, turned=T.flipped)
-    canon = mapped(canon, "turned", turned_key=T.name_key)
+    # one row a name: each rule runs once per distinct name without a join
+    canon = author_canon(names).withColumn("clean", T.clean_text(F.col("name"))).withColumn("folded", T.fold(F.col("name"))).withColumn("turned", T.turned(F.col("clean")))
+    canon = written(canon.withColumn("turned_key", T.name_key(F.col("turned"))), "names")
     by_key = canon.select(F.col("key").alias("turned_key"), F.col("winner").alias("existing")).distinct()
     alias = lookup(spark, aliases or {}, "folded", "alias")
     out = canon.join(by_key, "turned_key", "left").join(alias, "folded", "left")
     other = (F.col("turned") != "") & F.col("existing").isNotNull() & (F.col("turned_key") != F.col("key"))
     out = out.withColumn("chosen", F.coalesce("alias", F.when(other, F.col("existing")), "winner"))
-    out = mapped(out.drop("folded", "alias"), "chosen", folded=T.fold).join(alias, "folded", "left")
+    out = out.drop("folded", "alias").withColumn("folded", T.fold(F.col("chosen"))).join(alias, "folded", "left")
     why = F.when(F.col("alias").isNotNull(), "alias").when(other, "turned").when(F.col("chosen") != F.col("name"), "spelling")
     return out.select("name", "n", F.coalesce("alias", "chosen").alias("canonical"), why.alias("why"), F.when((F.col("turned") != "") & ~F.coalesce(other, F.lit(False)), F.col("turned")).alias("suggested"))
 
 
+def existing_spelling(books: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, existing): the capitalisation in which a name stands in the library already, the first one by book and place."""
+    first = books.select("id", F.posexplode("authors").alias("pos", "have")).where("have is not null").groupBy("have").agg(F.min(F.struct("id", "pos")).alias("at"))
+    first = first.withColumn("folded", T.fold(F.col("have"))).groupBy("folded").agg(F.min_by("have", "at").alias("existing"))
+    return names.withColumn("folded", T.fold(F.col("name"))).join(first, "folded").where("existing != name").select("name", "existing")
+
+
 def authors_pass(books: DataFrame, aliases: dict[str, str] | None = None) -> Result:
     """Authors split, canonical, each key once per book; a book keeps its authors if none is left."""
     split = credited(books)
     canon = canonical_names(split.select("name"), aliases)
-    rows = mapped(split.join(canon, "name").select("id", "pos", "sub", F.col("canonical").alias("name")), "name", key=T.name_key)
+    kept = existing_spelling(books, canon.select(F.col("canonical").alias("name")).distinct())
+    canon = canon.join(kept.withColumnRenamed("name", "canonical"), "canonical", "left").withColumn("canonical", F.coalesce("existing", "canonical")).drop("existing")
+    canon = canon.withColumn("key", T.name_key(F.col("canonical")))
+    rows = split.join(canon.select("name", "canonical", "key"), "name").select("id", "pos", "sub", F.col("canonical").alias("name"), "key")
     once = rows.groupBy("id", "key").agg(F.min(F.struct("pos", "sub", "name")).alias("x"))
     lists = once.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["name"]).alias("new"))
     after = books.join(lists, "id", "left").withColumn("authors", F.coalesce("new", "authors")).drop("new")
@@ -141,7 +163,7 @@ def authors_pass(books: DataFrame, aliases: dict[str, str] | None = None) -> Res
 
 def wanted_sort(authors: Column, sorts: Column) -> Column:
     """The sort forms of all authors joined; NULL if one is not known."""
-    forms = F.transform(authors, lambda a: F.nullif(sorts[a], F.lit("")))
+    forms = F.transform(authors, lambda a: F.nullif(T.one_blank(sorts[a]), F.lit("")))
     return F.when((F.size(authors) > 0) & ~F.exists(forms, lambda f: f.isNull()), F.array_join(forms, " & "))
 
 

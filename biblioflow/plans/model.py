@@ -15,6 +15,7 @@ class Result:
     books: DataFrame
     changes: DataFrame | None = None
     review: DataFrame | None = None
+    flags: DataFrame | None = None  # of the series pass: id, accepted, withheld
 
 
 def author_lists(links: DataFrame, authors: DataFrame) -> DataFrame:
@@ -26,8 +27,8 @@ def author_lists(links: DataFrame, authors: DataFrame) -> DataFrame:
 
 def sort_maps(links: DataFrame, authors: DataFrame) -> DataFrame:
     """(id, author_sorts): name to sort form of every book's authors; of equal names the last link counts."""
-    named = links.join(authors.select(F.col("id").alias("author"), F.replace("name", F.lit("|"), F.lit(",")).alias("name"), "author_sort"), "author")
-    last = named.groupBy("book", "name").agg(F.max_by("author_sort", "id").alias("author_sort"))
+    named = links.select("book", "author", F.col("id").alias("at")).join(authors.select(F.col("id").alias("author"), F.replace("name", F.lit("|"), F.lit(",")).alias("name"), "author_sort", "id"), "author")
+    last = named.groupBy("book", "name").agg(F.max_by("author_sort", F.struct("at", "id")).alias("author_sort"))
     return last.groupBy(F.col("book").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("name", "author_sort"))).alias("author_sorts"))
 
 

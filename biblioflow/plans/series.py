@@ -33,11 +33,29 @@ def gap_report(books: DataFrame) -> DataFrame:
 
     Volumes are whole numbers of 1 and above, cut off; series go by their exact name.
     """
+    have = gap_ranges(books)
+    missing = F.flatten(F.transform("gaps", lambda g: F.sequence(g["first"], g["last"])))
+    return have.where(F.size("gaps") > 0).select("series", "volumes", "last_volume", missing.alias("missing"))
+
+
+def gap_ranges(books: DataFrame) -> DataFrame:
+    """(series, volumes, last_volume, gaps): gaps as ranges (first, last), so that one absurd index costs one row."""
     index = F.when(F.col("series_index").isNull() | (F.col("series_index") == 0), 1.0).otherwise(F.col("series_index"))
-    have = books.where("series is not null and series != ''").select("series", F.floor(index).cast("bigint").alias("v")).where("v >= 1").groupBy("series").agg(F.array_sort(F.collect_set("v")).alias("have"))
-    last = F.element_at("have", -1)
-    gaps = have.where(F.size("have") >= 2).select("series", F.size("have").cast("bigint").alias("volumes"), last.alias("last_volume"), F.array_except(F.sequence(F.lit(1).cast("bigint"), last), "have").alias("missing"))
-    return gaps.where(F.size("missing") > 0)
+    have = books.where("series is not null and series != ''").select("series", F.floor(index).cast("bigint").alias("v")).where("v >= 1").distinct()
+    before = F.coalesce(F.lag("v").over(Window.partitionBy("series").orderBy("v")), F.lit(0).cast("bigint"))
+    gap = F.when(F.col("v") > before + 1, F.struct((before + 1).alias("first"), (F.col("v") - 1).alias("last")))
+    rows = have.select("series", "v", gap.alias("gap"))
+    return rows.groupBy("series").agg(F.count("*").alias("volumes"), F.max("v").alias("last_volume"), F.array_sort(F.collect_list("gap")).alias("gaps")).where("volumes >= 2")
+
+
+def conflict_pairs(books: DataFrame) -> DataFrame:
+    """(series, title_says, books): how often a series and the one that titles tell differ, most often first."""
+    b = books if "parsed" in books.columns else parsed(books)
+    cands = accepted(candidates(b), b)
+    named = names(cands, b)
+    plan = planned(b, cands, named).where("review = 'series-conflict'").select("id", "old_series")
+    told = plan.join(cands.select("id", "name"), "id").groupBy(F.col("old_series").alias("series"), F.col("name").alias("title_says"))
+    return told.agg(F.count("*").alias("books")).orderBy(F.desc("books"), "series", "title_says")
 
 
 def candidates(books: DataFrame, blocked: list[str] = BLOCKED, least: int = LEAST_KEY) -> DataFrame:
@@ -119,18 +137,24 @@ def series_pass(books: DataFrame, fix_index: bool = False, aliases: dict[str, st
     free = plan.join(clash.where("withheld").select("id"), "id", "left_anti").where("series is not null")
     after = b.join(free.select("id", F.col("series").alias("s"), F.col("index").alias("i")), "id", "left").withColumn("series", F.coalesce("s", "series")).withColumn("series_index", F.coalesce("i", "series_index")).drop("s", "i")
     review = numbering_review(b).union(plan.where("review is not null").select(F.col("review"), "id")).union(clash.select(F.concat(F.lit("collision-"), "category"), "id"))
-    return Result(after, changes(b, after, ["series", "series_index"], "series"), review)
+    # whose bare numbers are volumes: candidates that nothing keeps from their volume
+    held = clash.groupBy("id").agg(F.max("withheld").alias("kept_out"))
+    flags = plan.join(held, "id", "left").select("id", (F.col("kind").isNotNull() & ~F.coalesce("kept_out", F.lit(False))).alias("accepted"), F.col("kept_out").isNotNull().alias("withheld"))
+    return Result(after, changes(b, after, ["series", "series_index"], "series"), review, flags)
 
 
-def titles_pass(books: DataFrame, accepted_ids: DataFrame | None = None) -> Result:
-    """Titles cleaned, and in one style where the volume is sure. A change of letter case only is not made."""
+def titles_pass(books: DataFrame, flags: DataFrame | None = None) -> Result:
+    """Titles cleaned, and in one style where the volume is sure. A change of letter case only is not made.
+
+    flags: of the series pass; a bare number is sure if it was accepted and names the book's series.
+    """
     b = books if "parsed" in books.columns else parsed(books)
     p = F.col("parsed")
-    if accepted_ids is not None:
-        b = b.join(accepted_ids.select("id").distinct().withColumn("ok", F.lit(True)), "id", "left")
-        sure = (p["kind"] == "explicit") | ((p["kind"] == "bare") & F.coalesce("ok", F.lit(False)))
-    else:
-        sure = p["kind"] == "explicit"
+    sure = p["kind"] == "explicit"
+    if flags is not None:
+        b = mapped(mapped(b.withColumn("says", p["series"]), "says", says_key=series_key), "series", own_key=series_key)
+        b = b.join(flags.select("id", "accepted"), "id", "left")
+        sure = sure | ((p["kind"] == "bare") & F.coalesce("accepted", F.lit(False)) & F.col("series").isNotNull() & (F.col("says_key") == F.col("own_key")))
     new = F.when(F.coalesce(sure, F.lit(False)) & p["standard"].isNotNull(), p["standard"]).otherwise(p["cleaned"])
     n = mapped(mapped(b.withColumn("new", new), "new", new_fold=T.fold), "title", old_fold=T.fold)
     after = n.withColumn("title", F.when((F.col("new") != "") & (F.col("new_fold") != F.col("old_fold")), F.col("new")).otherwise(F.col("title"))).select(books.columns)

@@ -55,29 +55,32 @@ def test_title_forms():
     assert TT.variants(TT.parse("Sea Song Vol. 3: Dawn"), 3) == ["Sea Song Vol. 3: Dawn", "Sea Song, Vol. 3: Dawn", "Sea Song, Vol. 3"]
 
 
-def test_author_strings():
-    assert K.split_credits("Moor, Ada; Lark, Ben") == (["Ada Moor", "Ben Lark"], [])
-    assert K.split_credits("Ada Moor, Ben Lark") == (["Ada Moor", "Ben Lark"], [])
-    assert K.split_credits("Ada Moor, illustrated by Cy Fen") == (["Ada Moor"], ["Cy Fen"])
-    assert K.split_credits("880-01 Moor, Ada, 1965-") == (["Ada Moor"], [])
-    assert K.split_credits("Moor, Ada") == (["Moor, Ada"], [])
-    assert K.split_credits("Editorial Department") == ([], ["Editorial Department"])
-    assert K.turned("Moor, Ada") == "Ada Moor" and K.turned("Moor, Ada, X") == "" and K.turned("Moor 2, Ada") == ""
-
-
-def test_tags_and_junk_authors():
-    assert K.expand_tag("Fiction / Sea / General") == ["Fiction", "Sea", "General"]
-    assert K.expand_tag("lcsh: Ships -- Fiction.") == ["Ships"]
-    assert K.expand_tag("a|https://x.y|b - General") == ["a", "b"]
-    info = K.junk_author("Vol 02-03 [June][Scans][4FF7E520]", frozenset())
-    assert (info["volume"], info["volume_end"], info["publisher"], info["source"]) == (2.0, 3.0, "June", "Scans")
-    assert K.junk_author("Ada Moor", frozenset({"admin"})) is None and K.junk_author("Admin", frozenset({"admin"}))["reason"] == "stand-in"
-
-
 def one(spark, rows, schema, *cols):
     return [tuple(r) for r in spark.createDataFrame(rows, schema).select(*cols).collect()]
 
 
+def test_author_strings(spark):
+    cases = {
+        "Moor, Ada; Lark, Ben": (["Ada Moor", "Ben Lark"], []), "Ada Moor, Ben Lark": (["Ada Moor", "Ben Lark"], []), "Ada Moor, illustrated by Cy Fen": (["Ada Moor"], ["Cy Fen"]),
+        "880-01 Moor, Ada, 1965-": (["Ada Moor"], []), "Moor, Ada": (["Moor, Ada"], []), "Editorial Department": ([], ["Editorial Department"]), "Moor,": (["Moor"], []), "": ([], []),
+        "Moor, Ada;Lark, Ben, 1958-": (["Ada Moor", "Ben Lark"], []), "by Ada Moor": (["Ada Moor"], []), "Moor; ; translated by  Cy": (["Moor"], ["Cy"]), None: ([], []),
+    }
+    got = one(spark, [(x,) for x in cases], "n string", "n", T.split_author(F.col("n")).alias("s"))
+    assert {n: (s["authors"], s["dropped"]) for n, s in got} == cases
+    assert [r[0] for r in one(spark, [("Moor, Ada",), ("Moor, Ada, X",), ("Moor 2, Ada",), (",Ada",), (None,)], "n string", T.flipped(F.col("n")))] == ["Ada Moor", "", "", "", ""]
+
+
+def test_tags_and_junk_authors(spark):
+    cases = {"Fiction / Sea / General": ["Fiction", "Sea", "General"], "lcsh: Ships -- Fiction.": ["Ships"], "a|https://x.y|b - General": ["a", "b"], "CYAC: Pirates--Fiction. | LCGFT: Light novels": ["Pirates", "Light novels"], "A &amp; B": ["A & B"], "": [], None: []}
+    assert dict(one(spark, [(x,) for x in cases], "t string", "t", T.expand_tag(F.col("t")))) == cases
+    names = ["Vol 02-03 [June][Scans][4FF7E520]", "Complete [Viz][Scans Compressed][5E4B3DA6]", "Dawn [June][4FF7E520]", "Ada Moor", "ADMIN", "(c) 2001 Moor", None]
+    info = {n: r for n, r in one(spark, [(x,) for x in names], "n string", "n", T.junk_author_info(F.col("n"), ["Admin"]))}
+    first = info[names[0]]
+    assert (first["volume"], first["volume_end"], first["publisher"], first["source"], first["complete"], first["subtitle"]) == (2.0, 3.0, "June", "Scans", False, None)
+    assert info[names[1]]["complete"] and info[names[1]]["source"] == "Scans Compressed" and info[names[2]]["subtitle"] == "Dawn" and info[names[2]]["source"] is None
+    assert [info[n]["reason"] for n in names[3:]] == [None, "stand-in", "copyright", None]
+
+
 def test_native(spark):
     rows = [("2011-05-09T00:00:00",), ("2011",), ("0101-01-01",), (None,), ("x",), ("2011-07",)]
     got = [r[0] for r in one(spark, rows, "d string", T.normalize_pubdate(F.col("d")))]
