@@ -162,20 +162,20 @@ TITLE_SCHEMA = T.StructType([
 ])
 
 
-def parse_title(title: Column, publishers: list[str] = (), junk_words: list[str] = TT.JUNK_WORDS, label: str = "Vol.", style: str = "decimal") -> Column:
-    """What a title says, as a struct. publishers: known names in brackets; a list of bounded size."""
-    known, junk = list(publishers), list(junk_words)
+def parse_title(title: Column, publishers: Column | None = None, junk_words: list[str] = TT.JUNK_WORDS, label: str = "Vol.", style: str = "decimal") -> Column:
+    """What a title says, as a struct. publishers: an array of the known names that stand in its brackets."""
+    junk = list(junk_words)
 
     @F.pandas_udf(TITLE_SCHEMA)
-    def run(s: pd.Series) -> pd.DataFrame:
+    def run(s: pd.Series, known: pd.Series) -> pd.DataFrame:
         rows = []
-        for x in s:
-            t = TT.parse(x, known, junk)
-            rows.append((t.original, t.cleaned, t.series, t.volume, t.part, t.subtitle, t.kind, t.keyword, t.part_label, t.marker, TT.index(t, style), TT.standard(t, label), TT.variants(t), t.notes))
+        for x, names in zip(s, known):
+            t = TT.parse(x, names if names is not None else (), junk)
+            rows.append((t.original, t.cleaned, t.series, t.volume, t.part, t.subtitle, t.kind, t.keyword, t.part_label, t.marker, TT.index(t, style), TT.standard(t, label), TT.variants(t), list(t.notes)))
         out = pd.DataFrame(rows, columns=TITLE_SCHEMA.names, index=s.index)
         return out.astype({"part": "Int32"})
 
-    return run(F.coalesce(title, F.lit("")))
+    return run(F.coalesce(title, F.lit("")), publishers if publishers is not None else F.array().cast("array<string>"))
 
 
 # ---- native expressions ------------------------------------------------------------------

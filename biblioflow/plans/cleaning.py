@@ -94,13 +94,18 @@ def publisher_groups(books: DataFrame) -> DataFrame:
     return counted.join(counted.groupBy("key").agg(F.min(rank)["name"].alias("winner")), "key").select("name", "n", "key", "winner")
 
 
-def publishers_pass(books: DataFrame, aliases: dict[str, str] | None = None) -> Result:
-    """Publishers by alias, else the winner of their key, that by alias again."""
+def canonical_publishers(books: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """(name, canonical): alias, else the winner of the key, that by alias again."""
     spark = books.sparkSession
     alias = lookup(spark, aliases or {}, "folded", "alias")
     groups = publisher_groups(books).withColumn("folded", T.fold(F.col("name"))).join(alias, "folded", "left")
     target = groups.where("alias is not null").groupBy("key").agg(F.min("alias").alias("target"))
-    groups = groups.join(target, "key", "left").select("name", F.coalesce("alias", "target", "winner").alias("canonical"))
+    return groups.join(target, "key", "left").select("name", F.coalesce("alias", "target", "winner").alias("canonical"))
+
+
+def publishers_pass(books: DataFrame, aliases: dict[str, str] | None = None) -> Result:
+    """Every book's publisher in its canonical form."""
+    groups = canonical_publishers(books, aliases)
     # whole books meet only the few raw names that change
     raw = books.where("publisher is not null and publisher != ''").select("publisher").distinct().withColumn("name", T.clean_text(F.col("publisher")))
     target = raw.join(groups, "name").where("canonical != publisher").select("publisher", "canonical")

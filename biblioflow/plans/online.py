@@ -5,21 +5,24 @@ Answers come as tables (live sources fill them); nothing here calls a service.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biblioflow.functions import text as T
 from biblioflow.operators.changes import changes
 from biblioflow.operators.linkage import best_hits, person_votes
-from biblioflow.plans.candidates import filled, first_acceptable, incomplete, judged, marked
-from biblioflow.plans.cleaning import mapped
+from biblioflow.plans.candidates import adds_anything, filled, first_acceptable, gained, incomplete, judged, lacks_required, marked
+from biblioflow.plans.cleaning import canonical_publishers, mapped, normal_tags
 from biblioflow.plans.model import Result
 from biblioflow.plans.series import first_come, parsed, series_key
-from biblioflow.sources.files import book_medium
+from biblioflow.session import written
+from biblioflow.sources.files import book_medium, without_cover
 
 # Names that are no authors; least likeness of catalogue titles and of titles of series looked up.
 JUNK_NAMES = ["admin", "unknown", "unknown author", "verypdf", "jpg to pdf converter", "calibre", "adobe acrobat", "microsoft word", "seven seas", "quantum ln", "various"]
 CATALOGUE_ALIKE, SERIES_ALIKE, AUTHORS_ALIKE = 0.93, 0.92, 0.75
+# Bytes of the smallest picture that counts as a cover; type tags.
+LEAST_COVER = 1024
 TYPE_LABELS = {"novel": "Light Novel", "manga": "Manga", "other": "Other Books"}
 
 
@@ -49,6 +52,8 @@ def junk_authors_pass(books: DataFrame, votes: DataFrame, junk_names: list[str]
 def catalogue_media(books: DataFrame, hits: DataFrame) -> DataFrame:
     """(id, novel, comic, searched): media of confident catalogue hits. hits: query, title, main_title, medium; asked once per query."""
     q = books.select("id", F.coalesce("series", F.col("parsed.series"), F.col("parsed.cleaned"), "title").alias("query"))
+    q = mapped(q, "query", asked_as=T.fold).select("id", F.col("asked_as").alias("query"))
+    hits = mapped(hits, "query", asked_as=T.fold).drop("query").withColumnRenamed("asked_as", "query")
     best = best_hits(hits, CATALOGUE_ALIKE).groupBy("query").agg(F.max((F.col("medium") == "novel").cast("int")).alias("n"), F.max((F.col("medium") == "comic").cast("int")).alias("c"))
     asked = hits.select("query").distinct().withColumn("asked", F.lit(True))
     j = q.join(asked, "query", "left").join(best, "query", "left")
@@ -75,13 +80,17 @@ def classify_pass(books: DataFrame, hits: DataFrame, publishers: dict[str, list[
     return Result(after.select(books.columns), changes(books, after, ["booktype", "tags"], "classify"), b.select(category.alias("category"), F.col("id").alias("book_id"), F.col("d.rule").alias("detail")).where("category is not null"))
 
 
-def series_lookup_pass(books: DataFrame, hits: DataFrame) -> Result:
+def series_lookup_pass(books: DataFrame, hits: DataFrame, flags: DataFrame | None = None) -> Result:
     """Series of books that have none from the first hit with a like title, a series and a like author; taken volumes are reported.
 
-    hits: book_id, rank, title, subtitle, authors, series, position.
+    hits: book_id, rank, title, subtitle, authors, series, position. Books whose author is
+    no person, and those the series pass withheld (flags), are not looked up.
     """
     b = books if "parsed" in books.columns else parsed(books)
-    todo = b.where("series is null").where(~F.coalesce(F.col("parsed.kind").isNotNull(), F.lit(False))).select(F.col("id").alias("book_id"), "title", F.col("authors").alias("own"))
+    no_person = junk_author_books(b).select(F.col("book_id").alias("id"))
+    free = b.join(no_person, "id", "left_anti")
+    free = free.join(flags.where("withheld").select("id"), "id", "left_anti") if flags is not None else free
+    todo = free.where("series is null").where(~F.coalesce(F.col("parsed.kind").isNotNull(), F.lit(False))).select(F.col("id").alias("book_id"), "title", F.col("authors").alias("own"))
     h = todo.join(hits.withColumnRenamed("title", "hit"), "book_id").where("series is not null and position is not null")
     whole = F.concat_ws(": ", "hit", F.nullif("subtitle", F.lit("")))
     h = h.where(F.greatest(T.similarity(F.col("title"), F.col("hit")), T.similarity(F.col("title"), whole)) >= SERIES_ALIKE)
@@ -95,24 +104,85 @@ def series_lookup_pass(books: DataFrame, hits: DataFrame) -> Result:
     return Result(after.select(books.columns), changes(books, after, ["series", "series_index"], "series_lookup"), got.where("outcome != 'assigned'").select(F.lit("series-lookup-collision").alias("category"), "book_id"))
 
 
-def fetch_pass(books: DataFrame, candidates: DataFrame, force: bool = False) -> Result:
+CANDIDATE_FIELDS = ["title", "authors", "tags", "publisher", "pubdate", "comments", "languages", "identifiers", "series", "series_index"]
+
+
+def known_medium(booktype: Column, by_files: Column, marker: Column) -> Column:
+    """comic or novel: by the type a book has already, else by its files, else by the marker of its title."""
+    told = F.lower(booktype)
+    typed = F.when(told == TYPE_LABELS["manga"].lower(), "comic").when(told.isin(TYPE_LABELS["novel"].lower(), TYPE_LABELS["other"].lower()), "novel")
+    return F.coalesce(typed, by_files, F.when(marker == "manga", "comic").when(marker == "novel", "novel"))
+
+
+def asked_pairs(books: DataFrame, candidates: DataFrame, flags: DataFrame | None = None, probes: DataFrame | None = None) -> DataFrame:
+    """Books beside their candidates, as the gates want them. candidates: book_id, rank and the candidate's fields."""
+    c = candidates.select("book_id", F.col("rank").alias("candidate_id"), "rank", *(F.col(f).alias(f"c_{f}") for f in CANDIDATE_FIELDS))
+    b = books if "parsed" in books.columns else parsed(books)
+    if flags is not None:
+        b = b.join(flags.select("id", "accepted", "withheld"), "id", "left")
+    else:
+        b = b.withColumn("accepted", F.lit(False)).withColumn("withheld", F.lit(False))
+    b = b.join(probes.select("id", "medium"), "id", "left") if probes is not None else b.withColumn("medium", F.lit(None).cast("string"))
+    junk = junk_author_books(books).select(F.col("book_id").alias("id")).distinct().withColumn("junk", F.lit(True))
+    b = b.join(junk, "id", "left")
+    medium = known_medium(F.col("booktype"), book_medium(F.col("formats"), F.col("medium")), F.col("parsed.marker"))
+    own = b.select(
+        F.col("id").alias("book_id"), F.col("title").alias("b_title"), F.col("authors").alias("b_authors"), F.col("series").alias("b_series"), F.col("comments").alias("b_comments"), F.col("identifiers").alias("b_identifiers"),
+        medium.alias("b_medium"), F.coalesce("accepted", F.lit(False)).alias("b_accepted"), F.coalesce("withheld", F.lit(False)).alias("b_withheld"), F.coalesce("junk", F.lit(False)).alias("b_junk"),
+    )
+    return own.join(c, "book_id")
+
+
+def fetch_pass(books: DataFrame, candidates: DataFrame, force: bool = False, flags: DataFrame | None = None, fallback: DataFrame | None = None, errors: DataFrame | None = None, probes: DataFrame | None = None, aliases: dict[str, str] | None = None) -> Result:
     """Incomplete books filled from their first acceptable candidate, with status and its tag.
 
-    candidates: book_id, rank, and the candidate's fields.
+    candidates: book_id, rank, and the candidate's fields. fallback: the same of a source
+    asked last; its titles must be Latin instead of English, it must add something, and a
+    book that still lacks a required field keeps no status, to be asked again. errors:
+    book_id of books for which a source failed; without any answer they stay unmarked.
     """
-    fields = ["title", "authors", "tags", "publisher", "pubdate", "comments", "languages", "identifiers", "series", "series_index"]
-    c = candidates.select("book_id", F.col("rank").alias("candidate_id"), "rank", *(F.col(f).alias(f"c_{f}") for f in fields))
     todo = incomplete(books, force)
-    own = todo.select(F.col("id").alias("book_id"), F.col("title").alias("b_title"), F.col("authors").alias("b_authors"), F.col("series").alias("b_series"), book_medium(F.col("formats"), F.lit(None).cast("string")).alias("b_medium"))
-    judgements = judged(own.join(c, "book_id"))
-    chosen = first_acceptable(judgements).join(c, ["book_id", "candidate_id"])
-    new = filled(todo.join(chosen.withColumnRenamed("book_id", "id"), "id"))
-    names = [x for x in new.columns if x != "id"]
+    pairs = asked_pairs(todo, candidates, flags, probes)
+    judgements = judged(pairs)
+    chosen = first_acceptable(judgements).join(pairs, ["book_id", "candidate_id"]).withColumn("last_resort", F.lit(False))
+    if fallback is not None:
+        left = adds_anything(asked_pairs(todo.join(chosen.select(F.col("book_id").alias("id")), "id", "left_anti"), fallback, flags, probes)).where(T.latin(F.col("c_title")))
+        more = judged(left, assume_english=True)
+        chosen = chosen.unionByName(first_acceptable(more).join(left, ["book_id", "candidate_id"]).withColumn("last_resort", F.lit(True)))
+        judgements = judgements.union(more)
+    chosen, judgements = written(chosen, "chosen"), written(judgements, "judgements")
+    # tags and publishers come in the library's own form
+    tags = normal_tags(chosen.select(F.col("book_id").alias("id"), F.col("c_tags").alias("tags"), F.col("b_authors").alias("authors")), books)
+    names = canonical_publishers(books, aliases).select(F.col("name").alias("c_publisher"), "canonical")
+    c = chosen.withColumnRenamed("book_id", "id").join(tags, "id", "left").drop("c_tags").withColumn("c_tags", F.coalesce("new_tags", F.array().cast("array<string>")))
+    c = c.join(names, "c_publisher", "left").withColumn("c_publisher", F.coalesce("canonical", "c_publisher"))
+    new = filled(todo.join(c.select("id", *(f"c_{f}" for f in CANDIDATE_FIELDS)), "id"))
+    gain = gained(chosen, books)
+    fields = [x for x in new.columns if x != "id"]
     asked = judgements.select(F.col("book_id").alias("id")).distinct().withColumn("asked", F.lit(True))
-    b = books.join(new.select("id", F.lit(True).alias("found"), *(F.col(x).alias(f"n_{x}") for x in names)), "id", "left").join(asked, "id", "left")
-    for x in names:
-        b = b.withColumn(x, F.when(F.col("found"), F.col(f"n_{x}")).otherwise(F.col(x)))
-    status = F.when(F.col("found"), "fetched").when(F.col("asked"), "failed")
-    b = b.withColumn("metadata_status", F.coalesce(status, "metadata_status")).withColumn("tags", F.when(status.isNotNull(), marked(F.col("tags"), status)).otherwise(F.col("tags")))
+    b = books.join(new.select("id", *(F.col(x).alias(f"n_{x}") for x in fields)), "id", "left").join(gain, "id", "left").join(asked, "id", "left")
+    b = b.join(chosen.select(F.col("book_id").alias("id"), "last_resort"), "id", "left")
+    if errors is not None:
+        b = b.join(errors.select(F.col("book_id").alias("id")).distinct().withColumn("failed", F.lit(True)), "id", "left")
+    found = F.col("last_resort").isNotNull()
+    for x in fields:
+        b = b.withColumn(x, F.when(found, F.col(f"n_{x}")).otherwise(F.col(x)))
+    b = b.withColumn("title", F.coalesce("new_title", "title")).withColumn("series_index", F.coalesce("new_index", "series_index")).withColumn("series", F.coalesce("new_series", "series"))
+    status = F.when(found & F.col("last_resort") & lacks_required(), None).when(found, "fetched").when(F.col("asked"), "failed")
+    b = b.withColumn("status", status).withColumn("metadata_status", F.coalesce("status", "metadata_status")).withColumn("tags", F.when(F.col("status").isNotNull(), marked(F.col("tags"), F.col("status"))).otherwise(F.col("tags")))
     after = b.select(books.columns)
-    return Result(after, changes(books, after, [*names, "metadata_status"], "fetch"), judgements)
+    return Result(after, changes(books, after, [*fields, "title", "series", "series_index", "metadata_status"], "fetch"), judgements)
+
+
+def covers_pass(books: DataFrame, covers: DataFrame, pictures: DataFrame) -> Result:
+    """Covers for books whose flag or file is missing: the first source by kind that has one; the rest are reported.
+
+    covers: path of the files there are. pictures: id, source, path of pictures taken from
+    the book's files or delivered by a source, with bytes; small ones do not count.
+    """
+    missing = without_cover(books, covers).select("id")
+    rank = F.when(F.col("source") == "file", 0).otherwise(1)
+    best = pictures.where(F.col("bytes") > LEAST_COVER).join(missing, "id", "left_semi").groupBy("id").agg(F.min_by(F.struct("source", "path"), F.struct(rank, "source", "path")).alias("x"))
+    after = books.join(best, "id", "left").withColumn("has_cover", F.coalesce("has_cover", F.lit(False)) | F.col("x").isNotNull()).select(books.columns)
+    log = best.select(F.col("id").alias("book_id"), F.lit("cover").alias("field"), F.lit("").alias("before"), F.col("x.path").alias("after"), F.lit("covers").alias("made_by"))
+    return Result(after, log, missing.join(best, "id", "left_anti").select(F.lit("missing-cover").alias("category"), F.col("id").alias("book_id")))

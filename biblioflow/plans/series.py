@@ -24,8 +24,22 @@ def series_key(x):
 
 
 def parsed(books: DataFrame, publishers: list[str] = (), junk_words=T.TT.JUNK_WORDS) -> DataFrame:
-    """Books with the struct column parsed; each distinct title is read once."""
-    return mapped(books.withColumn("title", F.coalesce("title", F.lit(""))), "title", parsed=lambda x: T.parse_title(x, publishers, junk_words))
+    """Books with the struct column parsed; each distinct title is read once.
+
+    publishers: names of configured lists. They and the library's own names are known: of
+    every title only what stands in brackets is looked up among them, by a join.
+    """
+    spark, b = books.sparkSession, books.withColumn("title", F.coalesce("title", F.lit("")))
+    titles = b.select("title").distinct()
+    inside = titles.where(F.col("title").rlike(r"[(\[]")).select("title", F.explode(F.array_distinct(F.regexp_extract_all("title", F.lit(r"[(\[]([^()\[\]]*)"), F.lit(1)))).alias("name"))
+    inside = inside.withColumn("folded", T.fold(F.col("name"))).where("folded != ''")
+    known = spark.createDataFrame([(p,) for p in publishers], "name string")
+    if "publisher" in books.columns:
+        known = known.union(books.select("publisher").where("publisher is not null").distinct())
+    known = known.select(T.fold(F.col("name")).alias("folded")).distinct()
+    found = inside.join(known, "folded", "left_semi").groupBy("title").agg(F.collect_set("name").alias("known"))
+    read = titles.join(found, "title", "left").select("title", T.parse_title(F.col("title"), F.col("known"), junk_words).alias("parsed"))
+    return b.join(read, "title", "left")
 
 
 def gap_report(books: DataFrame) -> DataFrame:
