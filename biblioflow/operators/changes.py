@@ -7,11 +7,10 @@ empty one.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from biblioflow.functions.text import fold, one_blank, undefined_date
 
@@ -68,36 +67,104 @@ def operations(changed: DataFrame, strict: bool = False) -> DataFrame:
     return changed.groupBy("book_id").agg(pair(F.col("after")).alias("fields"), pair(F.col("before")).alias("expect")).withColumn("strict", F.lit(strict))
 
 
-def batches(ops: DataFrame, size: int = 500) -> DataFrame:
-    """Operations with the number of the batch of at most size in which they are written.
-
-    Numbers come from ranges of ids: the ids are sorted in ranges, and each range is counted.
-    """
-    spread = ops.repartitionByRange("book_id").sortWithinPartitions("book_id").withColumn("part", F.spark_partition_id())
-    inside = F.row_number().over(Window.partitionBy("part").orderBy("book_id")) - 1
-    return spread.withColumn("batch", F.concat_ws("-", "part", F.floor(inside / size))).drop("part")
+def in_order(fields: Column) -> Column:
+    """The fields of an operation in the order in which they are written."""
+    last = len(WRITE_ORDER)
+    place = F.create_map(*(F.lit(x) for i, f in enumerate(WRITE_ORDER) for x in (f, i)))
+    entries = F.transform(F.map_entries(fields), lambda e: F.struct(F.coalesce(place[e["key"]], F.lit(last)).alias("at"), e["key"].alias("field"), e["value"].alias("value")))
+    return F.transform(F.array_sort(entries), lambda e: F.struct(e["field"].alias("field"), e["value"].alias("value")))
 
 
-def compare_and_set(ops: DataFrame, live: DataFrame) -> DataFrame:
-    """(book_id, status, actual): operations against the live state.
+def compare_and_set(ops: DataFrame, live: DataFrame, broken: DataFrame | None = None) -> DataFrame:
+    """(book_id, status, actual, fields, expect, written): operations against the live state.
 
     live: book_id, state map<string,string>. missing: no such book; skipped: a field to be
-    written holds something else than expected (compared without letter case unless
-    strict); failed: an empty title or author list; applied otherwise.
+    written holds something else than expected (compared when folded, exactly if strict);
+    failed: an empty title or author list, or nothing could be written; partial: writing
+    broke off after a field; applied otherwise. broken: book_id, field where writing broke
+    off; fields are written in the order of WRITE_ORDER. written: what was written.
     """
     j = ops.join(live, "book_id", "left")
-    loose = lambda x: F.lower(one_blank(x))
     at = lambda m, k: F.coalesce(m[k], F.lit(""))
-    differs = F.exists(F.map_keys("expect"), lambda k: F.when(F.col("strict"), at(F.col("expect"), k) != at(F.col("state"), k)).otherwise(loose(at(F.col("expect"), k)) != loose(at(F.col("state"), k))))
+    # values are folded once per pair, outside of the conditions
+    pair = j.where("not strict").select("book_id", F.explode(F.map_keys("expect")).alias("k"), "expect", "state").select("book_id", at(F.col("expect"), F.col("k")).alias("e"), at(F.col("state"), F.col("k")).alias("s"))
+    unlike = pair.where("e != s").where(fold(F.col("e")) != fold(F.col("s"))).select("book_id").distinct().withColumn("unlike", F.lit(True))
+    exact = F.exists(F.map_keys("expect"), lambda k: at(F.col("expect"), k) != at(F.col("state"), k))
+    j = j.join(unlike, "book_id", "left")
+    differs = F.when(F.col("strict"), exact).otherwise(F.coalesce("unlike", F.lit(False)))
     empty = F.exists(F.map_entries("fields"), lambda e: e["key"].isin("title", "authors") & (F.coalesce(e["value"], F.lit("")).isin("", "[]")))
-    status = F.when(F.col("state").isNull(), "missing").when(differs, "skipped").when(empty, "failed").otherwise("applied")
-    return j.select("book_id", status.alias("status"), F.map_filter("state", lambda k, _: F.map_contains_key(F.col("expect"), k)).alias("actual"), "fields", "expect")
+    j = j.join(broken.select("book_id", F.col("field").alias("stop")), "book_id", "left") if broken is not None else j.withColumn("stop", F.lit(None).cast("string"))
+    names = F.transform(in_order(F.col("fields")), lambda e: e["field"])
+    done = F.when(F.col("stop").isNull() | ~F.array_contains(names, F.col("stop")), names).otherwise(F.slice(names, F.lit(1), F.greatest(F.array_position(names, F.col("stop")) - 1, F.lit(0)).cast("int")))
+    j = j.withColumn("done", done)
+    status = (
+        F.when(F.col("state").isNull(), "missing").when(differs, "skipped").when(empty, "failed")
+        .when(F.size("done") == 0, "failed").when(F.size("done") < F.size("fields"), "partial").otherwise("applied")
+    )
+    j = j.withColumn("status", status)
+    wrote = F.map_filter("fields", lambda k, _: F.col("status").isin("applied", "partial") & F.array_contains(F.col("done"), k))
+    return j.select("book_id", "status", F.map_filter("state", lambda k, _: F.map_contains_key(F.col("expect"), k)).alias("actual"), "fields", "expect", wrote.alias("written"))
+
+
+def folder_of(author: Column, title: Column, book_id: Column) -> Column:
+    """The folder of a book: its first author, and its title with its id."""
+    safe = lambda x: F.trim(F.regexp_replace(x, r'[\\/:*?"<>|]', "_"))
+    return F.concat(safe(author), F.lit("/"), safe(title), F.lit(" ("), book_id.cast("string"), F.lit(")"))
+
+
+def guarded(ops: DataFrame, books: DataFrame, folders: DataFrame | None = None) -> DataFrame:
+    """Operations with withheld (field to reason), title and authors taken out where writing them could lose files.
+
+    Reasons: an author would change the capitalisation of one that stands in the library;
+    the folder would change its capitalisation only; the new folder holds files already.
+    books: id, title, authors, path. folders: path of folders that hold files.
+    """
+    renames = ops.where(F.map_contains_key("fields", F.lit("title")) | F.map_contains_key("fields", F.lit("authors"))).select("book_id", "fields")
+    b = renames.join(books.select(F.col("id").alias("book_id"), "title", "authors", F.col("path").alias("old")), "book_id")
+    b = b.withColumn("new_authors", F.from_json(F.col("fields")["authors"], "array<string>")).withColumn("names", F.coalesce("new_authors", "authors"))
+    here = books.select(F.explode("authors").alias("have")).where("have is not null").distinct().withColumn("folded", fold(F.col("have"))).groupBy("folded").agg(F.collect_set("have").alias("spellings"))
+    each = b.select("book_id", F.explode("new_authors").alias("name")).withColumn("folded", fold(F.col("name")))
+    recased = each.join(here, "folded").where(~F.array_contains("spellings", F.col("name"))).groupBy("book_id").agg(F.min("name").alias("recased"))
+    b = b.join(recased, "book_id", "left").withColumn("new", folder_of(F.get("names", F.lit(0)), F.coalesce(F.col("fields")["title"], F.col("title")), F.col("book_id")))
+    if folders is not None:
+        b = b.join(folders.select(F.col("path").alias("new")).distinct().withColumn("filled", F.lit(True)), "new", "left")
+    else:
+        b = b.withColumn("filled", F.lit(False))
+    moves = (F.size("names") > 0) & (F.coalesce("old", F.lit("")) != "") & (F.col("new") != F.col("old"))
+    reason = (
+        F.when(F.col("recased").isNotNull(), "changes the capitalisation of an author")
+        .when(moves & (F.lower("new") == F.lower("old")), "changes the capitalisation of a folder").when(moves & F.coalesce("filled", F.lit(False)), "the new folder holds files")
+    )
+    why = b.select("book_id", reason.alias("reason")).where("reason is not null")
+    j = ops.join(why, "book_id", "left")
+    held = lambda k: F.col("reason").isNotNull() & k.isin("title", "authors")
+    rest = lambda m: F.map_filter(m, lambda k, _: ~held(k)).alias(m)
+    withheld = F.transform_values(F.map_filter("fields", lambda k, _: held(k)), lambda k, _: F.col("reason"))
+    return j.select("book_id", rest("fields"), rest("expect"), "strict", withheld.alias("withheld"))
+
+
+def with_retries(ops: DataFrame, write: Callable[[DataFrame], DataFrame], most: int = 2) -> DataFrame:
+    """The journal of a writer that may end early: operations without a record are given to it again, twice at most.
+
+    write: from operations to records (book_id, status, ...) of those it reached; records
+    have to be stored, since each round reads those of the one before.
+    """
+    journal = write(ops)
+    for _ in range(most):
+        rest = not_reached(ops, journal)
+        if rest.isEmpty():
+            break
+        journal = journal.unionByName(write(rest))
+    return journal
 
 
-def withheld_renames(changed: DataFrame, books: DataFrame) -> DataFrame:
-    """Ids whose title and authors are not written: the change is one of letter case only, or of an existing author's."""
-    c = changed.where(F.col("field").isin("title", "authors")).where(fold(F.col("before")) == fold(F.col("after")))
-    return c.select("book_id").distinct().join(books.select(F.col("id").alias("book_id")), "book_id", "left_semi")
+def kept(undone: DataFrame) -> DataFrame:
+    """(book_id, fields_that_differ, value_now, value_that_run_left) of books that an undo left alone, as they were edited since."""
+    j = undone.where("status = 'skipped'")
+    differing = F.map_filter("expect", lambda k, v: F.coalesce(v, F.lit("")) != F.coalesce(F.col("actual")[k], F.lit("")))
+    j = j.withColumn("differing", differing).withColumn("names", F.array_sort(F.map_keys("differing")))
+    now = F.map_filter("actual", lambda k, _: F.array_contains(F.col("names"), k))
+    return j.select("book_id", F.array_join("names", ", ").alias("fields_that_differ"), F.left(F.to_json(now), F.lit(2000)).alias("value_now"), F.left(F.to_json("differing"), F.lit(2000)).alias("value_that_run_left"))
 
 
 def undo_operations(journal: DataFrame) -> DataFrame:
@@ -127,7 +194,3 @@ def merged_identifiers(old: Column, new: Column) -> Column:
     old, new = F.coalesce(old, empty), F.coalesce(new, empty)
     have = F.transform(F.map_keys(old), F.lower)
     return F.map_concat(old, F.map_filter(new, lambda k, _: ~F.array_contains(have, F.lower(k))))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))

@@ -67,10 +67,11 @@ def suggested_aliases(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     return j.select(F.when(left, F.col("name_b")).otherwise(F.col("name_a")).alias("variant"), F.when(left, F.col("name_a")).otherwise(F.col("name_b")).alias("keep"), (F.col("n_a") + F.col("n_b")).alias("total")).orderBy(F.desc("total"), "keep", "variant")
 
 
-def toml_lines(suggestions: DataFrame, most: int = ROWS_SHOWN) -> str:
-    """Suggestions as lines of a settings file, all commented out."""
-    quote = lambda s: '"' + s.replace("\\", "\\\\").replace('"', '\\"') + '"'
-    return "\n".join(f"# {quote(r['variant'])} = {quote(r['keep'])}" for r in suggestions.limit(most).collect())
+def toml_lines(suggestions: DataFrame) -> DataFrame:
+    """(at, line): every suggestion as a line of a settings file, all commented out; at: its place."""
+    quote = lambda c: F.concat(F.lit('"'), F.regexp_replace(c, r'([\\"])', r"\\$1"), F.lit('"'))
+    line = F.concat(F.lit("# "), quote(F.col("variant")), F.lit(" = "), quote(F.col("keep")))
+    return suggestions.select(F.struct((-F.col("total")).alias("n"), "keep", "variant").alias("at"), line.alias("line")).orderBy("at")
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

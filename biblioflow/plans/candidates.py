@@ -9,6 +9,7 @@ from biblioflow.functions import text as T
 from biblioflow.operators.changes import merged_identifiers
 from biblioflow.plans.cleaning import mapped
 from biblioflow.plans.series import first_come, series_key
+from biblioflow.session import written
 
 # Languages taken as English, least similarities, fields that a complete record has.
 ENGLISH = ["eng", "en", "en-us", "en-gb"]
@@ -49,11 +50,13 @@ def read_titles(pairs: DataFrame) -> DataFrame:
     for c in ("b_accepted", "b_junk"):
         if c not in pairs.columns:
             pairs = pairs.withColumn(c, F.lit(False))
-    p = mapped(pairs, "c_title", theirs=T.parse_title, their_words=T.words_key)
-    p = mapped(p, "b_title", ours=T.parse_title, our_words=T.words_key)
-    p = mapped(p.withColumn("our_series", F.col("ours.series")), "our_series", our_key=series_key)
-    p = mapped(p.withColumn("their_series", F.col("theirs.series")), "their_series", their_key=series_key)
-    p = mapped(p, "b_series", b_key=series_key)
+    p = written(pairs, "pairs")
+    titles = p.select(F.col("c_title").alias("title")).union(p.select("b_title")).distinct()
+    read = titles.select("title", T.parse_title(F.col("title")).alias("parsed"), T.words_key(F.col("title")).alias("words"))
+    read = written(read.withColumn("series", F.col("parsed.series")).withColumn("key", series_key(F.col("parsed.series"))), "titles")
+    side = lambda title, *names: read.select(F.col("title").alias(title), *(F.col(c).alias(n) for c, n in zip(("parsed", "words", "series", "key"), names)))
+    keys = p.select("b_series").where("b_series is not null").distinct().withColumn("b_key", series_key(F.col("b_series")))
+    p = p.join(side("c_title", "theirs", "their_words", "their_series", "their_key"), "c_title").join(side("b_title", "ours", "our_words", "our_series", "our_key"), "b_title").join(keys, "b_series", "left")
     o = F.col("ours")
     sure = (o["kind"] == "explicit") | ((o["kind"] == "bare") & (F.coalesce("b_accepted", F.lit(False)) | F.coalesce(F.col("b_series").isNotNull() & (F.col("b_key") == F.col("our_key")), F.lit(False))))
     return p.withColumn("our_volume", F.when(sure, o["volume"]))
@@ -76,7 +79,7 @@ def judged(pairs: DataFrame, assume_english: bool = False) -> DataFrame:
     rest = author_likeness(p.where("quick is null"))
     alike = (F.col("author_sim") >= AUTHORS_ALIKE) | F.coalesce("b_junk", F.lit(False))
     failed = rest.where(~alike).select("book_id", "candidate_id", "rank", F.lit("author").alias("reject_reason"))
-    rest = read_titles(rest.where(alike))
+    rest = read_titles(rest.where(alike).drop("author_sim"))
     o, t, medium = F.col("ours"), F.col("theirs"), F.coalesce("b_medium", F.lit(""))
     word = lambda c, w: F.concat(F.lit(" "), c, F.lit(" ")).contains(f" {w} ")
     tagged = F.exists("c_tags", lambda x: F.lower(x).isin("manga", "comics & graphic novels / manga")) & ~F.exists("c_tags", lambda x: F.lower(x).contains("light novel"))

@@ -168,7 +168,7 @@ def authors_pass(books: DataFrame, aliases: dict[str, str] | None = None) -> Res
 
 def wanted_sort(authors: Column, sorts: Column) -> Column:
     """The sort forms of all authors joined; NULL if one is not known."""
-    forms = F.transform(authors, lambda a: F.nullif(T.one_blank(sorts[a]), F.lit("")))
+    forms = F.transform(authors, lambda a: F.nullif(F.regexp_replace(sorts[a], r"(?U)^\s+|\s+$", ""), F.lit("")))
     return F.when((F.size(authors) > 0) & ~F.exists(forms, lambda f: f.isNull()), F.array_join(forms, " & "))
 
 

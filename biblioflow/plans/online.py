@@ -130,7 +130,7 @@ def asked_pairs(books: DataFrame, candidates: DataFrame, flags: DataFrame | None
         F.col("id").alias("book_id"), F.col("title").alias("b_title"), F.col("authors").alias("b_authors"), F.col("series").alias("b_series"), F.col("comments").alias("b_comments"), F.col("identifiers").alias("b_identifiers"),
         medium.alias("b_medium"), F.coalesce("accepted", F.lit(False)).alias("b_accepted"), F.coalesce("withheld", F.lit(False)).alias("b_withheld"), F.coalesce("junk", F.lit(False)).alias("b_junk"),
     )
-    return own.join(c, "book_id")
+    return written(own.join(c, "book_id"), "asked")
 
 
 def fetch_pass(books: DataFrame, candidates: DataFrame, force: bool = False, flags: DataFrame | None = None, fallback: DataFrame | None = None, errors: DataFrame | None = None, probes: DataFrame | None = None, aliases: dict[str, str] | None = None) -> Result:

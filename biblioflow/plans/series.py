@@ -11,6 +11,7 @@ from biblioflow.functions import text as T
 from biblioflow.operators.changes import changes
 from biblioflow.plans.cleaning import capitals, lookup, mapped
 from biblioflow.plans.model import Result
+from biblioflow.session import written
 
 # Names never taken from titles; the least length of a key; the least number of sibling numbers.
 BLOCKED = ["another", "untitled", "complete"]
@@ -39,17 +40,23 @@ def parsed(books: DataFrame, publishers: list[str] = (), junk_words=T.TT.JUNK_WO
     known = known.select(T.fold(F.col("name")).alias("folded")).distinct()
     found = inside.join(known, "folded", "left_semi").groupBy("title").agg(F.collect_set("name").alias("known"))
     read = titles.join(found, "title", "left").select("title", T.parse_title(F.col("title"), F.col("known"), junk_words).alias("parsed"))
+    read = written(read, "titles")  # read many times by later steps
     return b.join(read, "title", "left")
 
 
-def gap_report(books: DataFrame) -> DataFrame:
-    """(series, volumes, last_volume, missing): series of two or more volumes that lack some below the last one.
+def gap_report(books: DataFrame, shown: int | None = None) -> DataFrame:
+    """(series, volumes, last_volume, n_missing, missing): series of two or more volumes that lack some below the last one.
+
+    shown: of the missing volumes the first so many only; n_missing counts them all.
 
     Volumes are whole numbers of 1 and above, cut off; series go by their exact name.
     """
     have = gap_ranges(books)
-    missing = F.flatten(F.transform("gaps", lambda g: F.sequence(g["first"], g["last"])))
-    return have.where(F.size("gaps") > 0).select("series", "volumes", "last_volume", missing.alias("missing"))
+    last = lambda g: F.least(g["last"], g["first"] + (shown - 1)) if shown else g["last"]
+    missing = F.flatten(F.transform("gaps", lambda g: F.sequence(g["first"], last(g))))
+    missing = F.slice(missing, 1, shown) if shown else missing
+    counted = F.aggregate("gaps", F.lit(0).cast("bigint"), lambda n, g: n + g["last"] - g["first"] + 1)
+    return have.where(F.size("gaps") > 0).select("series", "volumes", "last_volume", counted.alias("n_missing"), missing.alias("missing"))
 
 
 def gap_ranges(books: DataFrame) -> DataFrame:
@@ -145,9 +152,9 @@ def collisions(plan: DataFrame, books: DataFrame) -> DataFrame:
 def series_pass(books: DataFrame, fix_index: bool = False, aliases: dict[str, str] | None = None) -> Result:
     """Series and indexes from titles, where nothing else holds the volume."""
     b = books if "parsed" in books.columns else parsed(books)
-    cands = accepted(candidates(b), b)
-    plan = planned(b, cands, names(cands, b, aliases), fix_index)
-    clash = collisions(plan, b)
+    cands = written(accepted(candidates(b), b), "candidates")
+    plan = written(planned(b, cands, names(cands, b, aliases), fix_index), "plan")
+    clash = written(collisions(plan, b), "collisions")
     free = plan.join(clash.where("withheld").select("id"), "id", "left_anti").where("series is not null")
     after = b.join(free.select("id", F.col("series").alias("s"), F.col("index").alias("i")), "id", "left").withColumn("series", F.coalesce("s", "series")).withColumn("series_index", F.coalesce("i", "series_index")).drop("s", "i")
     review = numbering_review(b).union(plan.where("review is not null").select(F.col("review"), "id")).union(clash.select(F.concat(F.lit("collision-"), "category"), "id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,20 +10,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from biblioflow.functions import text as T
-from biblioflow.operators.changes import compare_and_set, not_reached, operations, undo_operations
+from biblioflow.operators.changes import compare_and_set, folder_of, guarded, kept, not_reached, operations, undo_operations
 from biblioflow.operators.duplicates import ISBN_TYPES, duplicate_review, equal_texts, isbn_groups
 from biblioflow.operators.linkage import author_suggestions, person_votes, publisher_suggestions, series_suggestions
 from biblioflow.operators.packed import unpack
-from biblioflow.operators.report import first_rows, review_summary, summary
-from biblioflow.plans.candidates import filled, first_acceptable, incomplete, judged
+from biblioflow.operators.report import first_rows, review_summary, suggested_aliases, summary, toml_lines
+from biblioflow.plans.candidates import filled, first_acceptable, gained, incomplete, judged
 from biblioflow.plans.cleaning import (
-    NEVER_COPIED, author_sort_pass, authors_pass, canonical_names, consensus_tags, credited, expanded_tags, mapped, preferred_casing, publishers_pass, tag_backfill_pass, tags_pass,
+    NEVER_COPIED, author_sort_pass, authors_pass, canonical_names, consensus_tags, credited, existing_spelling, expanded_tags, mapped, preferred_casing, publishers_pass, tag_backfill_pass, tags_pass,
 )
 from biblioflow.plans.model import author_lists, custom_columns, loaded, pivoted
-from biblioflow.plans.online import classify_pass, fetch_pass, junk_author_books, series_lookup_pass
+from biblioflow.plans.online import JUNK_NAMES, asked_pairs, classify_pass, covers_pass, fetch_pass, junk_author_books, series_lookup_pass
 from biblioflow.plans.run import offline
-from biblioflow.plans.series import accepted, candidates, first_come, gap_report, names, parsed, series_pass, titles_pass
-from biblioflow.session import table
+from biblioflow.plans.series import accepted, candidates, conflict_pairs, first_come, gap_report, names, parsed, series_pass, titles_pass
+from biblioflow.session import shared_dir, table
+from biblioflow.sources import journal
 from biblioflow.sources.files import book_medium, without_cover
 from biblioflow.sources.services import cached, parse_package
 
@@ -137,8 +139,8 @@ def q_json_provider_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_cache_ttl_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = table(spark, sf_dir, "fetched_meta")
-    now = cache.agg(F.max("fetched_at").alias("now"))
-    return cached(cache, F.lit(now.first()["now"]), 365, ["source", "title"], "fetched_at", "meta_id").select("source", "title", "meta_id")
+    cache = cache.crossJoin(cache.agg(F.max("fetched_at").alias("now")))  # one row
+    return cached(cache, F.col("now"), 365, ["source", "title"], "fetched_at", "meta_id").select("source", "title", "meta_id")
 
 
 @query("opf_xml_parse", "select meta_id, nullif(trim(title), '') as title, nullif(trim(publisher), '') as publisher, len(authors) as n_authors from fetched_meta")
@@ -228,7 +230,7 @@ def q_title_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("title_variants")
 def q_title_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsed(_books(spark, sf_dir)).select("id", F.posexplode(F.slice("parsed.variants", 1, 4)).alias("pos", "variant"))
+    return parsed(_books(spark, sf_dir)).select("id", F.posexplode("parsed.variants").alias("pos", "variant"))
 
 
 # ---- series ------------------------------------------------------------------------------
@@ -240,13 +242,12 @@ def q_title_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     with have as (select series, list_sort(list(distinct cast(floor(case when coalesce(series_index, 0) = 0 then 1 else series_index end) as bigint))) as have from books
       where coalesce(series, '') != '' and floor(case when coalesce(series_index, 0) = 0 then 1 else series_index end) >= 1 group by series),
     gaps as (select series, len(have) as volumes, have[-1] as last_volume, list_filter(range(1, have[-1] + 1), lambda v: not list_contains(have, v)) as missing from have where len(have) >= 2)
-    select series, volumes, last_volume, len(missing) as n_missing, array_to_string(missing[1:30], ',') as missing from gaps where len(missing) > 0
+    select series, volumes, last_volume, len(missing) as n_missing, array_to_string(missing, ',') as missing from gaps where len(missing) > 0
     """,
 )
 def q_gap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = gap_report(table(spark, sf_dir, "books"))
-    shown = F.array_join(F.transform(F.slice("missing", 1, 30), lambda v: v.cast("string")), ",")
-    return g.select("series", "volumes", "last_volume", F.size("missing").cast("bigint").alias("n_missing"), shown.alias("missing"))
+    return g.select("series", "volumes", "last_volume", "n_missing", F.array_join(F.transform("missing", lambda v: v.cast("string")), ",").alias("missing"))
 
 
 @query("series_candidates")
@@ -305,7 +306,15 @@ def q_slot_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.join(taken, ["series", "slot"], "left_anti").select("meta_id", "series", "series_index")
 
 
-@query("series_first_come")
+@query(
+    "series_first_come",
+    """
+    with taken as (select distinct series, round(case when coalesce(series_index, 0) = 0 then 1 else series_index end, 4) as slot from books where coalesce(series, '') != ''),
+    m as (select meta_id, series, series_index, round(series_index, 4) as slot from fetched_meta where coalesce(series, '') != '' and series_index is not null)
+    select m.meta_id as book_id, m.series, m.series_index as index, case when t.series is not null then 'taken' when row_number() over (partition by m.series, m.slot order by m.meta_id) > 1 then 'lost' else 'assigned' end as outcome
+    from m left join taken t on t.series = m.series and t.slot = m.slot
+    """,
+)
 def q_series_first_come(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which fetched record gets a volume that several want."""
     m = table(spark, sf_dir, "fetched_meta").where("series is not null and series != '' and series_index is not null").select(F.col("meta_id").alias("book_id"), "series", F.col("series").alias("key"), F.col("series_index").alias("index"))
@@ -316,7 +325,23 @@ def q_series_first_come(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- tags --------------------------------------------------------------------------------
 
 
-@query("tag_expand")
+_CLEAN = "trim(regexp_replace(nfc_normalize({}), '\\s+', ' ', 'g'))"
+_HEADING = (
+    "trim(split_part(trim(regexp_replace(regexp_replace(regexp_replace(p, '^(?:" + "|".join(T.HEADING_PREFIXES) + ") *: *', '', 'i'), ' *-- *(?:" + "|".join(T.HEADING_ENDS) + ")\\.? *$', '', 'i'), '\\.+$', '')), '--', 1))"
+)
+
+
+@query(
+    "tag_expand",
+    f"""
+    with r as (select id, unnest(tags) as raw, generate_subscripts(tags, 1) - 1 as pos from books),
+    k as (select id, pos, list_filter(list_transform(string_split({_CLEAN.format("raw")}, '|'), lambda p: trim(p)), lambda p: p != '' and not regexp_matches(lower(p), '^https?://')) as parts from r where raw is not null),
+    l as (select id, pos, flatten(list_transform(parts, lambda p: list_filter(list_transform(string_split({_HEADING}, ' / '), lambda q: trim(q)), lambda q: q != ''))) as levels from k),
+    g as (select id, pos, list_filter(list_transform(levels, lambda q: regexp_replace(q, ' +- +general$', '', 'i')), lambda q: q != '') as tags from l),
+    e as (select id, pos, unnest(tags) as tag, generate_subscripts(tags, 1) - 1 as sub from g)
+    select id, pos, sub, tag, {_fold("tag")} as folded from e
+    """,
+)
 def q_tag_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expanded_tags(_books(spark, sf_dir))
 
@@ -339,28 +364,63 @@ def q_tag_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags_pass(_books(spark, sf_dir)).changes
 
 
+# books whose series agree on tags: parts of one name, every fifth of which has no tags yet; and the library's own
+_SQL_SERIES = (
+    "select id, series, tags from books union all select p_partkey + 1000000000, p_name, case when p_partkey % 5 = 0 then [] when p_partkey % 3 = 0 then [p_name || ' Set', p_type, 'Extra'] else [p_name || ' set', p_type] end from part"
+)
+_NEVER = ", ".join("'" + n + "'" for n in NEVER_COPIED)
+
+
+def _series_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    n, k = F.col("p_name"), F.col("p_partkey")
+    tags = F.when(k % 5 == 0, F.array().cast("array<string>")).when(k % 3 == 0, F.array(F.concat(n, F.lit(" Set")), "p_type", F.lit("Extra"))).otherwise(F.array(F.concat(n, F.lit(" set")), "p_type"))
+    return _books(spark, sf_dir).select("id", "series", "tags").union(p.select((k + 1_000_000_000).alias("id"), n, tags))
+
+
 @query(
     "tag_consensus_backfill",
     f"""
-    with t as (select series, id, {_fold('x')} as folded from (select series, id, unnest(tags) as x from books where coalesce(series, '') != '') where x is not null),
+    with t as (select series, id, {_fold('x')} as folded from (select series, id, unnest(tags) as x from ({_SQL_SERIES}) where coalesce(series, '') != '') where x is not null),
     v as (select series, count(distinct id) as voters from t group by series),
     c as (select series, folded, count(distinct id) as n from t group by series, folded)
-    select c.series, c.folded from c join v on v.series = c.series where n = voters and voters >= 2 and folded not in ({', '.join("'" + n + "'" for n in NEVER_COPIED)})
+    select c.series, c.folded from c join v on v.series = c.series where n = voters and voters >= 2 and folded not in ({_NEVER})
     """,
 )
 def q_tag_consensus_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consensus_tags(_books(spark, sf_dir)).select("series", "folded")
+    return consensus_tags(_series_of_parts(spark, sf_dir)).select("series", "folded")
 
 
-@query("tag_backfill_changes")
+@query(
+    "tag_backfill_changes",
+    f"""
+    with b as ({_SQL_SERIES}), t as (select series, id, lower(x) as folded, x from (select series, id, unnest(tags) as x from b where coalesce(series, '') != '') where x is not null),
+    v as (select series, count(distinct id) as voters from t group by series),
+    c as (select t.series, folded, arg_min(x, id) as tag from t join v on v.series = t.series group by t.series, folded, voters having count(distinct id) = voters and voters >= 2),
+    a as (select b.id, b.tags, c.tag from b join c on c.series = b.series where c.folded not in ({_NEVER}) and not exists (select 1 from t where t.id = b.id and t.folded = c.folded))
+    select id as book_id, array_to_string(list_concat(any_value(coalesce(tags, [])), list_sort(list(tag))), ' & ') as after from a group by id
+    """,
+)
 def q_tag_backfill_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tag_backfill_pass(_books(spark, sf_dir)).changes
+    c = tag_backfill_pass(_series_of_parts(spark, sf_dir)).changes
+    return c.select("book_id", F.array_join(F.from_json("after", "array<string>"), " & ").alias("after"))
 
 
 # ---- publishers and authors --------------------------------------------------------------
 
 
-@query("publisher_key_merge")
+_KEY = "replace(regexp_replace(" + _words("regexp_replace(replace(name, '_', ' '), '" + T.LEGAL_END.replace("(?i)", "") + "', '', 'i')") + ", '^the ', ''), ' ', '')"
+
+
+@query(
+    "publisher_key_merge",
+    f"""
+    with n as (select {_CLEAN.format("publisher")} as name, count(*) as n from books where coalesce(publisher, '') != '' group by 1),
+    k as (select name, n, {_KEY} as k from n),
+    w as (select name, first_value(name) over (partition by k order by n desc, regexp_matches(name, '{T.LEGAL_END.replace("(?i)", "")}', 'i'), length(name), name) as winner from k where k != '')
+    select b.publisher as before, w.winner as after, count(*) as books from books b join w on w.name = {_CLEAN.format("b.publisher")} where w.winner != b.publisher and coalesce(b.publisher, '') != '' group by 1, 2
+    """,
+)
 def q_publisher_key_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publishers_pass(_books(spark, sf_dir)).review
 
@@ -392,7 +452,7 @@ def q_author_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return authors_pass(_books(spark, sf_dir)).changes
 
 
-_WANTED_SORT = "list_transform(authors, lambda a: nullif(author_sorts[a], ''))"
+_WANTED_SORT = "list_transform(authors, lambda a: nullif(trim(author_sorts[a]), ''))"
 
 
 @query(
@@ -415,15 +475,31 @@ def q_author_variant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_junk_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Author names that are no authors' and what they tell."""
     n = table(spark, sf_dir, "authors").select("name").where("name is not null").distinct()
-    return n.withColumn("info", T.junk_author_info(F.col("name"), ["admin", "unknown", "unknown author", "various"])).where("info.reason is not null").select("name", "info.reason")
+    return n.withColumn("info", T.junk_author_info(F.col("name"), JUNK_NAMES)).where("info.reason is not null").select("name", "info.reason")
 
 
-@query("person_votes")
+@query(
+    "person_votes",
+    """
+    with v as (select s_suppkey // 4 as book_id, s_suppkey % 2 as source, case s_suppkey % 3 when 0 then 'Ada Moor' when 1 then 'Moor Ada' else 'Ben Lark' end as name,
+        case s_suppkey % 3 when 2 then 'benlark' else 'adamoor' end as k, s_suppkey % 8 = 0 as exact from supplier),
+    g as (select book_id, k, count(distinct source) as sources, max(cast(exact as int)) as exact, min(name) as name from v group by book_id, k),
+    b as (select book_id, count(*) as ks, sum(cast(sources >= 2 as int)) as strong, arg_max(name, sources) as best, max(exact) as exact from g group by book_id)
+    select book_id, best as person from b where strong = 1 or (ks = 1 and exact = 1)
+    """,
+)
 def q_person_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The author that fetched records of one exact title agree on, for books without one."""
-    b = _books(spark, sf_dir).select(F.col("id").alias("book_id"), "title", "authors").where("title != '' and (size(authors) = 0 or array_contains(authors, 'Unknown'))")
-    m = table(spark, sf_dir, "fetched_meta").where("size(authors) > 0 and title is not null").select("title", "source", F.explode("authors").alias("name"))
-    return person_votes(b.join(m, "title").select("book_id", "source", "name", F.lit(True).alias("exact")))
+    """The person that sources agree on: votes made of suppliers, four to a book."""
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    name = F.when(k % 3 == 0, "Ada Moor").when(k % 3 == 1, "Moor Ada").otherwise("Ben Lark")
+    return person_votes(s.select(F.floor(k / 4).alias("book_id"), (k % 2).alias("source"), name.alias("name"), (k % 8 == 0).alias("exact")))
+
+
+@query("existing_spelling")
+def q_existing_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The capitalisation in which names in upper case stand in the library."""
+    b = _books(spark, sf_dir)
+    return existing_spelling(b, b.select(F.explode("authors").alias("have")).where("have is not null").select(F.upper("have").alias("name")).distinct())
 
 
 # ---- classification and files ------------------------------------------------------------
@@ -469,10 +545,30 @@ def q_no_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "books").where("formats is null or size(formats) = 0").select("id")
 
 
-@query("missing_covers", "select id from books where not coalesce(has_cover, false)")
+def _covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing of cover files in which every ninth is not there."""
+    return table(spark, sf_dir, "books").where("id % 9 != 0").select("path")
+
+
+@query("missing_covers", "select id from books where not coalesce(has_cover, false) or (id % 9 = 0 and path not in (select path from books where id % 9 != 0 and path is not null))")
 def q_missing_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_cover(table(spark, sf_dir, "books"), _covers(spark, sf_dir)).select("id")
+
+
+@query(
+    "cover_changes",
+    """
+    with m as (select id, formats from books where not coalesce(has_cover, false) or (id % 9 = 0 and path not in (select path from books where id % 9 != 0 and path is not null))),
+    p as (select id, min(upper(f.fmt)) as path from m, unnest(m.formats) as t(f) where coalesce(f.size, 0) > 1024 group by id)
+    select m.id as book_id, p.path as after, case when p.id is null then 'missing-cover' end as category from m left join p on p.id = m.id
+    """,
+)
+def q_cover_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covers found in the books' files, and the books for which none is."""
     b = table(spark, sf_dir, "books")
-    return without_cover(b, b.select("path")).select("id")
+    pictures = b.select("id", F.explode("formats").alias("f")).select("id", F.lit("file").alias("source"), F.upper("f.fmt").alias("path"), F.coalesce("f.size", F.lit(0)).alias("bytes"))
+    r = covers_pass(_books(spark, sf_dir), _covers(spark, sf_dir), pictures)
+    return r.changes.select("book_id", "after", F.lit(None).cast("string").alias("category")).union(r.review.select("book_id", F.lit(None).cast("string"), "category"))
 
 
 # ---- duplicates --------------------------------------------------------------------------
@@ -508,6 +604,12 @@ def q_needs_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incomplete(_books(spark, sf_dir)).select("id")
 
 
+def _candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books with the fetched records that share the folded name of an author: what a service asked by author may answer."""
+    b = _books(spark, sf_dir)
+    return asked_pairs(b, _answers(spark, sf_dir), series_pass(b).flags)
+
+
 def _title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books with the fetched records of the same title."""
     b = _books(spark, sf_dir).where("title != ''")
@@ -522,9 +624,15 @@ def _first_of_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("candidate_gates")
 def q_candidate_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _title_pairs(spark, sf_dir)
-    named = p.select(F.col("id").alias("book_id"), F.col("meta_id").alias("candidate_id"), F.col("meta_id").alias("rank"), F.col("title").alias("b_title"), F.col("authors").alias("b_authors"), F.col("series").alias("b_series"), F.lit("novel").alias("b_medium"), F.col("title").alias("c_title"), "c_authors", "c_tags", "c_languages", "c_series_index")
-    return judged(named)
+    """The gate at which each candidate of a book fails, NULL for acceptable ones."""
+    return judged(_candidate_pairs(spark, sf_dir))
+
+
+@query("candidate_titles_gained")
+def q_candidate_titles_gained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subtitles and series that the first acceptable candidates bring."""
+    pairs = _candidate_pairs(spark, sf_dir)
+    return gained(first_acceptable(judged(pairs)).join(pairs, ["book_id", "candidate_id"]), _books(spark, sf_dir)).where("new_title is not null or new_series is not null")
 
 
 @query("candidate_first_acceptable")
@@ -615,6 +723,76 @@ def q_retry_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return not_reached(_sort_ops(spark, sf_dir), j).select("book_id")
 
 
+@query(
+    "partial_writes",
+    f"select o.book_id, case when o.book_id % 2 = 0 then 'partial' else 'applied' end as status, case when o.book_id % 2 = 0 then 'publisher' else 'author_sort,publisher' end as written from {_SQL_OPS} o",
+)
+def q_partial_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations of two fields, of which every second breaks off at the later one."""
+    ops = _sort_ops(spark, sf_dir).withColumn("fields", F.map_concat("fields", F.create_map(F.lit("publisher"), F.lit("New"))))
+    live = _books(spark, sf_dir).select(F.col("id").alias("book_id"), F.create_map(F.lit("author_sort"), "author_sort").alias("state"))
+    broken = ops.where("book_id % 2 = 0").select("book_id", F.lit("author_sort").alias("field"))
+    return compare_and_set(ops, live, broken).select("book_id", "status", F.array_join(F.array_sort(F.map_keys("written")), ",").alias("written"))
+
+
+@query(
+    "path_guard",
+    """
+    with b as (select id, title, authors[1] as author, case id % 4 when 0 then upper(authors[1]) || '/' || title || ' (' || id || ')' else 'old/' || id end as path from books where len(authors) > 0 and authors[1] is not null and not regexp_matches(authors[1] || coalesce(title, ''), '[\\\\/:*?"<>|]') and trim(coalesce(title, '')) = title and trim(authors[1]) = authors[1] and title != ''),
+    n as (select *, case when id % 3 = 0 then title || ' II' else title end as new_title from b)
+    select id as book_id, case when path != author || '/' || new_title || ' (' || id || ')' and lower(path) = lower(author || '/' || new_title || ' (' || id || ')') then 'changes the capitalisation of a folder'
+      when id % 5 = 0 then 'the new folder holds files' end as reason from n
+    """,
+)
+def q_path_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Renames of books, and why some are withheld: a folder that differs in letter case only, or one that is taken."""
+    first = F.get("authors", F.lit(0))
+    b = table(spark, sf_dir, "books").where(first.isNotNull() & ~F.concat(first, F.coalesce("title", F.lit(""))).rlike(r'[\\/:*?"<>|]') & (F.trim("title") == F.col("title")) & (F.trim(first) == first) & (F.col("title") != ""))
+    path = F.when(F.col("id") % 4 == 0, F.concat(F.upper(first), F.lit("/"), "title", F.lit(" ("), F.col("id").cast("string"), F.lit(")"))).otherwise(F.concat(F.lit("old/"), F.col("id").cast("string")))
+    b = b.withColumn("path", path).select("id", "title", "authors", "path")
+    new = F.when(F.col("id") % 3 == 0, F.concat("title", F.lit(" II"))).otherwise(F.col("title"))
+    ops = b.select(F.col("id").alias("book_id"), F.create_map(F.lit("title"), new).alias("fields"), F.create_map(F.lit("title"), "title").alias("expect"), F.lit(False).alias("strict"))
+    folders = b.where("id % 5 = 0").select(folder_of(first, new, F.col("id")).alias("path"))
+    return guarded(ops, b, folders).select("book_id", F.col("withheld")["title"].alias("reason"))
+
+
+@query(
+    "journal_counts",
+    f"select case when l.id is null then 'missing' when l.author_sort = 'changed since' and o.before != 'changed since' then 'skipped' else 'applied' end as status, count(*) as n from {_SQL_OPS} o left join {_SQL_LIVE} l on l.id = o.book_id group by 1",
+)
+def q_journal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal written as JSON lines and read back."""
+    folder = f"{shared_dir(spark)}/journal-{uuid.uuid4().hex}"
+    j = _journal(spark, sf_dir)
+    journal.append(j.select("book_id", "status", F.col("expect").alias("before"), F.col("written").alias("after"), "actual"), folder)
+    return journal.read(spark, folder, strict=True).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(
+    "undo_kept",
+    f"select o.book_id, 'author_sort' as fields_that_differ from {_SQL_OPS} o join {_SQL_LIVE} l on l.id = o.book_id where (l.author_sort != 'changed since' or o.before = 'changed since') and o.book_id % 13 = 0",
+)
+def q_undo_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books that an undo leaves alone, as they were edited since."""
+    j = _journal(spark, sf_dir)
+    undo = undo_operations(j.select(F.col("book_id").alias("seq"), "book_id", "status", F.col("expect").alias("before"), F.col("written").alias("after")))
+    now = undo.select("book_id", F.when(F.col("book_id") % 13 == 0, F.create_map(F.lit("author_sort"), F.lit("edited"))).otherwise(F.col("expect")).alias("state"))
+    return kept(compare_and_set(undo.select("book_id", "fields", "expect", "strict"), now)).select("book_id", "fields_that_differ")
+
+
+@query("series_conflict_pairs")
+def q_series_conflict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the series of books and the one that their titles tell differ."""
+    return conflict_pairs(_books(spark, sf_dir))
+
+
+@query("alias_suggestions")
+def q_alias_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggested aliases of authors as lines of a settings file, for all suggestions."""
+    authors = table(spark, sf_dir, "authors").where("name is not null")
+    return toml_lines(suggested_aliases(author_suggestions(authors), authors.groupBy("name").agg(F.count("*").alias("n")))).select("line")
+
+
 @query("changes_by_pass")
 def q_changes_by_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes and books of every offline pass, each on the books of the one before."""
@@ -658,21 +836,34 @@ def q_intake_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fetched records of the same title as answers for a book, in the order of their ids."""
-    b = _books(spark, sf_dir).where("title != ''").select(F.col("id").alias("book_id"), "title")
-    m = table(spark, sf_dir, "fetched_meta").where("title is not null")
-    return b.join(m, "title").withColumnRenamed("meta_id", "rank")
+    """Fetched records that share an author with a book as answers for it, in the order of their ids."""
+    b, m = _books(spark, sf_dir), table(spark, sf_dir, "fetched_meta").where("title is not null")
+    names = lambda df, i: df.select(i, F.explode("authors").alias("name")).where("name is not null").withColumn("folded", T.fold(F.col("name"))).where(~F.col("folded").isin(JUNK_NAMES)).select(i, "folded").distinct()
+    met = names(b, "id").join(names(m, "meta_id"), "folded").select(F.col("id").alias("book_id"), "meta_id").distinct()
+    return met.join(m, "meta_id").withColumnRenamed("meta_id", "rank")
 
 
 @query("fetch_changes")
 def q_fetch_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fetch_pass(_books(spark, sf_dir), _answers(spark, sf_dir)).changes
+    b = _books(spark, sf_dir)
+    return fetch_pass(b, _answers(spark, sf_dir), flags=series_pass(b).flags).changes
 
 
-@query("series_lookup_changes")
+@query(
+    "series_lookup_changes",
+    """
+    with h as (select p_partkey, p_type, p_size, row_number() over (partition by p_type, p_size order by p_partkey) as rn from part where p_partkey % 3 = 0)
+    select p_partkey as book_id, 'series' as field, p_type as after from h where rn = 1
+    union all select p_partkey, 'series_index', cast(cast(p_size as double) as varchar) from h where rn = 1 and p_size != 1
+    """,
+)
 def q_series_lookup_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _answers(spark, sf_dir).select("book_id", "rank", "title", F.lit("").alias("subtitle"), "authors", F.nullif("series", F.lit("")).alias("series"), F.col("series_index").alias("position"))
-    return series_lookup_pass(_books(spark, sf_dir), hits).changes
+    """Parts as books without a series; every third is found in a catalogue, and the lowest id gets a volume that several want."""
+    p = table(spark, sf_dir, "part")
+    none = F.lit(None).cast("string")
+    books = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.array(F.concat(F.lit("A "), "p_brand")).alias("authors"), none.alias("series"), F.lit(1.0).alias("series_index"))
+    hits = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("book_id"), F.lit(1).alias("rank"), F.col("p_name").alias("title"), F.lit("").alias("subtitle"), F.array(F.concat(F.lit("A "), "p_brand")).alias("authors"), F.col("p_type").alias("series"), F.col("p_size").cast("double").alias("position"))
+    return series_lookup_pass(books, hits).changes.select("book_id", "field", "after")
 
 
 @query("classify_changes")

@@ -35,3 +35,35 @@ def test_series_lookup(spark):
     r = series_lookup_pass(b, hits)
     got = {x["id"]: (x["series"], x["series_index"]) for x in r.books.collect()}
     assert got[1] == ("Sea Song", 1.0) and got[2][0] is None and [x["book_id"] for x in r.review.collect()] == [2]
+
+
+def test_accepted_bare_titles(spark):
+    from biblioflow.plans.online import fetch_pass
+    from biblioflow.plans.run import Answers, full_run
+    from tests.test_passes import books
+
+    b = books(spark, [
+        {"title": "Sea Song, Vol. 1", "authors": ["Ada Moor"], "comments": "x", "publisher": "P", "pubdate": "2001"},
+        {"title": "Sea Song 4", "authors": ["Ada Moor"]}, {"title": "Fahrenheit 451", "authors": ["Ray B"]},
+    ])
+    schema = "book_id long, rank int, title string, authors array<string>, tags array<string>, publisher string, pubdate string, comments string, languages array<string>, identifiers map<string,string>, series string, series_index double"
+    rows = [(2, 1, "Sea Song, Vol. 5", ["Ada Moor"], [], "P", "2002", "no", ["eng"], {}, None, None), (2, 2, "Sea Song, Vol. 4: Dawn", ["Moor Ada"], ["sci-fi"], "P", "2002-03", "four", ["eng"], {}, "Sea Song", 4.0)]
+    answers = Answers(candidates=spark.createDataFrame(rows, schema))
+    after, log, _ = full_run(b, ["series", "titles", "fetch"], answers=answers)
+    got = {r["id"]: r for r in after.collect()}
+    assert (got[2]["series"], got[2]["series_index"], got[2]["title"], got[2]["comments"], got[2]["metadata_status"]) == ("Sea Song", 4.0, "Sea Song, Vol. 4: Dawn", "four", "fetched")
+    assert "Science Fiction" in got[2]["tags"] and got[3]["title"] == "Fahrenheit 451" and got[3]["metadata_status"] is None
+    # the last source: something to add, and no status while a field is missing
+    last = spark.createDataFrame([(3, 1, "Fahrenheit 451", ["Ray B"], [], None, None, "burns", [], {}, None, None)], schema)
+    got = {r["id"]: r for r in fetch_pass(b, answers.candidates.limit(0), fallback=last).books.collect()}
+    assert got[3]["comments"] == "burns" and got[3]["metadata_status"] is None
+
+
+def test_limits_and_preview(spark):
+    from biblioflow.plans.run import chosen, full_run
+    from tests.test_passes import LIBRARY, books
+
+    b = books(spark, LIBRARY)
+    after, log, review = full_run(b, ["tags", "duplicates"], limit=1)
+    assert log.select("book_id").distinct().count() == 1 and after.count() == b.count()
+    assert len(chosen(["all"])) == 14 and chosen(["all"], ["fetch"])[-1] == "duplicates"

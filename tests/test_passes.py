@@ -89,3 +89,51 @@ def test_suggestions(spark):
 def test_empty(spark):
     b = books(spark, [])
     assert tags_pass(b).books.count() == 0 and authors_pass(b).books.count() == 0
+
+
+def test_guard_partial_retry_journal(spark, tmp_path):
+    from biblioflow.operators.changes import guarded, kept, with_retries
+    from biblioflow.sources import journal
+
+    b = books(spark, [{"title": "Sea", "authors": ["Ada Moor"], "path": "ADA MOOR/Sea (1)"}, {"title": "Loom", "authors": ["Ben Lark"], "path": "Ben Lark/Loom (2)"}, {"title": "Dawn", "authors": ["Cy Fen"], "path": "x"}])
+    op = lambda i, f: (i, f, {k: "" for k in f}, False)
+    ops = spark.createDataFrame([op(1, {"title": "Sea", "publisher": "P"}), op(2, {"authors": '["ADA MOOR"]'}), op(3, {"title": "Dusk"})], "book_id long, fields map<string,string>, expect map<string,string>, strict boolean")
+    folders = spark.createDataFrame([("Cy Fen/Dusk (3)",)], "path string")
+    g = {r["book_id"]: r for r in guarded(ops, b, folders).collect()}
+    assert g[1]["fields"] == {"publisher": "P"} and "folder" in g[1]["withheld"]["title"] and "author" in g[2]["withheld"]["authors"] and "holds files" in g[3]["withheld"]["title"]
+    live = spark.createDataFrame([(i, {"title": "", "authors": "", "publisher": ""}) for i in (1, 2, 3)], "book_id long, state map<string,string>")
+    j = compare_and_set(ops, live, spark.createDataFrame([(1, "title"), (3, "title")], "book_id long, field string"))
+    assert {r["book_id"]: (r["status"], sorted(r["written"])) for r in j.collect()} == {1: ("partial", ["publisher"]), 2: ("applied", ["authors"]), 3: ("failed", [])}
+    # a writer that ends early is asked again for the rest
+    calls = []
+
+    def write(rest):
+        calls.append(rest.count())
+        return spark.createDataFrame([(r["book_id"], "applied") for r in rest.orderBy("book_id").limit(1).collect()], "book_id long, status string")
+
+    assert with_retries(ops, write).count() == 3 and calls == [3, 2, 1]
+    journal.append(j.select("book_id", "status"), f"{tmp_path}/j")
+    (tmp_path / "j" / "bad.json").write_text('{"book_id": 9, "status"\n')
+    assert journal.read(spark, f"{tmp_path}/j").count() == 3
+    try:
+        journal.read(spark, f"{tmp_path}/j", strict=True).collect()
+        raise AssertionError
+    except Exception as e:
+        assert "AssertionError" not in repr(e)
+    (tmp_path / "r1").mkdir()
+    (tmp_path / "r1" / "meta.json").write_text('{"run_id": "r1", "dry_run": true, "status": "ok", "passes": ["tags"], "writes": {"applied": 3}}')
+    assert [tuple(r) for r in journal.runs(spark, str(tmp_path)).collect()] == [("r1", "dry run", "ok", "tags", 3)]
+    undone = spark.createDataFrame([(1, "skipped", {"title": "now"}, {"title": "then"}), (2, "applied", {}, {})], "book_id long, status string, actual map<string,string>, expect map<string,string>")
+    assert [r["fields_that_differ"] for r in kept(undone).collect()] == ["title"]
+
+
+def test_existing_spelling_and_covers(spark):
+    from biblioflow.plans.cleaning import existing_spelling
+    from biblioflow.plans.online import covers_pass
+
+    b = books(spark, [{"authors": ["Ada MOOR"], "has_cover": True, "path": "a"}, {"authors": ["Ada Moor"], "has_cover": True, "path": "b"}, {"authors": [], "has_cover": False, "path": "c"}])
+    names = spark.createDataFrame([("Ada Moor",), ("Ben",)], "name string")
+    assert [tuple(r) for r in existing_spelling(b, names).collect()] == [("Ada Moor", "Ada MOOR")]
+    pictures = spark.createDataFrame([(3, "service", "s.jpg", 5000), (3, "file", "f.jpg", 900), (2, "file", "g.jpg", 2000)], "id long, source string, path string, bytes long")
+    r = covers_pass(b, spark.createDataFrame([("a",)], "path string"), pictures)
+    assert {(x["book_id"], x["after"]) for x in r.changes.collect()} == {(2, "g.jpg"), (3, "s.jpg")} and r.review.count() == 0
