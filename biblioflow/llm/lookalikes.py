@@ -25,24 +25,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from biblioflow.session import written
+
 # Letters of other scripts, and the Latin letters or marks that look the same.
 LOOK_ALIKES = {
     # Cyrillic
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "У": "Y",
     "Ѕ": "S", "І": "I", "Ј": "J", "Ԛ": "Q", "Ԝ": "W", "Ү": "Y", "Һ": "h", "Ӏ": "I", "Ԍ": "G", "а": "a", "е": "e", "о": "o",
     "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ӏ": "l", "ԁ": "d", "ԛ": "q", "ԝ": "w",
-    "ү": "y", "ѵ": "v", "Ѵ": "V", "Ԁ": "d", "ԍ": "G", "Ь": "b",
+    "ү": "y", "ѵ": "v", "Ѵ": "V", "ԍ": "G",
     # Greek
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T",
-    "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϳ": "j", "Ϳ": "J", "ϲ": "c", "Ϲ": "C", "ɑ": "a", "α": "a", "ι": "i", "ρ": "p", "υ": "u",
+    "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϳ": "j", "Ϳ": "J", "ϲ": "c", "Ϲ": "C", "ɑ": "a",
     # Armenian, Latin letters of other alphabets
     "օ": "o", "Օ": "O", "ս": "u", "ո": "n", "հ": "h", "ց": "g", "զ": "q", "Տ": "S", "Լ": "L", "ɡ": "g", "ı": "i", "ꓲ": "I", "ǀ": "l",
     # marks
-    "‐": "-", "‑": "-", "‒": "-", "−": "-", "⁃": "-", "﹣": "-", "˗": "-", "՚": "'", "＇": "'", "ʼ": "'", "ʹ": "'", "’": "'", "‘": "'",
+    "‐": "-", "‑": "-", "−": "-", "⁃": "-", "﹣": "-", "˗": "-", "՚": "'", "＇": "'", "ʼ": "'", "ʹ": "'", "’": "'", "‘": "'",
     "“": '"', "”": '"', "„": '"', "‚": ",", "٫": ",", "։": ":", "׃": ":", "ː": ":", "∶": ":", "꞉": ":", ";": ";", "·": "·", "∙": "·", "⋅": "·", "․": ".", "⁄": "/", "∕": "/",
 }
-for _c in "Ь Ԁ α ι ρ υ ‒".split():  # these can be told apart
-    LOOK_ALIKES.pop(_c)
 # Compatibility kinds whose members look like what they decompose to.
 SAME_LOOK = ("<wide>", "<narrow>", "<compat>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
 DIFFERENT_LOOK = "ſŀĿŉǄǅǆ¨¯´¸˘˙˚˛˜˝…‗‼⁇⁈⁉ϐϑϒϓϔϕϖϰϱϴϵ"
@@ -111,7 +111,7 @@ def compositions(spark: SparkSession) -> DataFrame:
 
 def plain(x: Column) -> Column:
     """Whether a text is its own form: ASCII without control characters."""
-    return x.rlike(r"^[ -~]*$")
+    return x.rlike(r"\A[ -~]*\z")
 
 
 def forms(texts: DataFrame, col: str = "text") -> DataFrame:
@@ -151,14 +151,29 @@ def same_look_pairs(values: DataFrame) -> DataFrame:
     first and reach the ids by equi-joins; pairs of equal texts are never made.
     """
     v = values.where("text is not null and text != ''").distinct()
-    form = forms(v)
+    form = written(forms(v), "forms")
     spelt = form.where("text != form").select("form").distinct()
-    variants = form.join(spelt, "form", "left_semi")
-    pairs = variants.select("form", F.col("text").alias("text_1")).join(variants.select("form", F.col("text").alias("text_2")), "form").where("text_1 < text_2").drop("form")
+    variants = written(form.join(spelt.hint("merge"), "form", "left_semi"), "variants")
+    pairs = variants.select("form", F.col("text").alias("text_1")).join(variants.select("form", F.col("text").alias("text_2")).hint("merge"), "form").where("text_1 < text_2").drop("form")
     one = v.select("field_name", F.col("id").alias("a"), F.col("text").alias("text_1"))
     two = v.select("field_name", F.col("id").alias("b"), F.col("text").alias("text_2"))
     return (
-        pairs.join(one, "text_1").join(two, ["field_name", "text_2"]).where("a != b")
+        pairs.join(one.hint("merge"), "text_1").join(two.hint("merge"), ["field_name", "text_2"]).where("a != b")
         .select("field_name", F.least("a", "b").alias("id_1"), F.greatest("a", "b").alias("id_2"))
         .distinct()
     )
+
+
+def look_classes(values: DataFrame) -> DataFrame:
+    """(field_name, id, text, form, links) of values whose class has several spellings: how many values of other ids look the same but differ.
+
+    One row per value; copies are counted, not made into pairs.
+    """
+    v = values.where("text is not null and text != ''").distinct()
+    form = written(forms(v), "forms")
+    spelt = form.groupBy("form").agg(F.count("*").alias("spellings")).where("spellings > 1").select("form")
+    v = written(v.join(form.join(spelt.hint("merge"), "form", "left_semi").hint("merge"), "text"), "values")
+    count = lambda *by: v.groupBy("field_name", *by).agg(F.count("*").alias("n_" + by[-1])).hint("merge")
+    own = v.groupBy("field_name", "form", "id").agg(F.count("*").alias("n_own")).hint("merge")
+    j = v.join(count("form"), ["field_name", "form"]).join(count("text"), ["field_name", "text"]).join(own, ["field_name", "form", "id"])
+    return j.select("field_name", "id", "text", "form", (F.col("n_form") - F.col("n_text") - (F.col("n_own") - 1)).alias("links")).where("links > 0")

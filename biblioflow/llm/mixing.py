@@ -7,8 +7,10 @@ their weights; a source whose records are used max_repeats times drops out and t
 keep their proportions. The order is cut at the total budget.
 
 No source is put into one task: the running sums are made of sums over slices of the
-shuffled order (a small table) and of sums within a slice. The cut is found from a
-histogram of finish times; only its boundary bin is put in order.
+shuffled order and of sums within a slice, and there are as many slices as keep one of
+them at SLICE records. The cut is found from histograms of finish times, each over the
+bin of the one before in which the budget ends, until that bin holds EDGE copies at most;
+only these are put in order. Copies are made only up to the cut.
 
 Defined results: sources are compared without letter case, blanks for underscores; NULL
 sources and sources without a target are left out; records without tokens are left out;
@@ -23,22 +25,24 @@ from pyspark.sql.window import Window
 
 from biblioflow.session import written
 
-SLICES = 1024
+SLICE = 20_000
 BINS = 4096
+EDGE = 100_000
 
 
 def source_key(x: Column) -> Column:
     return F.lower(F.regexp_replace(F.trim(F.regexp_replace(x, r"(?U)[\s\p{Z}_-]+", " ")), " ", "_"))
 
 
-def queued(docs: DataFrame, targets: DataFrame, seed: int = 23, slices: int = SLICES, max_targets: int = 10_000) -> DataFrame:
-    """(doc_id, source, copy, tokens, finish) of every copy that a source may give.
+def queued(docs: DataFrame, targets: DataFrame, seed: int = 23, slices: int | None = None, max_targets: int = 10_000) -> DataFrame:
+    """(doc_id, source, tokens, w, k, supply, run) of every record: the tokens of its source up to and with it.
 
     docs: doc_id, source, tokens. targets: source, target_share, max_repeats; at most max_targets rows.
     """
     if targets.limit(max_targets + 1).count() > max_targets:
         raise ValueError(f"more than {max_targets} targets")
     t = targets.where("source is not null and target_share > 0 and max_repeats > 0").select(source_key(F.col("source")).alias("source"), F.col("target_share").alias("w"), F.col("max_repeats").alias("k"))
+    slices = slices or max(16, docs.count() // SLICE)
     own = docs.where("tokens > 0 and source is not null").select("doc_id", source_key(F.col("source")).alias("source"), "tokens")
     own = own.join(F.broadcast(t), "source").withColumn("at", F.xxhash64("doc_id", F.lit(seed))).withColumn("slice", F.pmod("at", F.lit(slices)))
     sums = own.groupBy("source", "slice").agg(F.sum("tokens").alias("in_slice"))
@@ -46,36 +50,49 @@ def queued(docs: DataFrame, targets: DataFrame, seed: int = 23, slices: int = SL
     whole = Window.partitionBy("source")
     before = sums.select("source", "slice", (F.sum("in_slice").over(over) - F.col("in_slice")).alias("before"), F.sum("in_slice").over(whole).alias("supply"))
     within = Window.partitionBy("source", "slice").orderBy("at", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    run = own.withColumn("run", F.sum("tokens").over(within)).join(F.broadcast(before), ["source", "slice"])
-    copies = run.select("doc_id", "source", "tokens", "w", "supply", (F.col("before") + F.col("run")).alias("run"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("copy"))
-    return copies.select("doc_id", "source", "copy", "tokens", ((F.col("copy") * F.col("supply") + F.col("run")) / F.col("w")).alias("finish"))
+    run = own.withColumn("run", F.sum("tokens").over(within)).join(before.hint("merge"), ["source", "slice"])
+    return run.select("doc_id", "source", "tokens", "w", "k", "supply", (F.col("before") + F.col("run")).alias("run"))
 
 
-def mixed(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 23) -> DataFrame:
+def copies(queue: DataFrame, until: float | None = None) -> DataFrame:
+    """(doc_id, source, copy, tokens, finish) of the copies that a source may give, of finish times up to one."""
+    last = F.col("k") - 1
+    if until is not None:  # one more than the division says, against its rounding; the finish time decides
+        last = F.least(last, F.floor((F.lit(until) * F.col("w") - F.col("run")) / F.col("supply")).cast("int") + 1)
+    made = queue.where(last >= 0).select("doc_id", "source", "tokens", "w", "supply", "run", F.explode(F.sequence(F.lit(0), last)).alias("copy"))
+    made = made.select("doc_id", "source", "copy", "tokens", ((F.col("copy") * F.col("supply") + F.col("run")) / F.col("w")).alias("finish"))
+    return made.where(F.col("finish") <= until) if until is not None else made
+
+
+def mixed(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 23, edge: int = EDGE) -> DataFrame:
     """(doc_id, source, copy, tokens, finish): the selection, up to the total budget in tokens.
 
     budget: by default the tokens of all records of the sources with a target.
     """
     queue = written(queued(docs, targets, seed), "queue")
-    ends = queue.agg(F.max("finish").alias("last"), F.sum(F.when(F.col("copy") == 0, F.col("tokens"))).alias("once")).first()
-    if ends["last"] is None:
-        return queue
+    ends = queue.agg(F.max(F.col("k") * F.col("supply") / F.col("w")).alias("last"), F.sum("tokens").alias("once"), F.sum(F.col("tokens") * F.col("k")).alias("all")).first()
+    if ends["last"] is None or ends["all"] <= (ends["once"] if budget is None else budget):
+        return copies(queue)
     budget = ends["once"] if budget is None else budget
-    # bins of equal ratio: the early ones, in which all sources still take part, are fine ones
-    low, last = 1.0, float(ends["last"])
-    step = (max(last, 2.0) / low) ** (1 / BINS)
-    queue = queue.withColumn("bin", F.least(F.lit(BINS), F.greatest(F.lit(0), F.floor(F.log(F.greatest("finish", F.lit(low))) / F.log(F.lit(step))))))
-    filled, cut = 0, None
-    for r in queue.groupBy("bin").agg(F.sum("tokens").alias("tokens")).orderBy("bin").collect():
-        if filled + r["tokens"] > budget:
-            cut = r["bin"]
+    low, high, filled = 0.0, float(ends["last"]), 0
+    while True:
+        width = (high - low) / BINS
+        inside = copies(queue, high).where(F.col("finish") > low)
+        bins = inside.groupBy(F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.ceil((F.col("finish") - low) / width) - 1)).alias("bin")).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
+        for r in bins.orderBy("bin").collect():  # BINS rows at most
+            if filled + r["tokens"] > budget:
+                break
+            filled += r["tokens"]
+        # a little wider than the bin, against rounding; what lies before it is counted again below
+        found, low, high = r["n"], low + r["bin"] * width, low + (r["bin"] + 1) * width
+        if found <= edge or high - low <= abs(high) * 1e-12:
             break
-        filled += r["tokens"]
-    if cut is None:
-        return queue.drop("bin")
-    order = Window.orderBy("finish", "source", "doc_id", "copy").rowsBetween(Window.unboundedPreceding, 0)
-    edge = queue.where(F.col("bin") == cut).withColumn("sum", F.sum("tokens").over(order)).where(F.col("sum") <= budget - filled).drop("sum")
-    return queue.where(F.col("bin") < cut).union(edge).drop("bin")
+    low, high = low - width * 1e-6, high + width * 1e-6
+    done = copies(queue, low)
+    filled = done.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    order = Window.partitionBy(F.lit(1)).orderBy("finish", "source", "doc_id", "copy").rowsBetween(Window.unboundedPreceding, 0)
+    last = copies(queue, high).where(F.col("finish") > low).withColumn("sum", F.sum("tokens").over(order)).where(F.col("sum") <= budget - filled).drop("sum")
+    return done.union(last)
 
 
 def share_report(selection: DataFrame, targets: DataFrame) -> DataFrame:

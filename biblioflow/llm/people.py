@@ -134,7 +134,7 @@ def near_pairs(tokens: DataFrame, condition: str) -> DataFrame:
 
     idx = spread(tokens.where(F.length("token") >= 4), "token").mapInPandas(index, "v string, token string, n bigint")
     a, b = idx, idx.select("v", F.col("token").alias("other"), F.col("n").alias("m")).where("m > 0")
-    pairs = a.join(b, "v").where(f"{condition} and m >= n and (m > n or other < token) and token != other").select("token", "n", "other", "m")
+    pairs = a.join(b.hint("merge"), "v").where(f"{condition} and m >= n and (m > n or other < token) and token != other").select("token", "n", "other", "m")
     pairs = spread(pairs, "token", "other").distinct()
     return pairs.mapInPandas(compare, "token string, n bigint, other string, m bigint, d int")
 
@@ -144,7 +144,7 @@ def near_tokens(tokens: DataFrame) -> DataFrame:
     best = near_pairs(tokens, "m >= n * n").groupBy("token").agg(F.min(F.struct("d", (-F.col("m")).alias("m"), "other"))["other"].alias("root"))
     best = written(best, "roots")
     on = best.select(F.col("token").alias("root"), F.col("root").alias("further"))
-    return best.join(on, "root", "left").select("token", F.coalesce("further", "root").alias("root"))
+    return best.join(on.hint("merge"), "root", "left").select("token", F.coalesce("further", "root").alias("root"))
 
 
 def _ends(given: str) -> tuple[str, ...]:
@@ -235,7 +235,7 @@ def near_families(signed: DataFrame) -> DataFrame:
     people = signed.where("not startswith(family, 'body ')")
     sigs = people.groupBy("family").agg(F.collect_set("givens").alias("sigs"))
     pairs = near_pairs(people.groupBy(F.col("family").alias("token")).agg(F.count("*").alias("n")), "true").select("token", "other", "m", "d")
-    pairs = pairs.join(sigs.select(F.col("family").alias("token"), F.col("sigs").alias("slip")), "token").join(sigs.select(F.col("family").alias("other"), F.col("sigs").alias("whole")), "other")
+    pairs = pairs.join(sigs.select(F.col("family").alias("token"), F.col("sigs").alias("slip")).hint("merge"), "token").join(sigs.select(F.col("family").alias("other"), F.col("sigs").alias("whole")).hint("merge"), "other")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut = lambda xs: [tuple(x.split()) for x in xs]
@@ -245,7 +245,7 @@ def near_families(signed: DataFrame) -> DataFrame:
     fit = spread(pairs, "token", "other").mapInPandas(compare, "token string, other string, m bigint, d int, share double").where(F.col("share") >= ALIGNED)
     best = written(fit.groupBy("token").agg(F.min(F.struct("d", (-F.col("share")).alias("share"), (-F.col("m")).alias("m"), "other"))["other"].alias("root")), "families")
     on = best.select(F.col("token").alias("root"), F.col("root").alias("further"))
-    return best.join(on, "root", "left").select(F.col("token").alias("family"), F.coalesce("further", "root").alias("root"))
+    return best.join(on.hint("merge"), "root", "left").select(F.col("token").alias("family"), F.coalesce("further", "root").alias("root"))
 
 
 def signature(name: list[str], lead: int, given_like: list[bool], sort: list[str], sort_lead: int, counts: dict[str, int], joined: dict[tuple[str, str], str]) -> tuple[str, tuple[str, ...]]:
@@ -338,24 +338,24 @@ def linked(authors: DataFrame) -> DataFrame:
         F.explode(_neighbours()).alias("p")
     ).select("p.a", "p.b").where("a is not null and b is not null and length(a) > 1 and length(b) > 1").distinct()
     rare = stats.where("not (g > s and n >= 3)").select("token", "n")
-    whole = pair.join(rare.select(F.col("token").alias("a")), "a").join(rare.select(F.col("token").alias("b")), "b").select("a", "b", F.concat("a", "b").alias("token")).where("length(token) >= 6")
+    whole = pair.join(rare.select(F.col("token").alias("a")).hint("merge"), "a").join(rare.select(F.col("token").alias("b")).hint("merge"), "b").select("a", "b", F.concat("a", "b").alias("token")).where("length(token) >= 6")
     whole = written(whole, "pairs")
-    virtual = whole.select("token").distinct().join(stats.select("token"), "token", "left_anti").select("token", F.lit(0).cast("bigint").alias("n"))
+    virtual = whole.select("token").distinct().join(stats.select("token").hint("merge"), "token", "left_anti").select("token", F.lit(0).cast("bigint").alias("n"))
     fixed = [*SHORT_NAMES, *BODY_WORDS, *GENERATIONS]
     roots = written(near_tokens(stats.select("token", "n").union(virtual)).where(~F.col("token").isin(fixed)), "near")
-    root_of = stats.select("token").union(virtual.select("token")).join(roots, "token", "left").select("token", F.coalesce("root", "token").alias("root"))
-    real = stats.join(roots, "token", "left").groupBy(F.coalesce("root", "token").alias("root")).agg(F.sum("n").alias("n"), F.sum("g").alias("g"), F.sum("s").alias("s"))
-    known = root_of.join(real, "root").select("token", "root", "n", (F.expr("g > s and n >= 3")).alias("given_like"))
+    root_of = stats.select("token").union(virtual.select("token")).join(roots.hint("merge"), "token", "left").select("token", F.coalesce("root", "token").alias("root"))
+    real = stats.join(roots.hint("merge"), "token", "left").groupBy(F.coalesce("root", "token").alias("root")).agg(F.sum("n").alias("n"), F.sum("g").alias("g"), F.sum("s").alias("s"))
+    known = root_of.join(real.hint("merge"), "root").select("token", "root", "n", (F.expr("g > s and n >= 3")).alias("given_like"))
     known = written(known, "known")
-    joins = whole.join(known.where("n > 0"), "token").select("a", "b", F.col("root").alias("whole"), "n")
+    joins = whole.join(known.where("n > 0").hint("merge"), "token").select("a", "b", F.col("root").alias("whole"), "n")
 
     # roots of every name's tokens, in order
     def rooted(col: str) -> DataFrame:
-        e = parsed.select("id", F.posexplode(col).alias("pos", "token")).join(known, "token", "left")
+        e = parsed.select("id", F.posexplode(col).alias("pos", "token")).join(known.hint("merge"), "token", "left")
         return e.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("root", "token").alias("root"), F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("given_like", F.lit(False)).alias("g")))).alias(f"r_{col}"))
 
-    broken = parsed.where("kind = 'person'").select("id", F.explode(_neighbours()).alias("p")).select("id", "p.a", "p.b").join(joins, ["a", "b"]).groupBy("id").agg(F.collect_set(F.struct("a", "b", "whole", "n")).alias("broken"))
-    rows = parsed.join(rooted("toks"), "id", "left").join(rooted("stoks"), "id", "left").join(broken, "id", "left")
+    broken = parsed.where("kind = 'person'").select("id", F.explode(_neighbours()).alias("p")).select("id", "p.a", "p.b").join(joins.hint("merge"), ["a", "b"]).groupBy("id").agg(F.collect_set(F.struct("a", "b", "whole", "n")).alias("broken"))
+    rows = parsed.join(rooted("toks").hint("merge"), "id", "left").join(rooted("stoks").hint("merge"), "id", "left").join(broken.hint("merge"), "id", "left")
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -380,7 +380,7 @@ def linked(authors: DataFrame) -> DataFrame:
 
     signed = written(spread(rows.select("id", "kind", "lead", "slead", "toks", "stoks", "r_toks", "r_stoks", "broken"), "id").mapInPandas(sign, "id bigint, family string, givens string"), "signed")
 
-    signed = written(signed.join(near_families(signed), "family", "left").select("id", F.coalesce("root", "family").alias("family"), "givens"), "joined")
+    signed = written(signed.join(near_families(signed).hint("merge"), "family", "left").select("id", F.coalesce("root", "family").alias("family"), "givens"), "joined")
 
     def settle(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found = resolve([tuple(g.split()) for g in pdf["givens"]])
@@ -388,11 +388,11 @@ def linked(authors: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["family", "givens", "entity"])
 
     settled = spread(signed.select("family", "givens").distinct(), "family").groupBy("family").applyInPandas(settle, "family string, givens string, entity string")
-    return signed.join(settled, ["family", "givens"]).select("id", "entity")
+    return signed.join(settled.hint("merge"), ["family", "givens"]).select("id", "entity")
 
 
 def linked_pairs(authors: DataFrame) -> DataFrame:
     """(id_1, id_2) of all rows that mean one person or body."""
     one = linked(authors)
     one = written(one, "linked")
-    return one.select(F.col("id").alias("id_1"), "entity").join(one.select(F.col("id").alias("id_2"), "entity"), "entity").where("id_1 < id_2").select("id_1", "id_2")
+    return one.select(F.col("id").alias("id_1"), "entity").join(one.select(F.col("id").alias("id_2"), "entity").hint("merge"), "entity").where("id_1 < id_2").select("id_1", "id_2")

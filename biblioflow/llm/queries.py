@@ -70,6 +70,12 @@ def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lk.forms(_p3_values(spark, sf_dir))
 
 
+@query("p3_classes")
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that look like differently spelt ones: their common form, and how many values of other books do."""
+    return lk.look_classes(_p3_values(spark, sf_dir))
+
+
 def _p2_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = {"publisher": "publishers", "tag": "tags"}
     one = [table(spark, sf_dir, t).select(F.lit(kind).alias("kind"), F.col("id").alias("row_id"), "name") for kind, t in kinds.items()]
@@ -94,21 +100,23 @@ def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p2_mapped(spark, sf_dir).where("term_id = 0").groupBy("field_name", "name").agg(F.count("*").alias("row_count"))
 
 
-def _p9_repeated(docs: DataFrame) -> DataFrame:
-    return sp.repeated(docs, sp.sketch(docs))
-
-
 @query("p9_found")
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents that share an unbroken run of 200 code points."""
-    return sp.shared_pairs(_p9_repeated(table(spark, sf_dir, "documents")))
+    return sp.shared_pairs(sp.repeated(table(spark, sf_dir, "documents")))
 
 
 @query("p9_shared_parts")
 def p9_shared_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document's text stands word for word in other documents."""
     docs = table(spark, sf_dir, "documents")
-    return sp.shared_lengths(docs, _p9_repeated(docs))
+    return sp.shared_lengths(docs, sp.repeated(docs))
+
+
+@query("p9_links")
+def p9_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that shares a run: the class of its text, and how many documents share one with it."""
+    return sp.link_counts(table(spark, sf_dir, "documents"))
 
 
 @query("p5_found")

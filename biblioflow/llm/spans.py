@@ -7,13 +7,14 @@ all windows, one in about fifty.
 
 First pass: each partition counts its anchors in a count-min sketch; the sketches are
 merged block by block. They overestimate only. Second pass: anchors whose estimate is
-two or more are grouped exactly, each with the text around it, and the texts are
-compared: a run counts if it reaches SPAN. Nothing is lost, and hash collisions cannot
-add anything.
+two or more are grouped exactly, as numbers; those that really stand in two records or
+more bring the text around them, and the texts are compared: a run counts if it reaches
+SPAN. Nothing is lost, and hash collisions cannot add anything.
 
-The sketch has a fixed number of cells, whatever the data (SKETCH_BITS); with more
-anchors it lets more unique ones through to the exact grouping. An anchor that the
-sketch estimates above BLOCK is spread over pairs of blocks, so no task holds all of it.
+The sketch has as many cells as the length of all texts asks for, SKETCH_BITS at most,
+since it is broadcast; beyond that (some 3 GB of text) it lets more unique anchors through
+to the exact grouping, at 24 bytes each. An anchor in more than BLOCK records, by exact
+count, is spread over pairs of blocks, so no task holds all of it; others are not copied.
 
 Defined results: NULL, empty and shorter texts share nothing; a record does not share
 with itself; ids that occur twice with different texts are one record.
@@ -29,9 +30,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from biblioflow.session import written
+
 SPAN = 200
 GRAM = 100
-SKETCH_BITS = 24
+LEAST_BITS, SKETCH_BITS = 16, 25
 SKETCH_ROWS = 2
 CHUNK_BITS = 16
 BLOCK = 400
@@ -92,56 +95,82 @@ def _cells(h: np.ndarray, bits: int) -> list[np.ndarray]:
     return [((h >> np.uint64(r * 29)) & np.uint64((1 << bits) - 1)).astype(np.int64) for r in range(SKETCH_ROWS)]
 
 
-def sketch(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
-    """(row, chunk, counts): the merged count-min sketch of all anchors, 16-bit saturating counters."""
+def sketch_bits(docs: DataFrame) -> int:
+    """Bits of a sketch with four cells or more for every anchor, within LEAST_BITS and SKETCH_BITS."""
+    chars = docs.where(F.length("text") >= SPAN).agg(F.sum(F.length("text"))).first()[0] or 0
+    return min(SKETCH_BITS, max(LEAST_BITS, int(chars * 8 // SPAN).bit_length() + 1))
+
+
+def sketch(docs: DataFrame, bits: int) -> DataFrame:
+    """(row, chunk, counts): the merged count-min sketch of all anchors, counters that stop at 2."""
     chunk = min(CHUNK_BITS, bits)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        powers, counts = Powers(), np.zeros((SKETCH_ROWS, 1 << bits), np.uint16)
+        powers, counts = Powers(), np.zeros((SKETCH_ROWS, 1 << bits), np.uint8)
         for b in batches:
             for text in b["text"]:
                 h, _ = anchors(text, powers)
                 # within one record a window counts once
                 for r, cells in enumerate(_cells(np.unique(h), bits)):
                     cells = np.unique(cells)
-                    counts[r, cells] += counts[r, cells] < 65535
+                    counts[r, cells] += counts[r, cells] < 2
         for r in range(SKETCH_ROWS):
             for k, part in enumerate(counts[r].reshape(-1, 1 << chunk)):
                 if part.any():
                     yield pd.DataFrame({"row": [r], "chunk": [k], "counts": [zlib.compress(part.tobytes(), 1)]})
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(x), np.uint16).astype(np.int64) for x in pdf["counts"])
-        return pd.DataFrame({"row": [key[0]], "chunk": [key[1]], "counts": [zlib.compress(np.minimum(total, 65535).astype(np.uint16).tobytes(), 1)]})
+        total = np.zeros(1 << chunk, np.uint8)
+        for x in pdf["counts"]:
+            total = np.minimum(total + np.frombuffer(zlib.decompress(x), np.uint8), 2)
+        return pd.DataFrame({"row": [key[0]], "chunk": [key[1]], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     schema = "row int, chunk int, counts binary"
     return docs.select("text").where(F.length("text") >= SPAN).mapInPandas(count, schema).groupBy("row", "chunk").applyInPandas(merge, schema)
 
 
-def repeated(docs: DataFrame, merged: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
-    """(h, i, j, side, doc_id, pos, off, around, last) of anchors that the sketch estimates to occur twice or more."""
+def estimated(docs: DataFrame, merged: DataFrame, bits: int) -> DataFrame:
+    """(doc_id, text_hash, h, pos) of anchors that the sketch estimates to stand in two records or more."""
     chunk = min(CHUNK_BITS, bits)
-    spark = docs.sparkSession
-    # classes of the estimate in one byte per cell, packed: 0 unique, else 1 + number of blocks
-    est = np.zeros((SKETCH_ROWS, 1 << bits), np.uint8)
+    seen = np.zeros((SKETCH_ROWS, 1 << bits), bool)
     for row in merged.toLocalIterator():
-        c = np.frombuffer(zlib.decompress(row["counts"]), np.uint16)
-        est[row["row"], row["chunk"] << chunk : (row["chunk"] + 1) << chunk] = np.where(c < 2, 0, 1 + np.minimum(c // BLOCK, 200))
-    shared = spark.sparkContext.broadcast([zlib.compress(e.tobytes(), 1) for e in est])
-    del est
+        seen[row["row"], row["chunk"] << chunk : (row["chunk"] + 1) << chunk] = np.frombuffer(zlib.decompress(row["counts"]), np.uint8) > 1
+    shared = docs.sparkSession.sparkContext.broadcast([zlib.compress(np.packbits(e).tobytes(), 1) for e in seen])  # of SKETCH_ROWS * 2 ** (SKETCH_BITS - 3) bytes at most
+    del seen
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        powers, est = Powers(), [np.frombuffer(zlib.decompress(x), np.uint8) for x in shared.value]
+        powers, packed = Powers(), [np.frombuffer(zlib.decompress(x), np.uint8) for x in shared.value]
         for b in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(b["doc_id"], b["text"]):
+            ids, keys, hs, ats = [], [], [], []
+            for doc_id, key, text in zip(b["doc_id"], b["text_hash"], b["text"]):
                 h, at = anchors(text, powers)
-                if not len(h):
-                    continue
-                blocks = np.minimum.reduce([e[c] for e, c in zip(est, _cells(h, bits))])
-                keep = np.flatnonzero(blocks)
+                if len(h):
+                    keep = np.logical_and.reduce([e[c >> 3] >> (7 - (c & 7)) & 1 for e, c in zip(packed, _cells(h, bits))]).astype(bool)
+                    n = int(keep.sum())
+                    ids.append(np.full(n, doc_id, np.int64)), keys.append(np.full(n, key, np.int64)), hs.append(h[keep].view(np.int64)), ats.append(at[keep])
+            if ids:
+                yield pd.DataFrame({"doc_id": np.concatenate(ids), "text_hash": np.concatenate(keys), "h": np.concatenate(hs), "pos": np.concatenate(ats)})
+
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where(F.length("text") >= SPAN).mapInPandas(look, "doc_id bigint, text_hash bigint, h bigint, pos bigint")
+
+
+def repeated(docs: DataFrame, bits: int | None = None, block: int | None = None) -> DataFrame:
+    """(h, i, j, side, doc_id, pos, off, around, last) of anchors that stand in two records or more, with the text around them."""
+    bits, block = bits or sketch_bits(docs), block or BLOCK
+    found = written(estimated(docs, sketch(docs, bits), bits), "anchors")
+    # exact counts; pairs are combined before the shuffle, so a hot anchor costs one row per task
+    count = found.select("h", "doc_id").distinct().groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    real = found.join(count.select("h", (1 + F.floor(F.col("n") / block)).cast("int").alias("blocks")).hint("merge"), "h")
+    per_doc = real.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("pos", "h", "blocks")).alias("at"))
+    whole = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where(F.length("text") >= SPAN)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out: list[tuple] = []
+            for doc_id, text, at in zip(b["doc_id"], b["text"], b["at"]):
+                mixed_id = int(_mixed(np.array([doc_id], np.int64).view(np.uint64))[0])
                 runs: dict[tuple[int, str], list[list[int]]] = {}
-                for x, p, n in zip(h[keep].astype(np.int64).tolist(), at[keep].tolist(), blocks[keep].tolist()):
+                for p, x, n in sorted((a["pos"], a["h"], a["blocks"]) for a in at):
                     start = max(0, p - (SPAN - GRAM) - 1)
                     same = runs.setdefault((x, text[start : p + SPAN]), [])
                     if same and p - same[-1][1] <= GRAM:  # a repeating text: one row from the first to the last
@@ -150,14 +179,14 @@ def repeated(docs: DataFrame, merged: DataFrame, bits: int = SKETCH_BITS) -> Dat
                         same.append([p, p, p - start, n])
                 for (x, around), same in runs.items():
                     for first, last, off, n in same:
-                        own = doc_id % n
+                        own = mixed_id % n
                         for other in range(n):
                             out.append((x, min(own, other), max(own, other), own, doc_id, first, off, around, last))
             if out:
                 yield pd.DataFrame(out, columns=["h", "i", "j", "side", "doc_id", "pos", "off", "around", "last"])
 
     schema = "h bigint, i int, j int, side int, doc_id bigint, pos bigint, off int, around string, last bigint"
-    return docs.select("doc_id", "text").where(F.length("text") >= SPAN).mapInPandas(look, schema)
+    return whole.join(per_doc.hint("merge"), ["doc_id", "text_hash"]).select("doc_id", "text", "at").mapInPandas(cut, schema)
 
 
 def _common(a: str, b: str) -> int:
@@ -261,3 +290,20 @@ def shared_lengths(docs: DataFrame, found: DataFrame) -> DataFrame:
         "doc_id", F.coalesce("shared_chars", F.lit(0)).cast("bigint").alias("shared_chars"), "total_chars",
         F.when(F.col("total_chars") > 0, F.coalesce("shared_chars", F.lit(0)) / F.col("total_chars")).otherwise(0.0).alias("shared_part"),
     )
+
+
+def link_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, copies, links) of every record that shares a run of SPAN code points with another.
+
+    class_id: the least id of the records of that very text, copies: how many there are,
+    links: records that share a run with it, its own copies among them. Compared are
+    representatives of the classes only; copies are counted, not made into pairs.
+    """
+    d = docs.where(F.length("text") >= SPAN).select("doc_id", F.sha2("text", 256).alias("key"))
+    classes = written(d.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count_distinct("doc_id").alias("copies")), "classes")
+    heads = docs.join(classes.select(F.col("class_id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+    pairs = written(shared_pairs(repeated(heads)), "pairs")
+    both = pairs.select(F.col("doc_id_1").alias("class_id"), F.col("doc_id_2").alias("other")).union(pairs.select("doc_id_2", "doc_id_1"))
+    more = both.join(classes.select(F.col("class_id").alias("other"), "copies").hint("merge"), "other").groupBy("class_id").agg(F.sum("copies").alias("others"))
+    c = classes.join(more.hint("merge"), "class_id", "left").select("key", "class_id", "copies", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links")).where("links > 0")
+    return d.join(c.hint("merge"), "key").select("doc_id", "class_id", "copies", "links")

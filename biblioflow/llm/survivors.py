@@ -142,7 +142,7 @@ def survivors(records: DataFrame, groups: DataFrame, fields: list[str], priority
     priority: a number for the trust in a record's source; all are equal without it.
     """
     level = (priority if priority is not None else F.lit(0)).cast("int")
-    members = records.select("id", F.col("last_modified").alias("at"), level.alias("priority"), *fields).join(groups, "id")
+    members = records.select("id", F.col("last_modified").alias("at"), level.alias("priority"), *fields).join(groups.hint("merge"), "id")
     best = []
     for f in fields:
         plain = members.schema[f].dataType.typeName() != "map"
