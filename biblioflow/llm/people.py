@@ -69,6 +69,8 @@ GENERATIONS = {"jr", "sr", "ii", "iii", "iv", "junior", "senior"}
 
 # Fixed value: least share of a family's written-out signatures that mean persons of the family it is a slip of.
 ALIGNED = 0.8
+# Fixed value: how many times as frequent as its slip a token is at least, however large the data; in small data its square is enough.
+SLIP_RATE = 20
 
 _BODY_SHORT = {s: w for w, ss in BODY_WORDS.items() for s in ss.split()}
 _FULL = {s: tuple(v.split()) for s, v in SHORT_NAMES.items()}
@@ -141,16 +143,12 @@ def near_pairs(tokens: DataFrame, condition: str) -> DataFrame:
 
 def near_tokens(tokens: DataFrame) -> DataFrame:
     """(token, root) for tokens that are a slip of a clearly more frequent token. tokens: token, n."""
-    best = near_pairs(tokens, "m >= n * n").groupBy("token").agg(F.min(F.struct("d", (-F.col("m")).alias("m"), "other"))["other"].alias("root"))
+    best = near_pairs(tokens, f"(m >= n * n or m >= {SLIP_RATE} * n)").groupBy("token").agg(F.min(F.struct("d", (-F.col("m")).alias("m"), "other"))["other"].alias("root"))
     best = written(best, "roots")
     on = best.select(F.col("token").alias("root"), F.col("root").alias("further"))
     return best.join(on.hint("merge"), "root", "left").select("token", F.coalesce("further", "root").alias("root"))
 
 
-def _ends(given: str) -> tuple[str, ...]:
-    return _FULL.get(given, (given,))
-
-
 def fits(short: str, full: str) -> bool:
     """Whether a given name may be written so: equal, its short form, or its initial."""
     return short == full or full in _FULL.get(short, ()) or (len(short) == 1 and full.startswith(short)) or (short in _FULL and full in _FULL and bool(set(_FULL[short]) & set(_FULL[full])))
@@ -160,30 +158,59 @@ def is_full(given: str) -> bool:
     return len(given) > 1 and given not in _FULL
 
 
+def cheapest(costs: list[list[float]]) -> tuple[float, list[int]]:
+    """Least sum of one cost a row, all in different columns, and the columns (the Hungarian method). No more rows than columns."""
+    n, m = len(costs), len(costs[0]) if costs else 0
+    of_row, of_col, row_at, came = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        row_at[0], j = i, 0
+        least, done = [float("inf")] * (m + 1), [False] * (m + 1)
+        while row_at[j]:
+            done[j], r, step, nxt = True, row_at[j], float("inf"), 0
+            for k in range(1, m + 1):
+                if not done[k]:
+                    c = costs[r - 1][k - 1] - of_row[r] - of_col[k]
+                    if c < least[k]:
+                        least[k], came[k] = c, j
+                    if least[k] < step:
+                        step, nxt = least[k], k
+            for k in range(m + 1):
+                if done[k]:
+                    of_row[row_at[k]] += step
+                    of_col[k] -= step
+                else:
+                    least[k] -= step
+            j = nxt
+        while j:
+            row_at[j], j = row_at[came[j]], came[j]
+    columns = [0] * n
+    for k in range(1, m + 1):
+        if row_at[k]:
+            columns[row_at[k] - 1] = k - 1
+    return sum(costs[i][c] for i, c in enumerate(columns)), columns
+
+
 def assigned(parts: tuple[str, ...], whole: tuple[str, ...]) -> int | None:
-    """Least number of places changed when each part is assigned a name of the whole; None if it can't be.
+    """Least number of places changed when each part is assigned a name of the whole, one of them its first; None if it can't be.
 
     A part more than the whole has must be an initial, a name less a middle name.
     """
     if len(parts) > len(whole):
         return assigned(whole, parts)
-    n = len(parts)
-    costs = {0: 0}  # cost by the set of the whole's places taken; a part is placed at a time
-    for i, p in enumerate(parts):
-        after: dict[int, int] = {}
-        for taken, cost in costs.items():
-            for j, w in enumerate(whole):
-                if not taken >> j & 1 and (fits(p, w) or fits(w, p)):
-                    t, c = taken | 1 << j, cost + (i != j)
-                    if c < after.get(t, c + 1):
-                        after[t] = c
-        costs = after
-    return min((c for t, c in costs.items() if t & 1 or not n and not whole), default=None)
+    if not parts:
+        return None if whole else 0
+    if parts == whole:
+        return 0
+    never, first = 1e9, 1e4  # a forbidden pair; what taking the first place is worth
+    costs = [[(i != j) - first * (j == 0) if fits(p, w) or fits(w, p) else never for j, w in enumerate(whole)] for i, p in enumerate(parts)]
+    if any(min(row) == never for row in costs):
+        return None
+    total, columns = cheapest(costs)
+    return int(total + first) if total < never / 2 and 0 in columns else None
 
 
 def resolve(signatures: list[tuple[str, ...]]) -> dict[tuple[str, ...], str]:
     """The person that each signature of one family means; those that fit several are left out."""
-    sole: dict[str, list[str]] = {}
     sigs = sorted(set(signatures))
     known = {g for s in sigs for g in s if is_full(g)}
 
@@ -197,24 +224,34 @@ def resolve(signatures: list[tuple[str, ...]]) -> dict[tuple[str, ...], str]:
 
     clear = {s: tuple(told(g) for g in s) for s in sigs}
     firsts = sorted({c[0] for c in clear.values() if c and is_full(c[0])})
-    middles = {f: sorted({c[1:] for c in clear.values() if c and c[0] == f and len(c) > 1 and all(is_full(g) for g in c[1:])}) for f in firsts}
+    said, middles = set(clear.values()), {f: set() for f in firsts}
+    for c in said:
+        if len(c) > 1 and c[0] in middles and all(is_full(g) for g in c[1:]):
+            middles[c[0]].add(c[1:])
     persons: list[tuple[str, ...]] = []
     for f in firsts:
-        persons += [(f, *m) for m in middles[f]] if middles[f] else [(f,)]
-        if len(middles[f]) > 1 and any(c == (f,) for c in clear.values()):
+        persons += [(f, *m) for m in sorted(middles[f])] or [(f,)]
+        if len(middles[f]) > 1 and (f,) in said:
             persons.append((f,))
-    del sole
+    # persons by every name of theirs and by its first letter: a signature meets only those that may fit
+    by_name: dict[str, list[tuple[str, ...]]] = {}
+    for p in persons:
+        for k in {*p, *(g[0] for g in p)}:
+            by_name.setdefault(k, []).append(p)
+    meet = lambda g: {p for k in (g, *_FULL.get(g, ())) for p in by_name.get(k, ())}
     out: dict[tuple[str, ...], str] = {}
     for s, c in clear.items():
         if not c:
             out[s] = ""
             continue
-        exact = [p for p in persons if p == c]
-        fit = exact or [p for p in persons if len(p) == len(c) and assigned(c, p) == 0] or [p for p in persons if len(p) > len(c) and assigned(c, p) == 0]
+        # a person of as many names or more has one for each of the signature's; a shorter one has one for some
+        near = min((meet(g) for g in c), key=len)
+        exact = [p for p in near if p == c]
+        fit = exact or [p for p in near if len(p) == len(c) and assigned(c, p) == 0] or [p for p in near if len(p) > len(c) and assigned(c, p) == 0]
         if not fit and len(c) > 1 and all(len(g) == 1 for g in c[1:]):  # an initial more than the name has
-            fit = [p for p in persons if len(p) == 1 and assigned(c, p) is not None]
+            fit = [p for p in {p for g in c for p in meet(g)} if len(p) == 1 and assigned(c, p) is not None]
         if not fit:
-            fit = [p for p in persons if len(p) == len(c) and assigned(c, p) is not None]
+            fit = [p for p in near if len(p) == len(c) and assigned(c, p) is not None]
         if len(fit) == 1:
             out[s] = " ".join(fit[0])
         elif not fit:  # nobody is written out: equal initials mean one
