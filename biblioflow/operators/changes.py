@@ -194,3 +194,25 @@ def merged_identifiers(old: Column, new: Column) -> Column:
     old, new = F.coalesce(old, empty), F.coalesce(new, empty)
     have = F.transform(F.map_keys(old), F.lower)
     return F.map_concat(old, F.map_filter(new, lambda k, _: ~F.array_contains(have, F.lower(k))))
+
+
+def applied(books: DataFrame, writes: DataFrame) -> DataFrame:
+    """Books after writes. writes: book_id and fields, a map from field to its value as it is logged."""
+    kinds = dict(books.dtypes)
+
+    def value(f: str) -> Column:
+        x = F.col("fields")[f]
+        if kinds[f].startswith(("array", "map")):
+            return F.from_json(x, kinds[f])
+        return F.nullif(x, F.lit("")).cast(kinds[f]) if kinds[f] != "string" or f in ("series", "publisher", "booktype", "metadata_status") else x
+
+    j = books.join(writes.select(F.col("book_id").alias("id"), "fields"), "id", "left")
+    here = lambda f: F.coalesce(F.map_contains_key("fields", F.lit(f)), F.lit(False))
+    return j.select(*(F.when(here(c), value(c)).otherwise(F.col(c)).alias(c) if c in WRITE_ORDER else F.col(c) for c in books.columns))
+
+
+def state_of(books: DataFrame) -> DataFrame:
+    """(book_id, state): the writable fields of every book as they are logged."""
+    fields = [f for f in WRITE_ORDER if f in books.columns]
+    pairs = F.array(*(F.struct(F.lit(f).alias("k"), F.coalesce(as_text(f, F.col(f)), F.lit("")).alias("v")) for f in fields))
+    return books.select(F.col("id").alias("book_id"), F.map_from_entries(pairs).alias("state"))
