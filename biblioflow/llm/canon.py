@@ -294,6 +294,8 @@ def map_to_terms(names: DataFrame, terms: DataFrame, max_terms: int = 100_000) -
             for kind, name in zip(b["kind"], b["name"]):
                 keys = tuple(CANDIDATES.get(kind, lambda x: [squeeze(letters(x))])(name)) if name else ()
                 if (kind, keys) not in seen:
+                    if len(seen) >= 300_000:
+                        seen.clear()
                     seen[kind, keys] = meant(tries[kind], list(keys)) if keys and kind in tries else 0
                 out.append(seen[kind, keys])
             yield pd.DataFrame({"kind": b["kind"], "name": b["name"], "term_id": pd.Series(out, dtype="int64")})
