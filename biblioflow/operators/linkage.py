@@ -7,11 +7,12 @@ block_cap names is left out, as the rule asks; exact reasons have no such limit.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biblioflow.functions import text as T
 from biblioflow.plans.cleaning import mapped, publisher_groups
+from biblioflow.session import written
 
 # Least similarities.
 AUTHORS_ALIKE, PUBLISHERS_ALIKE, SERIES_ALIKE = 0.88, 0.9, 0.93
@@ -51,32 +52,54 @@ def _unmatched(total: Column, least: float) -> Column:
     return F.greatest(u - (total - u) % 2, F.lit(0))
 
 
-def _whole_run(total: Column, least: float) -> Column:
-    """Length of the longest matching block at least: the matched letters over one block more than letters without a partner."""
-    u = _unmatched(total, least)
-    return F.least(F.ceil((total - u) / 2 / (u + 1)), F.lit(_longest(least)))
+def _rare_letters(names: DataFrame, least: float) -> DataFrame:
+    """(token, name, key, words): every name under its rarest letter pairs, as many as names alike cannot all differ in.
 
+    names: name, key, words. Names with m letters in matching blocks and u without a partner share m - u - 1
+    letter pairs (m letters, where that leaves none), the second "an" of a name being another pair than the first.
+    Of t tokens, c of them shared, one of the t - c + 1 first in any order of tokens is shared; that of rarity
+    keeps blocks small.
+    """
+    n, count = F.length("words"), F.col("count")
+    totals = F.sequence(F.floor(n * 2 / (2 - least)), F.ceil(n * 2 / least))
+
+    def first(size: int) -> Column:
+        def of(total: Column) -> Column:
+            u = _unmatched(total, least)
+            m = (total - u) / 2
+            by_pairs = m - u - 1 >= 1
+            return F.when(by_pairs if size == 2 else ~by_pairs, n - size + 2 - (m - (u + 1) * (size - 1)))
+
+        return F.array_max(F.transform(totals, of)).cast("int")
 
-def _longest(least: float) -> int:
-    """Longest block length used: what is left whole in names of any great length."""
-    return max(1, int(least / (2 * (1 - least) + 1e-9) + 1)) if least < 1 else 5
+    kinds = F.explode(F.array(*(F.struct(F.lit(size).alias("size"), first(size).alias("first")) for size in (1, 2))))
+    rows = names.select("name", "key", "words", "one", "two", kinds.alias("k")).select("*", "k.*").drop("k").where((F.col("first") > 0) & (n >= F.col("size")))
+    at = rows.select("name", "words", "size", F.explode(F.sequence(F.lit(1), n - F.col("size") + 1)).alias("i"))
+    tokens = at.groupBy("name", "size", F.substr("words", F.col("i"), F.col("size")).alias("letters")).count()
+    tokens = written(tokens.select("name", "size", F.explode(F.transform(F.sequence(F.lit(1), count), lambda k: F.concat(k.cast("string"), F.lit("|"), F.col("letters")))).alias("token")), "tokens")
+    order = Window.partitionBy("name", "size").orderBy("count", "token")
+    ranked = tokens.join(tokens.groupBy("size", "token").count(), ["size", "token"]).withColumn("rank", F.row_number().over(order))
+    return written(ranked.join(rows, ["name", "size"]).where("rank <= first").select(F.concat_ws("|", "size", "token").alias("token"), "name", "key", "words", "one", "two"), "rare")
 
 
 def publisher_suggestions(books: DataFrame, least: float = PUBLISHERS_ALIKE) -> DataFrame:
     """(name_a, name_b, reason) of winners of different keys: one key begins the other, or the names are alike.
 
-    Blocks: the first letters of the keys for beginnings; for likeness runs of letters as long as the
-    likeness leaves whole at least, given the lengths of both names.
+    Every key is looked up among the beginnings of longer ones. Names alike meet by a rare letter pair,
+    and are compared if their letters, in any order, differ by no more than the likeness allows.
     """
     g = publisher_groups(books).where("name = winner").select("name", "key")
-    start = g.where(F.length("key") >= 5).withColumn("block", F.left("key", F.lit(5)))
-    prefix = _pairs(start, "block", ["name", "key"], "beginning").where("key_a != key_b and (startswith(key_a, key_b) or startswith(key_b, key_a))")
-    n = F.length("words")
-    runs = mapped(g, "name", words=T.words_key).withColumn("run", F.explode(F.array_distinct(F.transform(F.sequence(F.floor(n * 2 / (2 - least)), F.ceil(n * 2 / least)), lambda total: _whole_run(total, least))))).where(n >= F.col("run"))
-    grams = runs.withColumn("block", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n - F.col("run") + 1), lambda i: F.concat(F.col("run").cast("string"), F.lit("|"), F.substr("words", i, F.col("run")))))))
-    total = F.length("words_a") + F.length("words_b")
-    near = _pairs(grams, "block", ["name", "key", "words", "run"], "likeness").where("key_a != key_b").where(F.col("run_a") == _whole_run(total, least))
-    near = near.where(F.levenshtein("words_a", "words_b") <= _unmatched(total, least)).select("name_a", "name_b", "reason").distinct()
+    shorter = g.where(F.length("key") >= 5).select("key", F.col("name").alias("short"))
+    longer = g.where(F.length("key") > 5).select(F.col("name").alias("long"), F.explode(F.transform(F.sequence(F.lit(5), F.length("key") - 1), lambda i: F.left("key", i))).alias("key"))
+    prefix = longer.join(shorter, "key").select(F.least("short", "long").alias("name_a"), F.greatest("short", "long").alias("name_b"), F.lit("beginning").alias("reason"))
+    named = mapped(g, "name", words=T.words_key).withColumn("bits", T.letter_bits(F.col("words"))).select("name", "key", "words", "bits.*").where("words != ''")
+    rare = _rare_letters(named, least).withColumn("size", F.length("words"))
+    a, b = (rare.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("name", "key", "words", "one", "two", "size"))) for side in "ab")
+    unmatched = _unmatched(F.col("size_a") + F.col("size_b"), least)
+    letters = F.bit_count(F.col("one_a").bitwiseXOR(F.col("one_b"))) + F.bit_count(F.col("two_a").bitwiseXOR(F.col("two_b")))
+    # the cheapest condition first: most pairs of a block end there
+    near = a.join(b, (a["token"] == b["token"]) & (letters <= (1 - least) * (F.col("size_a") + F.col("size_b")) + 1e-9) & (F.col("name_a") < F.col("name_b")) & (letters <= unmatched) & (F.col("key_a") != F.col("key_b")))
+    near = near.where(F.levenshtein("words_a", "words_b") <= unmatched).select("name_a", "name_b", F.lit("likeness").alias("reason")).distinct()
     near = near.where(T.similarity(F.col("name_a"), F.col("name_b")) >= least)
     return _first_reason([prefix, near])
 
