@@ -93,13 +93,10 @@ def publisher_suggestions(books: DataFrame, least: float = PUBLISHERS_ALIKE) ->
     longer = g.where(F.length("key") > 5).select(F.col("name").alias("long"), F.explode(F.transform(F.sequence(F.lit(5), F.length("key") - 1), lambda i: F.left("key", i))).alias("key"))
     prefix = longer.join(shorter, "key").select(F.least("short", "long").alias("name_a"), F.greatest("short", "long").alias("name_b"), F.lit("beginning").alias("reason"))
     named = mapped(g, "name", words=T.words_key).withColumn("bits", T.letter_bits(F.col("words"))).select("name", "key", "words", "bits.*").where("words != ''")
-    rare = _rare_letters(named, least).withColumn("size", F.length("words"))
-    a, b = (rare.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("name", "key", "words", "one", "two", "size"))) for side in "ab")
-    unmatched = _unmatched(F.col("size_a") + F.col("size_b"), least)
-    letters = F.bit_count(F.col("one_a").bitwiseXOR(F.col("one_b"))) + F.bit_count(F.col("two_a").bitwiseXOR(F.col("two_b")))
-    # the cheapest condition first: most pairs of a block end there
-    near = a.join(b, (a["token"] == b["token"]) & (letters <= (1 - least) * (F.col("size_a") + F.col("size_b")) + 1e-9) & (F.col("name_a") < F.col("name_b")) & (letters <= unmatched) & (F.col("key_a") != F.col("key_b")))
-    near = near.where(F.levenshtein("words_a", "words_b") <= unmatched).select("name_a", "name_b", F.lit("likeness").alias("reason")).distinct()
+    unmatched = _unmatched(F.length("words_a") + F.length("words_b"), least)
+    near = _pairs(_rare_letters(named, least), "token", ["name", "key", "words", "one", "two"], "likeness").where("key_a != key_b")
+    near = near.where(F.bit_count(F.col("one_a").bitwiseXOR(F.col("one_b"))) + F.bit_count(F.col("two_a").bitwiseXOR(F.col("two_b"))) <= unmatched)
+    near = near.where(F.levenshtein("words_a", "words_b") <= unmatched).select("name_a", "name_b", "reason").distinct()
     near = near.where(T.similarity(F.col("name_a"), F.col("name_b")) >= least)
     return _first_reason([prefix, near])
 
