@@ -1,11 +1,11 @@
 """Records of two tables matched without a shared key.
 
 1. Each record becomes attributes of tokens: title parts, author names, series, volume.
-2. Random walks over the graph record - attribute - token, on a sample of at most
-   SAMPLE records of either side, give sequences of tokens from which skip-gram vectors
-   are trained. A token's vector is the mean of the vectors of its letters and of its
-   pairs of letters next to each other or one apart, in either order, so the model has a
-   fixed size and a misspelt token stays near the right one.
+2. Random walks over the graph record - attribute - token, one from every record of
+   either side, give sequences of tokens. Their pairs within two steps are counted, and
+   skip-gram vectors are trained on all counts. A token's vector is the mean of the vectors
+   of its letters and of its pairs of letters next to each other or one apart, in either
+   order, so the model has a fixed size and a misspelt token stays near the right one.
 3. A record has a vector for its title with each of its authors: sums of token vectors by
    their rarity over all rows, rare tokens of a name (the family) counting most. Tables of
    random hyperplanes hash every row's vectors; rows of the other side also look into the
@@ -15,13 +15,16 @@
    whose lists of authors differ. Buckets are kept apart by volume, so that a long series
    does not fill one. Rows also meet, whatever their vectors, by an equal word of an author
    with an equal beginning or end of a title; without authors by an equal title or first
-   part. Pairs that meet are kept if the letter pairs of the titles by which they met are
-   near.
+   part. Pairs that meet are kept if the letters and letter pairs of the titles by which
+   they met may be near. Rows of equal letters are joined first, by those: a record whose
+   best such book reaches the highest rank there is looks into no bucket, as nothing it
+   would find there could come before.
 4. The pairs are compared exactly: title parts within a small edit distance, volume,
    authors by assignment of names. Exact cosines, together with the levels of that
-   comparison, are calibrated to a confidence by a logistic curve. Its labels are not those
-   of the comparison but the agreement of publisher and year, which no vector and no level
-   holds: matches agree in them at one rate, rows drawn together at random at another.
+   comparison, are calibrated to a confidence by a logistic curve on all pairs. Its labels
+   are not those of the comparison but the agreement of publisher and year, which no vector
+   and no level holds: matches agree in them at one rate, rows put together at random at
+   another.
    A pair counts if the exact comparison allows it and its confidence reaches SURE.
 
 Rows with equal attributes are hashed once. The number of planes grows with the
@@ -46,7 +49,8 @@ from itertools import combinations, pairwise
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biblioflow.llm.canon import letters, within
@@ -56,16 +60,16 @@ from biblioflow.session import discard, written
 DIMS = 64
 GRAM_BUCKETS = 1 << 12
 COUNT_BUCKETS = 1 << 16
-SAMPLE = 2000
-LABELLED = 5000
+CONTEXTS, STEPS, ROUNDS, RATE = 1 << 8, 4, 20, 0.25
+SLICES = 16
 PROBES, MORE_PROBES = 8, 32
 WEAKEST = 6
 HIT_ANGLE, HIT_RATE = 25, 0.9
 BUCKET = 32
 NAMES_WEIGH = 0.7
 HOT_SHARE, HOT_LEAST, HOT_PLANES = 1024, 1000, 8
-EDIT_BITS, NEAR_BEGINNING = 6, 8
-EDITED = 6
+EDIT_BITS, NEAR_BEGINNING = 6, 6
+GROUP_ROWS, AT_ONCE = 1_000_000, 2_000_000
 SURE = 0.5
 # weights of the curve before any label: 1, cosine, title allowed, author allowed, title level, share of authors, agreement
 BELIEVED = (-9.0, 4.0, 4.0, 5.0, 0.0, 0.0, 0.0)
@@ -220,14 +224,15 @@ class Model:
         self.at: dict[str, int] = {}
         self.table, self.rarity = np.zeros((1024, DIMS), np.float32), np.zeros(1024, np.float32)
 
-    def centred(self, words: list[list[str]], names: list[list[str]]) -> "Model":
-        """The model with what the vectors of a sample have in common taken out."""
-        for k, lists in enumerate((words, names)):
-            if lists:
-                self.middle[k] = _unit(self._sums(lists, k)).mean(axis=0)
+    def learned(self, grams: np.ndarray, share: np.ndarray) -> "Model":
+        """The model with trained vectors, and what the records have in common taken out. share: of every letter group in the mean title and the mean name."""
+        self.grams, self.middle = grams, (share @ grams / np.sqrt((grams * grams).sum(axis=1).mean())).astype(np.float32)
         self.clear()
         return self
 
+    def rare(self, token: str) -> float:
+        return min(max(math.log(self.rows / (1 + self.counts[zlib.crc32(token.encode()) % COUNT_BUCKETS])) / math.log(self.rows), 0.1), 0.7)
+
     def hot(self, title: str) -> bool:
         """Whether so many records have the title that its bucket is divided by their authors."""
         return self.titles[zlib.crc32(title.encode()) % COUNT_BUCKETS] > max(HOT_LEAST, self.rows / HOT_SHARE)
@@ -237,7 +242,7 @@ class Model:
         if n >= len(self.table):
             self.table, self.rarity = np.concatenate((self.table, np.zeros_like(self.table))), np.concatenate((self.rarity, np.zeros_like(self.rarity)))
         self.table[n] = _unit(self.grams[grams_of(token)].sum(axis=0)[None])[0]
-        self.rarity[n] = min(max(math.log(self.rows / (1 + self.counts[zlib.crc32(token.encode()) % COUNT_BUCKETS])) / math.log(self.rows), 0.1), 0.7)
+        self.rarity[n] = self.rare(token)
         return n
 
     def _sums(self, lists: list[list[str]], names: int) -> np.ndarray:
@@ -276,47 +281,103 @@ def grams_of(token: str) -> list[int]:
     return [zlib.crc32(g.encode()) % GRAM_BUCKETS for g in (*pairs, *token)]
 
 
-def trained(records: list[tuple[list[str], list[str], str]], seed: int = 5, walks: int = 1, steps: int = 8) -> np.ndarray:
-    """Vectors of letter groups from skip-grams over random walks. records: title words, author keys, series words."""
+class Walks:
+    """Counts of what random walks over the graph record - attribute - token see, of a fixed size.
+
+    Every record starts a walk of STEPS tokens; from a token it goes on to a record of the
+    same batch that holds it. seen: how often a letter group has a token (by its bucket)
+    within two steps. share: how much of each letter group the titles and the names hold.
+    """
+
+    def __init__(self, model: "Model", seed: int = 5) -> None:
+        self.model, self.rng = model, np.random.default_rng(seed)
+        self.seen, self.share, self.records = np.zeros(GRAM_BUCKETS * CONTEXTS), np.zeros((2, GRAM_BUCKETS)), np.zeros(2)
+
+    def add(self, records: list[tuple[list[list[str]], int, list[int]]]) -> None:
+        """records: (tokens of every attribute, which of them is the title, which are names)."""
+        at: dict[str, int] = {}
+        flat, sizes, of_record, kinds = [], [], [], []
+        for r, (attributes, title, names) in enumerate(records):
+            for k, ws in enumerate(attributes):
+                if ws:
+                    flat += [at.setdefault(w, len(at)) for w in ws]
+                    sizes.append(len(ws)), of_record.append(r), kinds.append(0 if k == title else 1 if k in names else 2)
+        if not flat:
+            return
+        words = list(at)
+        grams = [grams_of(w) for w in words]
+        n_grams = np.fromiter(map(len, grams), np.int64, len(grams))
+        gram, gram_at = np.concatenate(grams), np.cumsum(n_grams) - n_grams
+        context = np.array([zlib.crc32(w.encode()) % CONTEXTS for w in words])
+        rarity = np.array([self.model.rare(w) for w in words])
+        flat, sizes, of_record, kinds = np.array(flat), np.array(sizes), np.array(of_record), np.array(kinds)
+        start = np.cumsum(sizes) - sizes
+        for k in (0, 1):  # unit vectors of titles and of names, as if the letter groups stood at right angles
+            on = np.repeat(kinds == k, sizes)
+            if on.any():
+                own, weight = np.repeat(np.arange(len(sizes)), sizes)[on], rarity[flat[on]] ** (3 if k else 1)
+                length = np.sqrt(np.bincount(own, weight**2, len(sizes)))
+                per_word = np.bincount(flat[on], weight / length[own], len(words)) / np.sqrt(n_grams)
+                self.share[k] += np.bincount(gram, np.repeat(per_word, n_grams), GRAM_BUCKETS)
+                self.records[k] += (kinds == k).sum()
+        first = np.searchsorted(of_record, np.arange(len(records) + 1))
+        owner = np.repeat(of_record, sizes)
+        by_word = np.argsort(flat, kind="stable")
+        held = np.bincount(flat, minlength=len(words))
+        held_at = np.cumsum(held) - held
+        now, line = np.flatnonzero(np.diff(first)), []
+        for _ in range(STEPS):
+            a, b, c = self.rng.random((3, len(now)))
+            attribute = first[now] + (a * (first[now + 1] - first[now])).astype(np.int64)
+            w = flat[start[attribute] + (b * sizes[attribute]).astype(np.int64)]
+            line.append(w)
+            now = owner[by_word[held_at[w] + (c * held[w]).astype(np.int64)]]
+        for i, x in enumerate(line):
+            for y in line[max(0, i - 2) : i] + line[i + 1 : i + 3]:
+                pair, times = np.unique(x * CONTEXTS + context[y], return_counts=True)
+                x_of, y_of = divmod(pair, CONTEXTS)
+                n = n_grams[x_of]
+                cell = gram[np.repeat(gram_at[x_of] - np.cumsum(n) + n, n) + np.arange(n.sum())] * CONTEXTS + np.repeat(y_of, n)
+                self.seen += np.bincount(cell, np.repeat(times / n, n), GRAM_BUCKETS * CONTEXTS)
+
+
+def walked(rows: DataFrame, model) -> tuple[np.ndarray, np.ndarray]:
+    """(seen, share) of walks from every row; what the driver gets has a fixed size."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w = Walks(model.value)
+        for b in batches:
+            records = []
+            for words, authors, series in zip(b["words"], b["authors"], b["series"]):
+                names = [name_tokens(a) for a in authors]
+                records.append(([" ".join(words).split(), *names, series.split()], 0, range(1, len(names) + 1)))
+            w.add(records)
+        if w.records.any():
+            yield pd.DataFrame([(k, zlib.compress(x.astype(np.float32).tobytes(), 1)) for k, x in enumerate((*np.split(w.seen, SLICES), w.share.ravel(), w.records))], columns=["slice", "told"])
+
+    def total(b: pd.DataFrame) -> pd.DataFrame:
+        told = sum(np.frombuffer(zlib.decompress(x), np.float32).astype(np.float64) for x in b["told"])
+        return pd.DataFrame({"slice": b["slice"].iloc[:1], "told": [zlib.compress(told.astype(np.float32).tobytes(), 1)]})
+
+    got = {r["slice"]: np.frombuffer(zlib.decompress(r["told"]), np.float32) for r in rows.select("words", "authors", "series").mapInPandas(walk, "slice int, told binary").groupBy("slice").applyInPandas(total, "slice int, told binary").collect()}
+    if not got:
+        return np.zeros((GRAM_BUCKETS, CONTEXTS)), np.zeros((2, GRAM_BUCKETS))
+    return np.concatenate([got[k] for k in range(SLICES)]).reshape(GRAM_BUCKETS, CONTEXTS), got[SLICES].reshape(2, -1) / np.maximum(got[SLICES + 1], 1)[:, None]
+
+
+def trained(seen: np.ndarray, seed: int = 5, rounds: int = ROUNDS) -> np.ndarray:
+    """Vectors of letter groups by skip-grams with negative sampling over all the pairs counted: gradients of the whole, not of pairs drawn."""
     rng = np.random.default_rng(seed)
-    grams = rng.standard_normal((GRAM_BUCKETS, DIMS)).astype(np.float32)
-    attributes = [[ws for ws in (t, [w for a in au for w in a.split()[1:]], s.split()) if ws] for t, au, s in records]
-    holders: dict[str, list[int]] = {}
-    for i, ats in enumerate(attributes):
-        for ws in ats:
-            for w in ws:
-                holders.setdefault(w, []).append(i)
-    vocabulary = {w: i for i, w in enumerate(holders)}
-    pairs: list[tuple[int, int]] = []
-    draws = rng.random((max(1, len(attributes) * walks), steps, 3))
-    for k in range(len(attributes) * walks):
-        at, line = k % len(attributes), []
-        for a, b, c in draws[k]:
-            if not attributes[at]:
-                break
-            ws = attributes[at][int(a * len(attributes[at]))]
-            w = ws[int(b * len(ws))]
-            line.append(vocabulary[w])
-            at = holders[w][int(c * len(holders[w]))]
-        pairs += [(line[i], line[j]) for i in range(len(line)) for j in range(max(0, i - 2), min(len(line), i + 3)) if i != j]
-    if not pairs:
+    grams, out = rng.standard_normal((GRAM_BUCKETS, DIMS)).astype(np.float32), np.zeros((CONTEXTS, DIMS), np.float32)
+    if not seen.any():
         return grams
-    lists = [grams_of(w) for w in vocabulary]
-    width = max(map(len, lists))
-    table = np.array([x + [-1] * (width - len(x)) for x in lists])
-    n_of = (table >= 0).sum(axis=1).astype(np.float32)
-    out = np.zeros((len(vocabulary), DIMS), np.float32)
-    arr = np.array(pairs)[rng.permutation(len(pairs))]
-    for s in range(0, len(arr), 4096):
-        x, y = arr[s : s + 4096].T
-        idx, mask = table[x], (table[x] >= 0)[..., None]
-        v = (grams[idx] * mask).sum(axis=1) / n_of[x][:, None]
-        grad = np.zeros_like(v)
-        for target, label in ((y, 1.0), *((rng.integers(0, len(vocabulary), len(x)), 0.0) for _ in range(3))):
-            g = (label - 1 / (1 + np.exp(-np.clip((v * out[target]).sum(axis=1), -9, 9))))[:, None].astype(np.float32) * 0.05
-            grad += g * out[target]
-            np.add.at(out, target, g * v)
-        np.add.at(grams, idx[mask[..., 0]], np.repeat(grad / n_of[x][:, None], mask[..., 0].sum(axis=1), axis=0))
+    by_gram, by_context = seen.sum(axis=1, keepdims=True), seen.sum(axis=0, keepdims=True)
+    often_gram, often_context = by_gram / by_gram.sum(), by_context / by_context.sum()
+    of_gram, of_context = seen / np.maximum(by_gram, 1e-9), seen / np.maximum(by_context, 1e-9)
+    for _ in range(rounds):
+        near = 1 / (1 + np.exp(-np.clip(grams @ out.T, -9, 9)))
+        to_gram, to_context = of_gram * (1 - near) - often_context * near * (by_gram > 0), of_context * (1 - near) - often_gram * near * (by_context > 0)
+        grams, out = (grams + RATE * to_gram @ out).astype(np.float32), (out + RATE * to_context.T @ grams).astype(np.float32)
     return grams
 
 
@@ -359,30 +420,57 @@ def _bits(x: np.ndarray) -> np.ndarray:
 
 
 _PAIR_BIT: dict[str, int] = {}
-_HALF = (1 << 61) - 1
+_HALF, _REST, _ODD = (1 << 61) - 1, (1 << 26) - 1, (1 << 32) - 1
 
 
 def bigrams(part: str) -> int:
-    """A set of letter pairs in 122 bits, of which each edit changes four at most (a swap six)."""
+    """A set of letter pairs in 87 bits, of which each edit changes four at most (a swap six)."""
     out = 0
     for a, b in zip(part, part[1:]):
         bit = _PAIR_BIT.get(a + b)
         if bit is None:
-            bit = _PAIR_BIT[a + b] = 1 << (((ord(a) * 0x9E3779B1 ^ ord(b) * 0x85EBCA6B) * 0xC2B2AE35 & 0xFFFFFFFF) >> 8) % 122
+            bit = _PAIR_BIT[a + b] = 1 << (((ord(a) * 0x9E3779B1 ^ ord(b) * 0x85EBCA6B) * 0xC2B2AE35 & 0xFFFFFFFF) >> 8) % 87
         out |= bit
     return out
 
 
+def odd_letters(part: str) -> int:
+    """Letters that a text has an odd number of times in 32 bits, of which each edit changes two at most (a swap none)."""
+    out = 0
+    for c in part:
+        out ^= 1 << (ord(c) & 31)
+    return out
+
+
 def edits(n: int) -> int:
     """Edits allowed between titles of which the shorter one has so many letters."""
     return 0 if n < 5 else 1 if n < 9 else 2 if n < 16 else 3
 
 
 def halves(texts: list[str], cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Letter pairs of every text in two numbers; the edits it allows above those of the first, which is negative if the text is cut short."""
+    """What says whether texts may be near, in two numbers: letter pairs with the edits allowed above them, negative if the text is cut short; the other pairs, odd letters, the last five bits of the length."""
     sets = list(map(bigrams, texts))
     one = np.array([x & _HALF | edits(len(t)) << 61 for x, t in zip(sets, texts)], np.int64)
-    return np.where(cut, one | np.int64(-1 << 63), one), np.array([x >> 61 for x in sets], np.int64)
+    return np.where(cut, one | np.int64(-1 << 63), one), np.array([x >> 61 | odd_letters(t) << 26 | (len(t) & 31) << 58 for x, t in zip(sets, texts)], np.int64)
+
+
+def alike(one: np.ndarray, two: np.ndarray, one_b: np.ndarray, two_b: np.ndarray) -> np.ndarray:
+    """Whether texts may be as near as the comparison asks, by their halves; those it says no to are not.
+
+    An edit changes two odd letters and four pairs at most, or it is a swap: no letter and six pairs. A text within
+    two edits of a beginning has NEAR_BEGINNING pairs at most that the other lacks.
+    """
+    allowed = np.minimum(one >> 61 & 3, one_b >> 61 & 3)
+    longer = ((two >> 58) - (two_b >> 58) + allowed) & 31
+    odd = (np.bitwise_count((two ^ two_b) >> 26 & _ODD) + 1) >> 1
+    ok = (longer <= 2 * allowed) & (odd <= allowed)
+    on = np.flatnonzero(ok)
+    pairs = np.bitwise_count((one[on] ^ one_b[on]) & _HALF).astype(np.int64) + np.bitwise_count((two[on] ^ two_b[on]) & _REST) + 2 * odd[on]
+    ok[on] = pairs <= allowed[on] * EDIT_BITS
+    for is_cut, x, y, z, w in ((one < 0, one, one_b, two, two_b), (one_b < 0, one_b, one, two_b, two)):
+        on = np.flatnonzero(is_cut & ~ok)
+        ok[on] = np.bitwise_count(x[on] & ~y[on] & _HALF) + np.bitwise_count(z[on] & ~w[on] & _REST) <= NEAR_BEGINNING
+    return ok
 
 
 # which of the weakest planes each probe may turn
@@ -439,9 +527,9 @@ def _mix(key: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
 
 
 def _hashed(rows: DataFrame, model, planes: int, tables: int, probe: bool) -> DataFrame:
-    """(key, sid, one, two, text): the buckets of every row in all tables, with neighbours if it probes, and its shared keys.
+    """(key, sid, one, two): the buckets of every row in all tables, with neighbours if it probes, and its shared keys.
 
-    text: what was hashed; one, two: its letter pairs (halves).
+    one, two: the letter pairs of what was hashed (halves); two is negative if the row probes.
     """
 
     def hash_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -466,11 +554,11 @@ def _hashed(rows: DataFrame, model, planes: int, tables: int, probe: bool) -> Da
                 if probe and b["series"].iat[i]:
                     owner.append(i), text.append(parts[i][1]), toks.append(words[i][1].split())
         owner, cut_short = np.array(owner, np.int64), np.array(cut, bool)
-        marks = (*halves(text, cut_short[owner]), np.array(text, object))
+        marks = halves(text, cut_short[owner])
         t = m.vectors(toks)
         of = np.array([i for i in range(n) for _ in authors[i]], np.int64)
         a = m.vectors([name_tokens(x) for xs in authors for x in xs], names=True)
-        found: list[tuple[np.ndarray, ...]] = []  # keys, rows, halves, texts
+        found: list[tuple[np.ndarray, ...]] = []  # keys, rows, halves
 
         def add(row: np.ndarray, keys: np.ndarray, table: np.ndarray | int, of_text: np.ndarray, marks: tuple = marks) -> None:
             k = _mix(keys, table)
@@ -503,9 +591,9 @@ def _hashed(rows: DataFrame, model, planes: int, tables: int, probe: bool) -> Da
         which = [known.setdefault(s, len(known)) for _, _, s in shared]
         one, two = halves(list(known), np.zeros(len(known), bool))
         one = np.where(cut_short[by], one[which] | np.int64(-1 << 63), one[which])
-        add(by, np.array([k for _, k, _ in shared], np.int64)[:, None], 1 << 20, np.arange(len(by)), (one, two[which], np.array(list(known), object)[which]))
+        add(by, np.array([k for _, k, _ in shared], np.int64)[:, None], 1 << 20, np.arange(len(by)), (one, two[which]))
         if not found:
-            return pd.DataFrame({c: [] for c in ("key", "sid", "one", "two", "text")})
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("key", "sid", "one", "two")})
         key, row, *marks = (np.concatenate(x) for x in zip(*found))
         # volumes: rows without a number in the title may meet each other, rows of one number may meet
         volume, number_in_series, about = (b[c].to_numpy().astype(np.int64) for c in ("volume", "series_no", "about"))
@@ -514,19 +602,54 @@ def _hashed(rows: DataFrame, model, planes: int, tables: int, probe: bool) -> Da
         for keep, kind in ((volume < 0, np.full(n, -1, np.int64)), (some >= 0, some)):
             on = np.flatnonzero(keep[row])
             out.append((_mix(key[on], 2 * (kind[row[on]] + 1) + about[row[on]]), b["sid"].to_numpy()[row[on]], *(m[on] for m in marks)))
-        return pd.DataFrame(dict(zip(("key", "sid", "one", "two", "text"), map(np.concatenate, zip(*out)))))
-
-    return rows.select("sid", *ATTRIBUTES).mapInPandas(hash_rows, "key bigint, sid bigint, one bigint, two bigint, text string")
+        out = dict(zip(("key", "sid", "one", "two"), map(np.concatenate, zip(*out))))
+        return pd.DataFrame(out | {"two": out["two"] | np.int64(-1 << 63)} if probe else out)
+
+    return rows.select("sid", *ATTRIBUTES).mapInPandas(hash_rows, "key bigint, sid bigint, one bigint, two bigint")
+
+
+def meetings(keys: DataFrame, parts: int) -> DataFrame:
+    """(b, m): rows of the two sides that meet in a bucket and may be alike. keys: those of both sides (_hashed)."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        if whole is None or not whole.num_rows:
+            return
+        key, sid, one, two = (whole.column(c).to_numpy() for c in ("key", "sid", "one", "two"))
+        probe = two < 0
+        b = np.flatnonzero(~probe)
+        b, m = b[np.argsort(key[b], kind="stable")], np.flatnonzero(probe)
+        b_key, b_one, b_two, b_sid = key[b], one[b], two[b], sid[b]
+        low = np.searchsorted(b_key, key[m], "left")
+        n = np.searchsorted(b_key, key[m], "right") - low
+        m, low, n = m[n > 0], low[n > 0], n[n > 0]
+        names, code = np.unique(sid, return_inverse=True)
+        b_code, met = code[b], []
+        ends, at = np.cumsum(n), 0
+        while at < len(m):  # so many bucket mates at once, or those of one row
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+            k = np.repeat(np.arange(at, to), n[at:to])
+            j = low[k] + np.arange(len(k)) - np.repeat(ends[at:to] - n[at:to] - (ends[at] - n[at]), n[at:to])
+            i = m[k]
+            ok = alike(one[i], two[i] & np.int64((1 << 63) - 1), b_one[j], b_two[j])
+            met.append(np.unique(b_code[j[ok]] * len(names) + code[i[ok]]))
+            at = to
+        if met:
+            x, y = divmod(np.unique(np.concatenate(met)), len(names))
+            yield pa.RecordBatch.from_pydict({"b": names[x], "m": names[y]})
+
+    return keys.repartition(parts, "key").mapInArrow(meet, "b bigint, m bigint").distinct()
 
 
 def counted(df: DataFrame) -> np.ndarray:
-    """How many rows hold a token, and how many a title, by buckets of their hash."""
+    """How many rows hold a token, how many a title, and how many all letters of one, by buckets of their hash."""
     bucket = lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(COUNT_BUCKETS)).cast("int")
     names = F.flatten(F.transform("authors", lambda a: F.slice(F.split(a, " "), 2, 1 << 20)))
     toks = F.array_distinct(F.transform(F.concat(F.split(F.array_join("words", " "), " "), names), bucket))
     whole = F.array_distinct(F.transform(F.array(F.get("words", F.lit(0)), F.array_join("words", " ")), lambda w: bucket(w) + COUNT_BUCKETS))
-    out = np.zeros((2, COUNT_BUCKETS), np.int64)
-    for r in df.select(F.explode(F.concat(toks, whole)).alias("k")).groupBy("k").count().collect():  # 2 * COUNT_BUCKETS rows at most
+    all_letters = F.array(bucket(F.array_join("parts", "")) + 2 * COUNT_BUCKETS)
+    out = np.zeros((3, COUNT_BUCKETS), np.int64)
+    for r in df.select(F.explode(F.concat(toks, whole, all_letters)).alias("k")).groupBy("k").count().collect():  # 3 * COUNT_BUCKETS rows at most
         out[divmod(r["k"], COUNT_BUCKETS)] = r["count"]
     return out
 
@@ -551,60 +674,83 @@ def cosines(m: Model, b: pd.DataFrame) -> np.ndarray:
     return np.where(np.diff(s1) * np.diff(s2) > 0, (title + NAMES_WEIGH**2 * names) / (1 + NAMES_WEIGH**2), title)
 
 
-def matches(books: DataFrame, metas: DataFrame, sample: int = SAMPLE, labelled: int = LABELLED) -> DataFrame:
+def matches(books: DataFrame, metas: DataFrame) -> DataFrame:
     """(book_id, meta_id, cosine, confidence) of every fetched record that describes a book.
 
     books: id, title, authors, series, series_index, publisher, pubdate. metas: the same with meta_id.
     """
     spark = books.sparkSession
     sides = []
+    told = lambda c: F.when(F.col(c) != "", F.xxhash64(c)).alias(c)
     for df, i, p in ((books, "id", "b"), (metas, "meta_id", "m")):
         read = written(features(df, i).withColumn("sid", F.xxhash64(*ATTRIBUTES)), f"{p}_read")
-        rows = written(read.groupBy("sid").agg(*(F.first(c).alias(c) for c in ATTRIBUTES)), f"{p}_rows")  # equal by sid
+        rows = read.groupBy("sid").agg(*(F.first(c).alias(c) for c in ATTRIBUTES), F.min(F.struct("id", told("publisher"), told("year"))).alias("x"))  # equal by sid
+        rows = written(rows.select("sid", *ATTRIBUTES, "x.publisher", "x.year"), f"{p}_rows")
         ids = written(read.select("id", F.col("sid").alias(p), "publisher", "year"), f"{p}_ids")
         discard(read)
         sides.append((rows, ids))
     (b_rows, b_ids), (m_rows, m_ids) = sides
 
-    counts, n_books = counted(b_rows) + counted(m_rows), b_rows.select(F.sum(F.greatest(F.size("authors"), F.lit(1)))).first()[0] or 0
-    drawn = [r for df in (b_rows, m_rows) for r in df.select("words", "authors", "series").orderBy(F.xxhash64("sid", F.lit(3))).limit(sample).collect()]
-    drawn = [(" ".join(r["words"]).split(), list(r["authors"]), r["series"]) for r in drawn]
-    model = Model(trained(drawn), *counts, n_books + m_rows.count()).centred([w for w, _, _ in drawn], [name_tokens(a) for _, names, _ in drawn for a in names])
-    model = spark.sparkContext.broadcast(model)  # of a fixed size
+    (counts, titles, letters_of), n_books, n_metas = counted(b_rows.unionByName(m_rows)), b_rows.select(F.sum(F.greatest(F.size("authors"), F.lit(1)))).first()[0] or 0, m_rows.count()
+    model = Model(np.zeros((GRAM_BUCKETS, DIMS), np.float32), counts, titles, n_books + n_metas)
+    blank = spark.sparkContext.broadcast(model)  # of a fixed size
+    seen, share = walked(b_rows.unionByName(m_rows), blank)
+    model = spark.sparkContext.broadcast(model.learned(trained(seen), share))
+    hot = np.flatnonzero(letters_of > max(HOT_LEAST, model.value.rows / HOT_SHARE)).tolist()  # HOT_SHARE * 2 at most
+
+    def paired(pairs: DataFrame) -> DataFrame:
+        """Pairs of rows compared. pairs: the columns of both sides."""
+        same = [F.coalesce((F.col(f"m_{c}") == F.col(f"b_{c}")).cast("int"), F.lit(-1)).alias(f"{c}_same") for c in ("publisher", "year")]
+        pairs = pairs.select("b", "m", *(f"{p}_{c}" for p in "bm" for c in ATTRIBUTES), *same)
+
+        def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            m = model.value
+            for b in batches:
+                if len(b):
+                    told = pd.DataFrame([compared(r) for r in b.itertuples(index=False)], columns=["title_level", "author_level", "agree"], index=b.index)
+                    told.insert(0, "cosine", cosines(m, b).astype(np.float64))
+                    yield pd.concat([b[["b", "m"]], told, b["m_authors"].map(len).eq(0).rename("lone"), b["b_authors"].map("|".join).rename("work"), b[["publisher_same", "year_same"]]], axis=1)
+
+        return pairs.mapInPandas(compare, "b bigint, m bigint, cosine double, title_level int, author_level double, agree int, lone boolean, work string, publisher_same int, year_same int")
+
+    side = lambda df, p: df.select(F.col("sid").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in (*ATTRIBUTES, "publisher", "year")))
+    b_side, m_side = side(b_rows, "b"), side(m_rows, "m")
+    all_of = lambda p: F.array_join(f"{p}_parts", "")
+
+    # records with all letters of a book's title: they need no vectors to meet it
+    common = ~F.pmod(F.crc32(all_of("m").cast("binary")), F.lit(COUNT_BUCKETS)).isin(hot) if hot else F.lit(True)
+    volumes = F.when((F.col("m_volume") >= 0) | (F.col("b_volume") >= 0), _volume("m") == _volume("b")).otherwise(F.lit(True))
+    keyed = lambda df, p: df.withColumn("letters", F.xxhash64(all_of(p), f"{p}_about"))
+    equal = keyed(m_side, "m").where(common).join(keyed(b_side, "b").hint("merge"), "letters").where((all_of("m") == all_of("b")) & volumes)
+    exact = written(paired(equal), "exact")
+    # no other book can rank above the best of those, and all that rank as high have the same letters: such records need not be looked up further
+    most = (_volume("m") >= 0).cast("int") + (F.col("m_series") != "").cast("int")
+    best = exact.where((F.col("title_level") == 4) & (F.col("author_level") == 1)).groupBy("m").agg(F.max("agree").alias("agree"))
+    settled = written(best.join(m_side.select("m", most.alias("most")).hint("merge"), "m").where("agree = most").select("m"), "settled")
 
     planes = max(4, math.ceil(math.log2(max(2, n_books / BUCKET))))
     tables = tables_for(planes)
-    keys = lambda rows, p: _hashed(rows, model, planes, tables, probe=p == "m").select("key", F.col("sid").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("one", "two", "text")))
-    b_keys, m_keys = keys(b_rows, "b"), keys(m_rows, "m")
-    half = lambda x: F.col(x).bitwiseAND(F.lit(_HALF))
-    apart = F.bit_count(half("b_one").bitwiseXOR(half("m_one"))) + F.bit_count(F.col("b_two").bitwiseXOR(F.col("m_two")))
-    allowed = F.least(*(F.shiftright(f"{p}_one", 61).bitwiseAND(F.lit(3)) for p in "bm"))
-    beyond = lambda x, y: F.bit_count(half(f"{x}_one").bitwiseAND(F.bitwise_not(f"{y}_one"))) + F.bit_count(F.col(f"{x}_two").bitwiseAND(F.bitwise_not(f"{y}_two")))
-    begins = lambda x, y: (F.col(f"{x}_one") < 0) & (beyond(x, y) <= NEAR_BEGINNING) & (F.levenshtein(f"{x}_text", F.substr(f"{y}_text", F.lit(1), F.length(f"{x}_text")), 4) >= 0)
-    # a swap counts as two edits here
-    near = ((apart <= allowed * EDIT_BITS) & F.levenshtein("m_text", "b_text", EDITED).between(0, 2 * allowed)) | begins("m", "b") | begins("b", "m")
-    met = written(m_keys.join(b_keys.hint("shuffle_hash"), "key").where(near).select("b", "m").distinct(), "met")
-    del b_keys, m_keys
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # else the shuffled buckets stay on the disks
-
-    side = lambda df, p: df.select(F.col("sid").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ATTRIBUTES))
-    pairs = met.join(side(m_rows, "m").hint("merge"), "m").join(side(b_rows, "b").hint("merge"), "b")
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = model.value
-        for b in batches:
-            if len(b):
-                told = pd.DataFrame([compared(r) for r in b.itertuples(index=False)], columns=["title_level", "author_level", "agree"], index=b.index)
-                told.insert(0, "cosine", cosines(m, b).astype(np.float64))
-                yield pd.concat([b[["b", "m"]], told, b["m_authors"].map(len).eq(0).rename("lone"), b["b_authors"].map("|".join).rename("work")], axis=1)
 
-    scored = written(pairs.mapInPandas(compare, "b bigint, m bigint, cosine double, title_level int, author_level double, agree int, lone boolean, work string"), "scored")
-    discard(met)
+    def searched(rows: DataFrame) -> DataFrame:
+        """Pairs of rows that meet in a bucket, compared, but for those of equal letters."""
+        keys = _hashed(b_rows, model, planes, tables, False).unionByName(_hashed(rows, model, planes, tables, True))
+        met = written(meetings(keys, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((16 * n_books + 60 * n_metas) / GROUP_ROWS))), "met")
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # else the shuffled buckets stay on the disks
+        pairs = met.join(m_side.hint("merge"), "m").join(b_side.hint("merge"), "b").where(_near() & ~((all_of("m") == all_of("b")) & common))
+        out = written(paired(pairs), "scored")
+        discard(met)
+        return out
+
+    scored = exact.unionByName(searched(m_rows.join(settled.select(F.col("m").alias("sid")).hint("merge"), "sid", "left_anti")))
+    weights = _curve(scored, b_ids, m_ids)
     signs = evidence(F.col("cosine"), F.col("title_level"), F.col("author_level"), F.col("agree"), lambda ok: ok.cast("double"))
-    weights = _curve(scored, b_ids, m_ids, labelled)
     confidence = 1 / (1 + F.exp(-sum((F.lit(float(w)) * x for w, x in zip(weights[1:], signs)), F.lit(float(weights[0])))))
-    good = scored.where((F.col("title_level") > 0) & (F.col("author_level") > 0) & (F.col("agree") >= 0)).withColumn("confidence", confidence).where(F.col("confidence") >= SURE)
+    allowed = lambda df: df.where((F.col("title_level") > 0) & (F.col("author_level") > 0) & (F.col("agree") >= 0)).withColumn("confidence", confidence).where(F.col("confidence") >= SURE)
+    good = allowed(scored)
+    unsure = settled.join(good.select("m").hint("merge"), "m", "left_anti")
+    if not unsure.isEmpty():  # their best pairs do not count after all
+        good = allowed(scored.unionByName(searched(m_rows.join(unsure.select(F.col("m").alias("sid")).hint("merge"), "sid", "left_semi"))))
     # without authors only a title that no other work has
     works = good.where("lone").groupBy("m").agg(F.count_distinct("work").alias("works")).where("works > 1")
     good = good.join(works.select("m").hint("merge"), "m", "left_anti")
@@ -630,25 +776,38 @@ def evidence(cosine, title, author, agree, flag) -> list:
     return [cosine, flag(title > 0), flag(author > 0), title / 5.0, author * 1.0, agree * 1.0]
 
 
-def _curve(scored: DataFrame, b_ids: DataFrame, m_ids: DataFrame, labelled: int) -> np.ndarray:
-    """Weights of the confidence, from the publishers and years of at most that many pairs of one volume."""
-    cols = ["cosine", "title_level", "author_level", "agree"]
-    here = scored.sparkSession.createDataFrame([tuple(r) for r in scored.where("agree >= 0").orderBy(F.xxhash64("b", "m")).limit(labelled).select("b", "m", *cols).collect()], "b bigint, m bigint, cosine double, title_level int, author_level double, agree int")
-    for ids, p in ((b_ids, "b"), (m_ids, "m")):  # broadcast is a side of the pairs drawn, of at most that many rows
-        told = ids.join(F.broadcast(here.select(p).distinct()), p).groupBy(p).agg(F.min(F.struct("id", "publisher", "year")).alias(p + "_x"))
-        here = here.join(told, p)
-    rows = here.orderBy("b", "m").collect()
-    if not rows:
+def _volume(p: str) -> Column:
+    """A row's volume: that of its title, else its number in the series; -1 if it has neither."""
+    return F.when(F.col(f"{p}_volume") >= 0, F.col(f"{p}_volume")).otherwise(F.col(f"{p}_series_no"))
+
+
+def _near() -> Column:
+    """Whether the comparison may allow the titles of a pair; a swap counts as two edits here."""
+    m, b = ((F.array_join(f"{p}_parts", ""), F.get(f"{p}_parts", F.lit(0))) for p in "mb")
+    n = lambda x, y: F.least(F.length(x), F.length(y))
+    edited = lambda x, y: F.when(n(x, y) < 5, x == y).when(n(x, y) < 9, F.levenshtein(x, y, 2) >= 0).when(n(x, y) < 16, F.levenshtein(x, y, 4) >= 0).otherwise(F.levenshtein(x, y, 6) >= 0)
+    begins = lambda p, x, y: F.col(f"{p}_cut") & (F.levenshtein(x, F.substr(y, F.lit(1), F.length(x)), 4) >= 0)
+    second = F.get("m_parts", F.lit(1))
+    return edited(m[0], b[0]) | edited(m[1], b[1]) | F.coalesce(edited(second, b[1]), F.lit(False)) | begins("m", m[0], b[0]) | begins("b", b[0], m[0])
+
+
+def _curve(scored: DataFrame, b_ids: DataFrame, m_ids: DataFrame) -> np.ndarray:
+    """Weights of the confidence, from the publishers and years of all pairs of one volume.
+
+    Pairs of equal evidence are counted together, the cosine to hundredths, so that what the driver gets has a bound.
+    """
+    on = [F.round("cosine", 2).alias("cosine"), F.round("author_level", 2).alias("author_level"), "title_level", "agree", "publisher_same", "year_same"]
+    cells = scored.where("agree >= 0").groupBy(*on).agg(F.count("*").alias("n")).toPandas().sort_values(["cosine", "author_level", "title_level", "agree", "publisher_same", "year_same"])
+    if not len(cells):
         return np.array(BELIEVED)
-    rng, agree, chance = np.random.default_rng(13), [], []
-    drawn = [(i, j) for i, j in rng.integers(0, len(rows), (4 * len(rows), 2)) if rows[i]["m"] != rows[j]["m"] and rows[i]["b"] != rows[j]["b"]]
-    for c in ("publisher", "year"):
-        equal = lambda i, j, c=c: float("nan") if not rows[i]["b_x"][c] or not rows[j]["m_x"][c] else float(rows[i]["b_x"][c] == rows[j]["m_x"][c])
-        agree.append([equal(i, i) for i in range(len(rows))])
-        by_chance = [x for x in (equal(i, j) for i, j in drawn) if x == x]
-        chance.append(sum(by_chance) / len(by_chance) if by_chance else 0.0)
-    x = np.stack(evidence(*(np.array([r[c] for r in rows], float) for c in cols), lambda ok: ok.astype(float)), axis=1)
-    return calibrated(x, np.array(agree).T, chance)
+    # how often a book and a record drawn together agree: exactly, from how often each publisher and year occurs
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in enumerate(("publisher", "year")))))
+    often = [ids.select(kinds.alias("x")).select("x.*").where("value <> ''").groupBy("kind", "value").agg(F.count("*").cast("double").alias(p)) for ids, p in ((b_ids, "nb"), (m_ids, "nm"))]
+    both = often[0].join(often[1].hint("merge"), ["kind", "value"], "full").groupBy("kind").agg((F.sum(F.col("nb") * F.col("nm")) / (F.sum("nb") * F.sum("nm"))).alias("rate"))
+    rates = {r["kind"]: r["rate"] or 0.0 for r in both.collect()}
+    x = np.stack(evidence(*(cells[c].to_numpy(float) for c in ("cosine", "title_level", "author_level", "agree")), lambda ok: ok.astype(float)), axis=1)
+    agree = cells[["publisher_same", "year_same"]].to_numpy(float)
+    return calibrated(x, np.where(agree < 0, np.nan, agree), [rates.get(0, 0.0), rates.get(1, 0.0)], times=cells["n"].to_numpy(float))
 
 
 def compared(r) -> tuple[int, float, int]:
@@ -688,31 +847,33 @@ def compared(r) -> tuple[int, float, int]:
     return level, authors, agree
 
 
-def calibrated(x: np.ndarray, agree: np.ndarray, chance: list[float], rounds: int = 30, pull: float = 1.0) -> np.ndarray:
+def calibrated(x: np.ndarray, agree: np.ndarray, chance: list[float], rounds: int = 30, pull: float = 1.0, times: np.ndarray | None = None) -> np.ndarray:
     """Weights of the logistic curve from evidence to the probability of a match, by expectation and maximisation.
 
     x: evidence, the cosine first. agree: per pair and attribute 1, 0 or nan. A match agrees
     at the rate of the pairs of highest cosine, another pair at the rate of chance. pull: how
-    strongly the weights are held at BELIEVED.
+    strongly the weights are held at BELIEVED. times: how many pairs each row stands for.
     """
     believed = np.array(BELIEVED)
     x = np.concatenate((np.ones((len(x), 1)), x), axis=1)
-    top = x[:, 1] >= np.quantile(x[:, 1], 0.8)
+    times = np.ones(len(x)) if times is None else times
+    order = np.argsort(x[:, 1])
+    top = x[:, 1] >= x[order[np.searchsorted(np.cumsum(times[order]), 0.8 * times.sum())], 1]
     ratio = np.zeros(len(x))
     for k, rate in enumerate(chance):
         known = np.isfinite(agree[:, k])
-        hit, miss = float(np.clip(agree[known & top, k].mean(), 0.02, 0.98)) if (known & top).any() else 0.0, min(max(rate, 0.002), 0.9)
+        hit, miss = float(np.clip(np.average(agree[known & top, k], weights=times[known & top]), 0.02, 0.98)) if (known & top).any() else 0.0, min(max(rate, 0.002), 0.9)
         if hit > miss:
             ratio += np.where(known, np.where(agree[:, k] == 1, math.log(hit / miss), math.log((1 - hit) / (1 - miss))), 0)
     told = np.isfinite(agree).any(axis=1)
-    x, ratio, w = x[told], ratio[told], believed
+    x, ratio, times, w = x[told], ratio[told], times[told], believed
     for _ in range(rounds):
         label = 1 / (1 + np.exp(-np.clip(x @ w + ratio, -30, 30)))
         was = w
         for _ in range(5):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            grad = x.T @ (label - p) - pull * (w - believed)
-            w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pull * np.eye(len(w)), grad)
+            grad = x.T @ (times * (label - p)) - pull * (w - believed)
+            w = w + np.linalg.solve((x * (times * p * (1 - p))[:, None]).T @ x + pull * np.eye(len(w)), grad)
         if np.abs(w - was).max() < 1e-4:
             break
     return w

@@ -136,3 +136,51 @@ def test_assigned_against_all_orders():
         x, y = tuple(rnd.choices(names, k=rnd.randint(0, 4))), tuple(rnd.choices(names, k=rnd.randint(0, 5)))
         assert pe.assigned(x, y) == brute(x, y)
     assert pe.assigned(("anna",) * 200, ("anna",) * 200 + ("b",)) == 0
+
+
+def test_training_and_calibration_use_every_row(spark):
+    from pyspark.sql import functions as F
+
+    n = 12_000  # more than any sample there was
+    rows = spark.range(n).select(F.array(F.concat(F.lit("tale "), F.col("id").cast("string"))).alias("words"), F.array(F.lit("p1 brekilun ada")).alias("authors"), F.lit("").alias("series"))
+    model = spark.sparkContext.broadcast(ma.Model(np.zeros((ma.GRAM_BUCKETS, ma.DIMS), np.float32), *np.zeros((2, ma.COUNT_BUCKETS), np.int64), n))
+    seen, share = ma.walked(rows, model)
+    pairs = 2 * (2 * ma.STEPS - 3)  # ordered pairs within two steps of a walk
+    assert abs(seen.sum() - n * pairs) < 0.001 * n * pairs and share.shape == (2, ma.GRAM_BUCKETS) and (share.sum(axis=1) > 0).all()
+    # pairs beyond the 5,000 first decide as well: a rare kind of evidence whose publishers agree
+    ids = spark.range(n).select("id", F.col("id").alias("b"), F.concat(F.lit("p"), F.col("id") % 100).alias("publisher"), F.lit("").alias("year"))
+    kinds = spark.range(n).select(F.lit(0.9).alias("cosine"), F.lit(3).alias("title_level"), F.lit(1.0).alias("author_level"), F.lit(0).alias("agree"), (F.col("id") % 3 > 0).cast("int").alias("publisher_same"), F.lit(-1).alias("year_same"))
+    told = np.concatenate([[0.9, 1, 1, 0.6, 1, 0]] * n).reshape(n, 6)
+    expected = ma.calibrated(told, np.stack([np.arange(n) % 3 > 0, np.full(n, np.nan)], axis=1).astype(float), [0.01, 0.0])
+    assert np.allclose(ma._curve(kinds, ids, ids.withColumnRenamed("b", "m")), expected, atol=1e-3)
+
+
+def test_what_the_filter_leaves_out_is_not_near():
+    import random
+
+    r = random.Random(3)
+
+    def edited(s, k):
+        s = list(s)
+        for _ in range(k):
+            i, o = r.randrange(len(s) - 1), r.random()
+            s[i : i + 2] = [s[i + 1], s[i]] if o < 0.3 else [r.choice("abcde"), s[i + 1]] if o < 0.6 else [s[i + 1]] if o < 0.8 and len(s) > 3 else [s[i], "x", s[i + 1]]
+        return "".join(s)
+
+    texts = ["".join(r.choices("abcdefghijklmnop", k=r.randint(3, 40))) for _ in range(20_000)]
+    cut = np.array([r.random() < 0.3 and len(x) >= 8 for x in texts])
+    others = [edited(x, r.randint(0, 4)) if not c else edited(x, r.randint(0, 2)) + "".join(r.choices("abcde", k=r.randint(0, 9))) for x, c in zip(texts, cut)]
+    near = np.array([ma.within(x, y, ma.edits(min(len(x), len(y)))) or bool(c) and ma.within(x, y[: len(x)], 2) for x, y, c in zip(texts, others, cut)])
+    assert near.sum() > 5000 and ma.alike(*ma.halves(texts, cut), *ma.halves(others, np.zeros(len(others), bool)))[near].all()
+    assert ma.alike(*ma.halves(texts[1:], cut[1:]), *ma.halves(texts[:-1], cut[:-1]))[~cut[1:] & ~cut[:-1]].mean() < 0.05
+
+
+def test_settled_records_get_what_a_full_search_gives(spark):
+    words = ["Harbor", "Thimble", "Diplomat", "Navigator", "Maple", "Zikova"]
+    titles = [f"{a} and {b}" for a in words for b in words]
+    books = [(2 * i + k, t, [f"Ada {t.split()[0]}lun"], None, None, p, y) for i, t in enumerate(titles) for k, (p, y) in enumerate((("Old Press", "1990"), ("New Press", "2001")))]
+    metas = [(i, t, [f"A. {t.split()[0]}lun"] if i % 2 else [f"Ada {t.split()[0]}lun"], None, None, "New Press", "2001") for i, t in enumerate(titles)]
+    metas += [(100 + i, t[:-1] + "x", [f"Ada {t.split()[0]}lun"], None, None, "Old Press", "1990") for i, t in enumerate(titles)]
+    schema = "{} long, title string, authors array<string>, series string, series_index double, publisher string, pubdate string"
+    found = ma.matches(spark.createDataFrame(books, schema.format("id")), spark.createDataFrame(metas, schema.format("meta_id")))
+    assert {(r["book_id"], r["meta_id"]) for r in found.collect()} == {(2 * i + 1, i) for i in range(len(titles))} | {(2 * i, 100 + i) for i in range(len(titles))}
