@@ -69,7 +69,7 @@ BUCKET = 32
 NAMES_WEIGH = 0.7
 HOT_SHARE, HOT_LEAST, HOT_PLANES = 1024, 1000, 8
 EDIT_BITS, NEAR_BEGINNING = 6, 6
-GROUP_ROWS, AT_ONCE = 1_000_000, 2_000_000
+GROUP_ROWS, AT_ONCE = 1_000_000, 100_000
 SURE = 0.5
 # weights of the curve before any label: 1, cosine, title allowed, author allowed, title level, share of authors, agreement
 BELIEVED = (-9.0, 4.0, 4.0, 5.0, 0.0, 0.0, 0.0)
@@ -89,6 +89,8 @@ _VOLUME = re.compile(rf"[\s,:;\-–(\[]*(?:(?<![a-z0-9])(?:(?:{VOLUME_WORDS})[\s
 _VOLUME_HINT = re.compile(rf"\d|\b(?:{VOLUME_WORDS})\b")
 _BARE_ENDS = frozenset("0123456789ivxl)]")
 _ABOUT_HINT = re.compile(r"guide|summary|analysis|companion|introduction|notes|making|story|history behind|essays|workbook|review|conversation|study|text|questions|commentary")
+_BLANKS, _ARTICLE, _ARTICLE_LAST = re.compile(r"\s+"), re.compile(r"^(?:the|an?)\s+"), re.compile(r",\s*(?:the|an?)$")
+_PARTS = re.compile(r"\s*:\s+|\s+/\s+|\s+[-–]\s+|\s*;\s+|(?<=\w{3})\.\s+|\s+\((?=[^)]*\)$)")
 _BARE = re.compile(rf"[\s,(\[]+(0*\d{{1,3}}|{ROMAN})[)\]]?$")
 
 
@@ -103,12 +105,13 @@ def number(s: str) -> int:
 
 def title_read(title: str | None, series: str | None = None) -> tuple[list[str], list[str], int, bool, bool]:
     """(keys of the parts, words of the parts, volume or -1, cut short, about another book)."""
-    s = re.sub(r"\s{2,}(?=\S)", " : ", letters(plain(title or "")).strip())
-    s = re.sub(r"\s+", " ", s).strip()
+    s = letters(plain(title or "")).strip()
+    if "  " in s or not s.isprintable():  # no other blank is printable
+        s = _BLANKS.sub(" ", re.sub(r"\s{2,}(?=\S)", " : ", s)).strip()
     if not s:
         return [], [], -1, False, False
     about = _ABOUT_HINT.search(s) is not None and _ABOUT.search(s.replace("'", " ")) is not None
-    s = _EDITION.sub("", s).strip() if re.search(r"[(\[]|\s[-–]\s|edition$", s) else s
+    s = _EDITION.sub("", s).strip() if "(" in s or "[" in s or "-" in s or "–" in s or s.endswith("edition") else s
     cut = s.endswith(("…", "..."))
     s = s.rstrip("…. ")
     volume = -1
@@ -117,15 +120,18 @@ def title_read(title: str | None, series: str | None = None) -> tuple[list[str],
     elif s[-1:] in _BARE_ENDS and (m := _BARE.search(s)) and m.start() > 3:
         volume, s = number(m[1]), s[: m.start()]
     parts = []
-    for p in re.split(r"\s*:\s+|\s+/\s+|\s+[-–]\s+|\s*;\s+|(?<=\w{3})\.\s+|\s+\((?=[^)]*\)$)", s):
-        p = re.sub(r",\s*(?:the|an?)$", "", p.strip(" ,.:-()"))
-        k = re.sub(r"[^a-z0-9]", "", re.sub(r"^(?:the|an?)\s+", "", p).replace("&", " and ")) if p.isascii() else re.sub(r"[\W_]", "", re.sub(r"^(?:the|an?)\s+", "", p))
+    for p in [s] if s.replace(" ", "").isalnum() else _PARTS.split(s):
+        p = p.strip(" ,.:-()")
+        p = _ARTICLE_LAST.sub("", p) if "," in p else p
+        bare = _ARTICLE.sub("", p) if p.startswith(("the", "a")) else p
+        joined, simple = bare.replace(" ", ""), p.replace(" ", "").isalnum()
+        k = joined if simple else re.sub(r"[^a-z0-9]", "", joined.replace("&", "and")) if p.isascii() else re.sub(r"[\W_]", "", joined)
         if k:
-            parts.append((k, p))
-    own = re.sub(r"[\W_]", "", re.sub(r"^(?:the|an?)\s+", "", letters(plain(series or "").replace("&", " and "))))
+            parts.append((k, p if simple else re.sub(r"[^\w]+", " ", p)))
+    own = re.sub(r"[\W_]", "", _ARTICLE.sub("", letters(plain(series.replace("&", " and "))))) if series and len(parts) > 1 else ""
     if len(parts) > 1 and own and within(parts[0][0], own, 2):  # the series put before the title
         parts = parts[1:]
-    return [k for k, _ in parts], [re.sub(r"[^\w]+", " ", p) for _, p in parts], volume, cut, about
+    return [k for k, _ in parts], [p for _, p in parts], volume, cut, about
 
 
 def title_parts(title: str | None, series: str | None = None) -> tuple[list[str], int, bool, bool]:
@@ -199,10 +205,13 @@ def same_author(a: str, b: str) -> bool:
         return True
     if ka[0] == "b" and len(x) != len(y):
         return False
-    meet = {(t, u): t == u or slip(t, u) or fits(t, u) or fits(u, t) for t in set(x) for u in set(y)}
-    allowed = [[j for j, u in enumerate(y) if meet[t, u]] for t in x]
-    if not all(allowed):
-        return False
+    meet: dict[str, list[int]] = {}
+    for t in x:
+        if t not in meet:
+            meet[t] = [j for j, u in enumerate(y) if t == u or slip(t, u) or fits(t, u) or fits(u, t)]
+            if not meet[t]:
+                return False
+    allowed = [meet[t] for t in x]
     if ka[0] == "b":
         return all_placed(allowed)
     if len(x) == 1:  # what else the longer name has are initials
@@ -237,19 +246,25 @@ class Model:
         """Whether so many records have the title that its bucket is divided by their authors."""
         return self.titles[zlib.crc32(title.encode()) % COUNT_BUCKETS] > max(HOT_LEAST, self.rows / HOT_SHARE)
 
-    def _place(self, token: str) -> int:
-        n = self.at[token] = len(self.at)
-        if n >= len(self.table):
-            self.table, self.rarity = np.concatenate((self.table, np.zeros_like(self.table))), np.concatenate((self.rarity, np.zeros_like(self.rarity)))
-        self.table[n] = _unit(self.grams[grams_of(token)].sum(axis=0)[None])[0]
-        self.rarity[n] = self.rare(token)
-        return n
+    def _place(self, tokens: list[str]) -> None:
+        """Vectors of tokens that have no place yet."""
+        for start in range(0, len(tokens), 2000):
+            some = tokens[start : start + 2000]
+            first, lists = len(self.at), [grams_of(w) for w in some]
+            n = np.fromiter(map(len, lists), np.int64, len(lists))
+            while first + len(some) > len(self.table):
+                self.table, self.rarity = np.concatenate((self.table, np.zeros_like(self.table))), np.concatenate((self.rarity, np.zeros_like(self.rarity)))
+            self.table[first : first + len(some)] = _unit(np.add.reduceat(self.grams[np.concatenate(lists)], np.cumsum(n) - n))
+            self.rarity[first : first + len(some)] = [self.rare(w) for w in some]
+            self.at.update(zip(some, range(first, first + len(some))))
 
     def _sums(self, lists: list[list[str]], names: int) -> np.ndarray:
         if len(self.at) > 300_000:
             self.clear()
-        at, place = self.at, self._place
-        flat = np.array([at[w] if w in at else place(w) for ws in lists for w in ws], dtype=np.int64)
+        at = self.at
+        if new := {w: None for ws in lists for w in ws if w not in at}:
+            self._place(list(new))
+        flat = np.array([at[w] for ws in lists for w in ws], dtype=np.int64)
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         out = np.zeros((len(lists), DIMS), np.float32)
         if len(flat):
@@ -274,11 +289,20 @@ def name_tokens(author: str) -> list[str]:
     return [t for t in toks if len(t) > 1] or toks
 
 
+_GRAM: dict[str, int] = {}
+
+
 def grams_of(token: str) -> list[int]:
     """Buckets of a token's letters and of its pairs of letters at most one apart, in either order."""
-    s = f"<{token}>"
-    pairs = [a + b if a < b else b + a for d in (1, 2) for a, b in zip(s, s[d:])]
-    return [zlib.crc32(g.encode()) % GRAM_BUCKETS for g in (*pairs, *token)]
+    s, out = f"<{token}>", []
+    for g in (*map("".join, zip(s, s[1:])), *map("".join, zip(s, s[2:])), *token):
+        bucket = _GRAM.get(g)
+        if bucket is None:
+            if len(_GRAM) > 300_000:
+                _GRAM.clear()
+            bucket = _GRAM[g] = zlib.crc32("".join(sorted(g)).encode()) % GRAM_BUCKETS
+        out.append(bucket)
+    return out
 
 
 class Walks:
@@ -332,13 +356,12 @@ class Walks:
             w = flat[start[attribute] + (b * sizes[attribute]).astype(np.int64)]
             line.append(w)
             now = owner[by_word[held_at[w] + (c * held[w]).astype(np.int64)]]
-        for i, x in enumerate(line):
-            for y in line[max(0, i - 2) : i] + line[i + 1 : i + 3]:
-                pair, times = np.unique(x * CONTEXTS + context[y], return_counts=True)
-                x_of, y_of = divmod(pair, CONTEXTS)
-                n = n_grams[x_of]
-                cell = gram[np.repeat(gram_at[x_of] - np.cumsum(n) + n, n) + np.arange(n.sum())] * CONTEXTS + np.repeat(y_of, n)
-                self.seen += np.bincount(cell, np.repeat(times / n, n), GRAM_BUCKETS * CONTEXTS)
+        pairs = [x * CONTEXTS + context[y] for i, x in enumerate(line) for y in line[max(0, i - 2) : i] + line[i + 1 : i + 3]]
+        pair, times = np.unique(np.concatenate(pairs), return_counts=True)
+        x_of, y_of = divmod(pair, CONTEXTS)
+        n = n_grams[x_of]
+        cell = gram[np.repeat(gram_at[x_of] - np.cumsum(n) + n, n) + np.arange(n.sum())] * CONTEXTS + np.repeat(y_of, n)
+        self.seen += np.bincount(cell, np.repeat(times / n, n), GRAM_BUCKETS * CONTEXTS)
 
 
 def walked(rows: DataFrame, model) -> tuple[np.ndarray, np.ndarray]:
@@ -402,7 +425,7 @@ def features(df: DataFrame, id_col: str) -> DataFrame:
                         keys[a] = author_key(a)
                     if keys[a] and keys[a] not in named:
                         named.append(keys[a])
-                own = re.sub(r"\W+", " ", re.sub(r"^(?:the|an?)\s+", "", letters(plain(series or ""))))
+                own = re.sub(r"\W+", " ", _ARTICLE.sub("", letters(plain(series)))) if series else ""
                 index = int(index) if index is not None and index == index and 0 < index < 1 << 31 and index == int(index) else -1
                 out.append((i, publisher, year, parts, words, volume, index, cut, about, sorted(named), own.strip()))
             yield pd.DataFrame(out, columns=["id", "publisher", "year", *ATTRIBUTES])
@@ -419,27 +442,7 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return (x > 0).astype(np.int64) @ (np.int64(1) << np.arange(x.shape[-1], dtype=np.int64))
 
 
-_PAIR_BIT: dict[str, int] = {}
-_HALF, _REST, _ODD = (1 << 61) - 1, (1 << 26) - 1, (1 << 32) - 1
-
-
-def bigrams(part: str) -> int:
-    """A set of letter pairs in 87 bits, of which each edit changes four at most (a swap six)."""
-    out = 0
-    for a, b in zip(part, part[1:]):
-        bit = _PAIR_BIT.get(a + b)
-        if bit is None:
-            bit = _PAIR_BIT[a + b] = 1 << (((ord(a) * 0x9E3779B1 ^ ord(b) * 0x85EBCA6B) * 0xC2B2AE35 & 0xFFFFFFFF) >> 8) % 87
-        out |= bit
-    return out
-
-
-def odd_letters(part: str) -> int:
-    """Letters that a text has an odd number of times in 32 bits, of which each edit changes two at most (a swap none)."""
-    out = 0
-    for c in part:
-        out ^= 1 << (ord(c) & 31)
-    return out
+_HALF, _REST, _ODD = (1 << 61) - 1, (1 << 26) - 1, (1 << 32) - 1 << 26
 
 
 def edits(n: int) -> int:
@@ -448,28 +451,47 @@ def edits(n: int) -> int:
 
 
 def halves(texts: list[str], cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What says whether texts may be near, in two numbers: letter pairs with the edits allowed above them, negative if the text is cut short; the other pairs, odd letters, the last five bits of the length."""
-    sets = list(map(bigrams, texts))
-    one = np.array([x & _HALF | edits(len(t)) << 61 for x, t in zip(sets, texts)], np.int64)
-    return np.where(cut, one | np.int64(-1 << 63), one), np.array([x >> 61 | odd_letters(t) << 26 | (len(t) & 31) << 58 for x, t in zip(sets, texts)], np.int64)
-
+    """What says whether texts (none is empty) may be near, in two numbers.
 
-def alike(one: np.ndarray, two: np.ndarray, one_b: np.ndarray, two_b: np.ndarray) -> np.ndarray:
-    """Whether texts may be as near as the comparison asks, by their halves; those it says no to are not.
+    Of letter pairs 61 bits, the edits allowed above them, negative if the text is cut short; of letter pairs
+    26 bits, of letters that stand there an odd number of times 32, of the length five.
+    """
+    n = np.fromiter(map(len, texts), np.int64, len(texts))
+    if not len(n):
+        return n, n
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    ends = np.cumsum(n)
+    bit = ((code * 0x9E3779B1 ^ np.append(code[1:], 0) * 0x85EBCA6B) * 0xC2B2AE35 >> 8 & 0xFFFFFF) % 87
+    low, high = (np.where(on, np.int64(1) << np.where(on, at, 0), 0) for on, at in ((bit < 61, bit), (bit >= 61, bit - 61)))
+    low[ends - 1] = high[ends - 1] = 0  # the last letter of a text begins no pair
+    low, high = (np.bitwise_or.reduceat(x, ends - n) for x in (low, high))
+    odd = np.bitwise_xor.reduceat(np.int64(1) << (code & 31), ends - n)
+    one = low | (np.searchsorted((5, 9, 16), n, "right") << 61)
+    return np.where(cut, one | np.int64(-1 << 63), one), high | odd << 26 | (n & 31) << 58
+
+
+def alike(one: np.ndarray, two: np.ndarray, one_b: np.ndarray, two_b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs (i, j) of texts may be as near as the comparison asks, by their halves; the others are not.
 
     An edit changes two odd letters and four pairs at most, or it is a swap: no letter and six pairs. A text within
     two edits of a beginning has NEAR_BEGINNING pairs at most that the other lacks.
     """
-    allowed = np.minimum(one >> 61 & 3, one_b >> 61 & 3)
-    longer = ((two >> 58) - (two_b >> 58) + allowed) & 31
-    odd = (np.bitwise_count((two ^ two_b) >> 26 & _ODD) + 1) >> 1
-    ok = (longer <= 2 * allowed) & (odd <= allowed)
+    two_i, two_j = two[i], two_b[j]
+    odd = (np.bitwise_count((two_i ^ two_j) & _ODD) + 1) >> 1
+    longer = ((two_i >> 58) - (two_j >> 58)) & 31
+    ok = (odd <= 3) & ((longer <= 3) | (longer >= 29))
     on = np.flatnonzero(ok)
-    pairs = np.bitwise_count((one[on] ^ one_b[on]) & _HALF).astype(np.int64) + np.bitwise_count((two[on] ^ two_b[on]) & _REST) + 2 * odd[on]
-    ok[on] = pairs <= allowed[on] * EDIT_BITS
-    for is_cut, x, y, z, w in ((one < 0, one, one_b, two, two_b), (one_b < 0, one_b, one, two_b, two)):
-        on = np.flatnonzero(is_cut & ~ok)
-        ok[on] = np.bitwise_count(x[on] & ~y[on] & _HALF) + np.bitwise_count(z[on] & ~w[on] & _REST) <= NEAR_BEGINNING
+    x, y, rest, odd = one[i[on]], one_b[j[on]], (two_i[on] ^ two_j[on]) & _REST, odd[on]
+    allowed, longer = np.minimum(x >> 61 & 3, y >> 61 & 3), longer[on]
+    pairs = np.bitwise_count((x ^ y) & _HALF).astype(np.int64) + np.bitwise_count(rest) + 2 * odd
+    ok[on] = (odd <= allowed) & ((longer + allowed & 31) <= 2 * allowed) & (pairs <= allowed * EDIT_BITS)
+    some, some_b = one < 0, one_b < 0
+    for on, way in ((some[i] if some.any() else None, 0), (some_b[j] if some_b.any() else None, 1)):
+        if on is not None:
+            on = np.flatnonzero(on & ~ok)
+            sides = (one[i[on]], two_i[on]), (one_b[j[on]], two_j[on])
+            (x, z), (y, w) = sides[way], sides[1 - way]
+            ok[on] = np.bitwise_count(x & ~y & _HALF) + np.bitwise_count(z & ~w & _REST) <= NEAR_BEGINNING
     return ok
 
 
@@ -546,12 +568,13 @@ def _hashed(rows: DataFrame, model, planes: int, tables: int, probe: bool) -> Da
     def block(m: Model, by_title: np.ndarray, by_both: np.ndarray, by_name: np.ndarray, b: pd.DataFrame) -> pd.DataFrame:
         n = len(b)
         parts, words, authors, cut = [list(x) for x in b["parts"]], [list(x) for x in b["words"]], [list(x) for x in b["authors"]], b["cut"].tolist()
+        behind_series = [probe and x != "" for x in b["series"]]
         # texts by which a row may meet: its first part, its whole title, the second part behind a series
         owner, text, toks = list(range(n)), [p[0] for p in parts], [w[0].split() for w in words]
         for i in range(n):
             if len(parts[i]) > 1:
                 owner.append(i), text.append("".join(parts[i])), toks.append(" ".join(words[i]).split())
-                if probe and b["series"].iat[i]:
+                if behind_series[i]:
                     owner.append(i), text.append(parts[i][1]), toks.append(words[i][1].split())
         owner, cut_short = np.array(owner, np.int64), np.array(cut, bool)
         marks = halves(text, cut_short[owner])
@@ -585,7 +608,7 @@ def _hashed(rows: DataFrame, model, planes: int, tables: int, probe: bool) -> Da
         for some, probes in ((np.flatnonzero(~odd[of] | (not probe)), PROBES if probe else 1), (np.flatnonzero(odd[of] & probe), MORE_PROBES)):
             add(of[some], probed(both[some], probes), numbers, of[some])
         # whatever the vectors
-        shared = [(i, k, s) for i in range(n) for k, s in shared_keys(parts[i], authors[i], not probe, probe and b["series"].iat[i] != "")]
+        shared = [(i, k, s) for i in range(n) for k, s in shared_keys(parts[i], authors[i], not probe, behind_series[i])]
         by = np.array([i for i, _, _ in shared], np.int64)
         known: dict[str, int] = {}
         which = [known.setdefault(s, len(known)) for _, _, s in shared]
@@ -616,23 +639,28 @@ def meetings(keys: DataFrame, parts: int) -> DataFrame:
         if whole is None or not whole.num_rows:
             return
         key, sid, one, two = (whole.column(c).to_numpy() for c in ("key", "sid", "one", "two"))
-        probe = two < 0
+        probe, two = two < 0, two & np.int64((1 << 63) - 1)
         b = np.flatnonzero(~probe)
         b, m = b[np.argsort(key[b], kind="stable")], np.flatnonzero(probe)
         b_key, b_one, b_two, b_sid = key[b], one[b], two[b], sid[b]
         low = np.searchsorted(b_key, key[m], "left")
         n = np.searchsorted(b_key, key[m], "right") - low
         m, low, n = m[n > 0], low[n > 0], n[n > 0]
+        letters_m, letters_b, cut_m, cut_b = (two[m] >> 26).astype(np.uint32), (b_two >> 26).astype(np.uint32), one[m] < 0, b_one < 0
+        any_cut = bool(cut_m.any() or cut_b.any())
         names, code = np.unique(sid, return_inverse=True)
         b_code, met = code[b], []
         ends, at = np.cumsum(n), 0
         while at < len(m):  # so many bucket mates at once, or those of one row
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
             k = np.repeat(np.arange(at, to), n[at:to])
-            j = low[k] + np.arange(len(k)) - np.repeat(ends[at:to] - n[at:to] - (ends[at] - n[at]), n[at:to])
-            i = m[k]
-            ok = alike(one[i], two[i] & np.int64((1 << 63) - 1), b_one[j], b_two[j])
-            met.append(np.unique(b_code[j[ok]] * len(names) + code[i[ok]]))
+            j = np.arange(len(k)) + (low[at:to] - (ends[at:to] - n[at:to] - (ends[at] - n[at])))[k - at]
+            some = np.bitwise_count(letters_m[k] ^ letters_b[j]) <= 6  # what no other test can save is left out first
+            if any_cut:
+                some |= cut_m[k] | cut_b[j]
+            i, j = m[k[some]], j[some]
+            ok = alike(one, two, b_one, b_two, i, j)
+            met.append(b_code[j[ok]] * len(names) + code[i[ok]])
             at = to
         if met:
             x, y = divmod(np.unique(np.concatenate(met)), len(names))
@@ -718,10 +746,11 @@ def matches(books: DataFrame, metas: DataFrame) -> DataFrame:
     all_of = lambda p: F.array_join(f"{p}_parts", "")
 
     # records with all letters of a book's title: they need no vectors to meet it
-    common = ~F.pmod(F.crc32(all_of("m").cast("binary")), F.lit(COUNT_BUCKETS)).isin(hot) if hot else F.lit(True)
+    common = lambda p: F.pmod(F.crc32(F.array_join(f"{p}parts", "").cast("binary")), F.lit(COUNT_BUCKETS)).isin(hot) if hot else F.lit(False)
+    titled = lambda df, p: df.select(F.col("sid").alias(p), F.array_join("parts", "").alias(f"{p}_whole"), F.get("parts", F.lit(0)).alias(f"{p}_first"), F.get("parts", F.lit(1)).alias(f"{p}_second"), F.col("cut").alias(f"{p}_cut"), common("").alias(f"{p}_common"))
     volumes = F.when((F.col("m_volume") >= 0) | (F.col("b_volume") >= 0), _volume("m") == _volume("b")).otherwise(F.lit(True))
     keyed = lambda df, p: df.withColumn("letters", F.xxhash64(all_of(p), f"{p}_about"))
-    equal = keyed(m_side, "m").where(common).join(keyed(b_side, "b").hint("merge"), "letters").where((all_of("m") == all_of("b")) & volumes)
+    equal = keyed(m_side, "m").where(~common("m_")).join(keyed(b_side, "b").hint("merge"), "letters").where((all_of("m") == all_of("b")) & volumes)
     exact = written(paired(equal), "exact")
     # no other book can rank above the best of those, and all that rank as high have the same letters: such records need not be looked up further
     most = (_volume("m") >= 0).cast("int") + (F.col("m_series") != "").cast("int")
@@ -737,8 +766,8 @@ def matches(books: DataFrame, metas: DataFrame) -> DataFrame:
         met = written(meetings(keys, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((16 * n_books + 60 * n_metas) / GROUP_ROWS))), "met")
         gc.collect()
         spark.sparkContext._jvm.System.gc()  # else the shuffled buckets stay on the disks
-        pairs = met.join(m_side.hint("merge"), "m").join(b_side.hint("merge"), "b").where(_near() & ~((all_of("m") == all_of("b")) & common))
-        out = written(paired(pairs), "scored")
+        pairs = met.join(titled(m_rows, "m").hint("merge"), "m").join(titled(b_rows, "b").hint("merge"), "b").where(_near() & ~((F.col("m_whole") == F.col("b_whole")) & ~F.col("m_common"))).select("b", "m")
+        out = written(paired(pairs.join(m_side.hint("merge"), "m").join(b_side.hint("merge"), "b")), "scored")
         discard(met)
         return out
 
@@ -783,12 +812,11 @@ def _volume(p: str) -> Column:
 
 def _near() -> Column:
     """Whether the comparison may allow the titles of a pair; a swap counts as two edits here."""
-    m, b = ((F.array_join(f"{p}_parts", ""), F.get(f"{p}_parts", F.lit(0))) for p in "mb")
+    m, b = ((F.col(f"{p}_whole"), F.col(f"{p}_first")) for p in "mb")
     n = lambda x, y: F.least(F.length(x), F.length(y))
     edited = lambda x, y: F.when(n(x, y) < 5, x == y).when(n(x, y) < 9, F.levenshtein(x, y, 2) >= 0).when(n(x, y) < 16, F.levenshtein(x, y, 4) >= 0).otherwise(F.levenshtein(x, y, 6) >= 0)
     begins = lambda p, x, y: F.col(f"{p}_cut") & (F.levenshtein(x, F.substr(y, F.lit(1), F.length(x)), 4) >= 0)
-    second = F.get("m_parts", F.lit(1))
-    return edited(m[0], b[0]) | edited(m[1], b[1]) | F.coalesce(edited(second, b[1]), F.lit(False)) | begins("m", m[0], b[0]) | begins("b", b[0], m[0])
+    return edited(m[0], b[0]) | edited(m[1], b[1]) | F.coalesce(edited(F.col("m_second"), b[1]), F.lit(False)) | begins("m", m[0], b[0]) | begins("b", b[0], m[0])
 
 
 def _curve(scored: DataFrame, b_ids: DataFrame, m_ids: DataFrame) -> np.ndarray:
