@@ -762,6 +762,8 @@ def matches(books: DataFrame, metas: DataFrame) -> DataFrame:
 
     def searched(rows: DataFrame) -> DataFrame:
         """Pairs of rows that meet in a bucket, compared, but for those of equal letters."""
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # else the shuffles of the rows stay on the disks
         keys = _hashed(b_rows, model, planes, tables, False).unionByName(_hashed(rows, model, planes, tables, True))
         met = written(meetings(keys, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((16 * n_books + 60 * n_metas) / GROUP_ROWS))), "met")
         gc.collect()
