@@ -124,12 +124,19 @@ def within(a: str, b: str, k: int) -> bool:
         return True
     if abs(len(a) - len(b)) > k or not k:
         return False
-    while a and b and a[0] == b[0]:
-        a, b = a[1:], b[1:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
+    i, n = 0, min(len(a), len(b))
+    while i < n and a[i] == b[i]:
+        i += 1
+    j = -1
+    while j >= i - n and a[j] == b[j]:
+        j -= 1
+    a, b = a[i : len(a) + j + 1], b[i : len(b) + j + 1]
     if not a or not b:
         return len(a) + len(b) <= k
+    if k == 1:  # nothing else is left than one letter for another, or a swap
+        return len(a) == len(b) and (len(a) == 1 or len(a) == 2 and a == b[::-1])
+    if len(set(a) ^ set(b)) > 2 * k:
+        return False
     far = k + 1
     before, prev = {}, {j: j for j in range(min(len(b), k) + 1)}
     for i, x in enumerate(a, 1):

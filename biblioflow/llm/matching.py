@@ -142,7 +142,7 @@ def title_parts(title: str | None, series: str | None = None) -> tuple[list[str]
 
 def author_key(name: str) -> str:
     """Tokens of a name, the family name first where that is known."""
-    toks, lead, kind = parse(_ROLE.sub(" ", name))
+    toks, lead, kind = parse(_ROLE.sub(" ", name) if "(" in name else name)
     return f"{kind[0]}{max(lead, 0)} " + " ".join(toks) if toks else ""
 
 
@@ -250,11 +250,10 @@ class Model:
         """Vectors of tokens that have no place yet."""
         for start in range(0, len(tokens), 2000):
             some = tokens[start : start + 2000]
-            first, lists = len(self.at), [grams_of(w) for w in some]
-            n = np.fromiter(map(len, lists), np.int64, len(lists))
+            first, (grams, n) = len(self.at), grams_of(some)
             while first + len(some) > len(self.table):
                 self.table, self.rarity = np.concatenate((self.table, np.zeros_like(self.table))), np.concatenate((self.rarity, np.zeros_like(self.rarity)))
-            self.table[first : first + len(some)] = _unit(np.add.reduceat(self.grams[np.concatenate(lists)], np.cumsum(n) - n))
+            self.table[first : first + len(some)] = _unit(_segments(self.grams, grams, n))
             self.rarity[first : first + len(some)] = [self.rare(w) for w in some]
             self.at.update(zip(some, range(first, first + len(some))))
 
@@ -266,18 +265,27 @@ class Model:
             self._place(list(new))
         flat = np.array([at[w] for ws in lists for w in ws], dtype=np.int64)
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        out = np.zeros((len(lists), DIMS), np.float32)
-        if len(flat):
-            weight = self.rarity[flat] ** (3 if names else 1)
-            some = np.flatnonzero(sizes)
-            out[some] = np.add.reduceat(self.table[flat] * weight[:, None], (np.cumsum(sizes) - sizes)[some])
-        return out
+        return _segments(self.table, flat, sizes, self.rarity[flat] ** (3 if names else 1))
 
     def vectors(self, lists: list[list[str]], names: bool = False) -> np.ndarray:
         """Unit vectors of token lists: of titles, or of names."""
         return _unit(_unit(self._sums(lists, int(names))) - self.middle[int(names)])
 
 
+def _segments(rows: np.ndarray, at: np.ndarray, sizes: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """Sums of rows[at], weighted, over segments of the sizes, one after the other: the k-th row of all segments at once."""
+    out = np.zeros((len(sizes), rows.shape[1]), np.float32)
+    order, first = np.argsort(-sizes, kind="stable"), np.cumsum(sizes) - sizes
+    longer = len(sizes) - np.cumsum(np.bincount(sizes, minlength=1))  # segments of more than k rows
+    for k, n in enumerate(longer.tolist()):
+        if n:
+            some = first[order[:n]] + k
+            out[:n] += rows[at[some]] if weight is None else rows[at[some]] * weight[some][:, None]
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     n = np.sqrt((x * x).sum(axis=1, keepdims=True))
     return x / np.where(n == 0, 1, n)
@@ -289,22 +297,46 @@ def name_tokens(author: str) -> list[str]:
     return [t for t in toks if len(t) > 1] or toks
 
 
-_GRAM: dict[str, int] = {}
+def _gram(g: str) -> int:
+    return zlib.crc32("".join(sorted(g)).encode()) % GRAM_BUCKETS
+
 
+@lru_cache(1)
+def _ascii_grams() -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of ASCII letters and of their pairs."""
+    some = list(map(chr, range(128)))
+    return np.array([_gram(c) for c in some]), np.array([[_gram(c + d) for d in some] for c in some])
 
-def grams_of(token: str) -> list[int]:
-    """Buckets of a token's letters and of its pairs of letters at most one apart, in either order."""
-    s, out = f"<{token}>", []
-    for g in (*map("".join, zip(s, s[1:])), *map("".join, zip(s, s[2:])), *token):
-        bucket = _GRAM.get(g)
-        if bucket is None:
-            if len(_GRAM) > 300_000:
-                _GRAM.clear()
-            bucket = _GRAM[g] = zlib.crc32("".join(sorted(g)).encode()) % GRAM_BUCKETS
-        out.append(bucket)
+
+def _bucket(code: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
+    """Buckets of letters, or of pairs of letters in either order."""
+    one, two = _ascii_grams()
+    plain = code < 128 if other is None else (code < 128) & (other < 128)
+    out = one[np.where(plain, code, 0)] if other is None else two[np.where(plain, code, 0), np.where(plain, other, 0)]
+    if not plain.all():
+        on = np.flatnonzero(~plain)
+        both, which = np.unique(code[on] if other is None else code[on] << 32 | other[on], return_inverse=True)
+        out[on] = np.array([_gram(chr(x) if other is None else chr(x >> 32) + chr(x & 0xFFFFFFFF)) for x in both.tolist()])[which]
     return out
 
 
+def grams_of(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the tokens' letters and of their pairs of letters at most one apart, in either order, one token after the other; how many each has."""
+    n = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    code = np.frombuffer("".join(f"<{w}>" for w in tokens).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    sizes = 3 * n + 1
+    to = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(n + 2) - (n + 2)), n + 2) + np.arange(len(code))  # of a token's first letters, its first pairs
+    left = np.repeat(np.cumsum(n + 2), n + 2) - np.arange(len(code)) - 1  # letters behind
+    length = np.repeat(n, n + 2)
+    out = np.empty(int(sizes.sum()), np.int64)
+    at = np.flatnonzero(left >= 1)
+    out[to[at]] = _bucket(code[at], code[at + 1])
+    at = np.flatnonzero(left >= 2)
+    out[to[at] + length[at] + 1] = _bucket(code[at], code[at + 2])
+    out[to[at] + 2 * length[at] + 1] = _bucket(code[at + 1])
+    return out, sizes
+
+
 class Walks:
     """Counts of what random walks over the graph record - attribute - token see, of a fixed size.
 
@@ -329,9 +361,8 @@ class Walks:
         if not flat:
             return
         words = list(at)
-        grams = [grams_of(w) for w in words]
-        n_grams = np.fromiter(map(len, grams), np.int64, len(grams))
-        gram, gram_at = np.concatenate(grams), np.cumsum(n_grams) - n_grams
+        gram, n_grams = grams_of(words)
+        gram_at = np.cumsum(n_grams) - n_grams
         context = np.array([zlib.crc32(w.encode()) % CONTEXTS for w in words])
         rarity = np.array([self.model.rare(w) for w in words])
         flat, sizes, of_record, kinds = np.array(flat), np.array(sizes), np.array(of_record), np.array(kinds)
@@ -364,6 +395,25 @@ class Walks:
         self.seen += np.bincount(cell, np.repeat(times / n, n), GRAM_BUCKETS * CONTEXTS)
 
 
+def listed(s: str) -> list[str]:
+    return s.split(BREAK) if s else []
+
+
+def texts(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns whose lists are joined by BREAK."""
+    return df.select(*(F.array_join(c, BREAK).alias(c) if kind.startswith("array") else F.col(c) for c, kind in df.select(*columns).dtypes))
+
+
+def summed(rows: DataFrame, kind: type, total_as: type) -> dict[int, np.ndarray]:
+    """Sums of arrays by slice; what the driver gets has a fixed size. rows: (slice, told), compressed arrays of a kind."""
+
+    def total(b: pd.DataFrame) -> pd.DataFrame:
+        told = sum(np.frombuffer(zlib.decompress(x), kind).astype(total_as) for x in b["told"])
+        return pd.DataFrame({"slice": b["slice"].iloc[:1], "told": [zlib.compress(told.astype(kind).tobytes(), 1)]})
+
+    return {r["slice"]: np.frombuffer(zlib.decompress(r["told"]), kind) for r in rows.groupBy("slice").applyInPandas(total, "slice int, told binary").collect()}
+
+
 def walked(rows: DataFrame, model) -> tuple[np.ndarray, np.ndarray]:
     """(seen, share) of walks from every row; what the driver gets has a fixed size."""
 
@@ -372,17 +422,13 @@ def walked(rows: DataFrame, model) -> tuple[np.ndarray, np.ndarray]:
         for b in batches:
             records = []
             for words, authors, series in zip(b["words"], b["authors"], b["series"]):
-                names = [name_tokens(a) for a in authors]
-                records.append(([" ".join(words).split(), *names, series.split()], 0, range(1, len(names) + 1)))
+                names = [name_tokens(a) for a in listed(authors)]
+                records.append(([words.split(), *names, series.split()], 0, range(1, len(names) + 1)))
             w.add(records)
         if w.records.any():
             yield pd.DataFrame([(k, zlib.compress(x.astype(np.float32).tobytes(), 1)) for k, x in enumerate((*np.split(w.seen, SLICES), w.share.ravel(), w.records))], columns=["slice", "told"])
 
-    def total(b: pd.DataFrame) -> pd.DataFrame:
-        told = sum(np.frombuffer(zlib.decompress(x), np.float32).astype(np.float64) for x in b["told"])
-        return pd.DataFrame({"slice": b["slice"].iloc[:1], "told": [zlib.compress(told.astype(np.float32).tobytes(), 1)]})
-
-    got = {r["slice"]: np.frombuffer(zlib.decompress(r["told"]), np.float32) for r in rows.select("words", "authors", "series").mapInPandas(walk, "slice int, told binary").groupBy("slice").applyInPandas(total, "slice int, told binary").collect()}
+    got = summed(texts(rows, "words", "authors", "series").mapInPandas(walk, "slice int, told binary"), np.float32, np.float64)
     if not got:
         return np.zeros((GRAM_BUCKETS, CONTEXTS)), np.zeros((2, GRAM_BUCKETS))
     return np.concatenate([got[k] for k in range(SLICES)]).reshape(GRAM_BUCKETS, CONTEXTS), got[SLICES].reshape(2, -1) / np.maximum(got[SLICES + 1], 1)[:, None]
@@ -405,18 +451,18 @@ def trained(seen: np.ndarray, seed: int = 5, rounds: int = ROUNDS) -> np.ndarray
 
 
 def features(df: DataFrame, id_col: str) -> DataFrame:
-    """(id, publisher, year, parts, words, volume, series_no, cut, about, authors, series) of every record with a title."""
+    """(id, publisher, year, parts, words, volume, series_no, cut, about, authors, series) of every record with a title. Parts, words and authors are joined by BREAK."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: dict[str, str] = {}
         for b in batches:
             out = []
-            for i, title, authors, series, index, publisher, year in zip(*(b[c] for c in ("id", "title", "authors", "series", "series_index", "publisher", "year"))):
+            for i, title, authors, series, index, publisher, year in zip(*(b.column(c).to_pylist() for c in ("id", "title", "authors", "series", "series_index", "publisher", "year"))):
                 parts, words, volume, cut, about = title_read(title, series)
                 if not parts:
                     continue
                 named = []
-                for a in authors if authors is not None else []:
+                for a in authors or ():
                     if a is None or ("(" in a and _ROLE.search(a) and len(authors) > 1):
                         continue
                     if a not in keys:
@@ -427,15 +473,18 @@ def features(df: DataFrame, id_col: str) -> DataFrame:
                         named.append(keys[a])
                 own = re.sub(r"\W+", " ", _ARTICLE.sub("", letters(plain(series)))) if series else ""
                 index = int(index) if index is not None and index == index and 0 < index < 1 << 31 and index == int(index) else -1
-                out.append((i, publisher, year, parts, words, volume, index, cut, about, sorted(named), own.strip()))
-            yield pd.DataFrame(out, columns=["id", "publisher", "year", *ATTRIBUTES])
+                out.append((i, publisher, year, BREAK.join(parts), BREAK.join(words), volume, index, cut, about, BREAK.join(sorted(named)), own.strip()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), kinds)], names=["id", "publisher", "year", *ATTRIBUTES])
 
+    kinds = [pa.int64(), *[pa.string()] * 4, *[pa.int32()] * 2, *[pa.bool_()] * 2, *[pa.string()] * 2]
     evidence = [F.lower(F.trim(F.coalesce("publisher", F.lit("")))).alias("publisher"), F.substring(F.coalesce("pubdate", F.lit("")), 1, 4).alias("year")]
-    schema = "id bigint, publisher string, year string, parts array<string>, words array<string>, volume int, series_no int, cut boolean, about boolean, authors array<string>, series string"
-    return df.select(F.col(id_col).alias("id"), "title", "authors", "series", F.col("series_index").cast("double"), *evidence).where("title is not null").mapInPandas(read, schema)
+    schema = "id bigint, publisher string, year string, parts string, words string, volume int, series_no int, cut boolean, about boolean, authors string, series string"
+    return df.select(F.col(id_col).alias("id"), "title", "authors", "series", F.col("series_index").cast("double"), *evidence).where("title is not null").mapInArrow(read, schema)
 
 
 ATTRIBUTES = ["parts", "words", "volume", "series_no", "cut", "about", "authors", "series"]
+BREAK = "\n"  # between parts, words or authors, which have letters, digits and blanks only: one text costs less to move than a list
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -529,17 +578,27 @@ def shared_keys(parts: list[str], authors: list[str], alone: bool = False, secon
 
     alone, or without authors: the whole title and its first part as well.
     """
-    ends = set()
-    for s in {"".join(parts), *parts[: 1 + second]}:  # near titles differ by 3 letters at most, so both sides have one length of ends in common
-        for h in ([4] if len(s) < 20 else []) + ([8] if len(s) >= 13 else []):
-            ends |= {("<" + s[:h], s), (">" + s[-h:], s)}
-    words: set[str] = set()
+    joined = "".join(parts)
+    ends = []
+    for s in {joined, *parts[: 1 + second]}:  # near titles differ by 3 letters at most, so both sides have one length of ends in common
+        n = len(s)
+        if n < 20:
+            ends += [(_crc("<" + s[:4]), s), (_crc(">" + s[-4:]), s)]
+        if n >= 13:
+            ends += [(_crc("<" + s[:8]), s), (_crc(">" + s[-8:]), s)]
+    codes: set[int] = set()
     for a in authors:
         toks = a.split()[1:]
-        words |= {w for w in toks if len(w) > 3} or {" " + "".join(sorted("".join(toks)))}
-    codes = [zlib.crc32(w.encode()) << 31 for w in words]
-    whole = {"".join(parts), parts[0]} if alone or not authors else ()
-    return [(w ^ zlib.crc32(e.encode()), s) for e, s in ends for w in codes] + [(zlib.crc32(f"={s}".encode()), s) for s in whole]
+        codes |= {_crc(w) << 31 for w in toks if len(w) > 3} or {_crc(" " + "".join(sorted("".join(toks)))) << 31}
+    out = [(w ^ e, s) for e, s in ends for w in codes]
+    if alone or not authors:
+        out += [(zlib.crc32(f"={s}".encode()), s) for s in {joined, parts[0]}]
+    return out
+
+
+@lru_cache(200_000)
+def _crc(s: str) -> int:
+    return zlib.crc32(s.encode())
 
 
 def _mix(key: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
@@ -548,10 +607,12 @@ def _mix(key: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
 
-def _hashed(rows: DataFrame, model, planes: int, tables: int, probe: bool) -> DataFrame:
-    """(key, sid, one, two): the buckets of every row in all tables, with neighbours if it probes, and its shared keys.
+def _hashed(rows: DataFrame, model, planes: int, tables: int, probe: bool, parts: int) -> DataFrame:
+    """(part, told): the buckets of every row in all tables, with neighbours if it probes, and its shared keys.
 
-    one, two: the letter pairs of what was hashed (halves); two is negative if the row probes.
+    told: packets of (key, sid, one, two), the keys of one of the parts in each: rows by themselves
+    would cost more to move than to make. one, two: the letter pairs of what was hashed (halves); two
+    is negative if the row probes.
     """
 
     def hash_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -561,13 +622,18 @@ def _hashed(rows: DataFrame, model, planes: int, tables: int, probe: bool) -> Da
         by_both = rng.standard_normal((DIMS, tables * planes)).astype(np.float32)
         by_name = rng.standard_normal((DIMS, HOT_PLANES)).astype(np.float32)
         for whole in batches:
-            for start in range(0, len(whole), 2000):
-                b = whole.iloc[start : start + 2000]
-                yield block(m, by_title, by_both, by_name, b)
+            if len(whole):
+                yield packets(np.concatenate([block(m, by_title, by_both, by_name, whole.iloc[start : start + 2000]) for start in range(0, len(whole), 2000)], axis=1))
+
+    def packets(told: np.ndarray) -> pd.DataFrame:
+        part = (told[0].view(np.uint64) >> np.uint64(33)).astype(np.int64) % parts
+        order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
+        told, ends = told[:, order], np.cumsum(np.bincount(part, minlength=parts))
+        return pd.DataFrame([(k, told[:, low:high].tobytes()) for k, (low, high) in enumerate(pairwise([0, *ends.tolist()])) if high > low], columns=["part", "told"])
 
-    def block(m: Model, by_title: np.ndarray, by_both: np.ndarray, by_name: np.ndarray, b: pd.DataFrame) -> pd.DataFrame:
+    def block(m: Model, by_title: np.ndarray, by_both: np.ndarray, by_name: np.ndarray, b: pd.DataFrame) -> np.ndarray:
         n = len(b)
-        parts, words, authors, cut = [list(x) for x in b["parts"]], [list(x) for x in b["words"]], [list(x) for x in b["authors"]], b["cut"].tolist()
+        (parts, words, authors), cut = ([listed(x) for x in b[c].tolist()] for c in ("parts", "words", "authors")), b["cut"].tolist()
         behind_series = [probe and x != "" for x in b["series"]]
         # texts by which a row may meet: its first part, its whole title, the second part behind a series
         owner, text, toks = list(range(n)), [p[0] for p in parts], [w[0].split() for w in words]
@@ -608,15 +674,19 @@ def _hashed(rows: DataFrame, model, planes: int, tables: int, probe: bool) -> Da
         for some, probes in ((np.flatnonzero(~odd[of] | (not probe)), PROBES if probe else 1), (np.flatnonzero(odd[of] & probe), MORE_PROBES)):
             add(of[some], probed(both[some], probes), numbers, of[some])
         # whatever the vectors
-        shared = [(i, k, s) for i in range(n) for k, s in shared_keys(parts[i], authors[i], not probe, behind_series[i])]
-        by = np.array([i for i, _, _ in shared], np.int64)
         known: dict[str, int] = {}
-        which = [known.setdefault(s, len(known)) for _, _, s in shared]
+        shared, which, times = [], [], []
+        for i in range(n):
+            own = shared_keys(parts[i], authors[i], not probe, behind_series[i])
+            shared += [k for k, _ in own]
+            which += [known.setdefault(s, len(known)) for _, s in own]
+            times.append(len(own))
+        by = np.repeat(np.arange(n), times)
         one, two = halves(list(known), np.zeros(len(known), bool))
         one = np.where(cut_short[by], one[which] | np.int64(-1 << 63), one[which])
-        add(by, np.array([k for _, k, _ in shared], np.int64)[:, None], 1 << 20, np.arange(len(by)), (one, two[which]))
+        add(by, np.array(shared, np.int64)[:, None], 1 << 20, np.arange(len(by)), (one, two[which]))
         if not found:
-            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("key", "sid", "one", "two")})
+            return np.zeros((4, 0), np.int64)
         key, row, *marks = (np.concatenate(x) for x in zip(*found))
         # volumes: rows without a number in the title may meet each other, rows of one number may meet
         volume, number_in_series, about = (b[c].to_numpy().astype(np.int64) for c in ("volume", "series_no", "about"))
@@ -625,81 +695,106 @@ def _hashed(rows: DataFrame, model, planes: int, tables: int, probe: bool) -> Da
         for keep, kind in ((volume < 0, np.full(n, -1, np.int64)), (some >= 0, some)):
             on = np.flatnonzero(keep[row])
             out.append((_mix(key[on], 2 * (kind[row[on]] + 1) + about[row[on]]), b["sid"].to_numpy()[row[on]], *(m[on] for m in marks)))
-        out = dict(zip(("key", "sid", "one", "two"), map(np.concatenate, zip(*out))))
-        return pd.DataFrame(out | {"two": out["two"] | np.int64(-1 << 63)} if probe else out)
+        out = np.concatenate([np.stack(x) for x in out], axis=1)
+        if probe:
+            out[3] |= np.int64(-1 << 63)
+        return out
 
-    return rows.select("sid", *ATTRIBUTES).mapInPandas(hash_rows, "key bigint, sid bigint, one bigint, two bigint")
+    return rows.select("sid", *ATTRIBUTES).mapInPandas(hash_rows, "part int, told binary")
 
 
 def meetings(keys: DataFrame, parts: int) -> DataFrame:
-    """(b, m): rows of the two sides that meet in a bucket and may be alike. keys: those of both sides (_hashed)."""
+    """(b, m): rows of the two sides that meet in a bucket and may be alike. keys: the packets of both sides for so many parts (_hashed)."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if whole is None or not whole.num_rows:
+        told = [np.frombuffer(x.as_buffer(), np.int64).reshape(4, -1) for b in batches for x in b.column("told")]
+        if not told:
             return
-        key, sid, one, two = (whole.column(c).to_numpy() for c in ("key", "sid", "one", "two"))
+        key, sid, one, two = np.concatenate(told, axis=1)
         probe, two = two < 0, two & np.int64((1 << 63) - 1)
-        b = np.flatnonzero(~probe)
-        b, m = b[np.argsort(key[b], kind="stable")], np.flatnonzero(probe)
-        b_key, b_one, b_two, b_sid = key[b], one[b], two[b], sid[b]
-        low = np.searchsorted(b_key, key[m], "left")
-        n = np.searchsorted(b_key, key[m], "right") - low
+        b, m = np.flatnonzero(~probe), np.flatnonzero(probe)
+        b, m = b[np.argsort(key[b], kind="stable")], m[np.argsort(key[m], kind="stable")]
+        b_key, b_one, b_two, m_key = key[b], one[b], two[b], key[m]
+        low = np.searchsorted(b_key, m_key, "left")
+        n = np.searchsorted(b_key, m_key, "right") - low
         m, low, n = m[n > 0], low[n > 0], n[n > 0]
         letters_m, letters_b, cut_m, cut_b = (two[m] >> 26).astype(np.uint32), (b_two >> 26).astype(np.uint32), one[m] < 0, b_one < 0
-        any_cut = bool(cut_m.any() or cut_b.any())
-        names, code = np.unique(sid, return_inverse=True)
-        b_code, met = code[b], []
+        some_m, some_b = bool(cut_m.any()), bool(cut_b.any())
+        met = []
         ends, at = np.cumsum(n), 0
         while at < len(m):  # so many bucket mates at once, or those of one row
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
-            k = np.repeat(np.arange(at, to), n[at:to])
-            j = np.arange(len(k)) + (low[at:to] - (ends[at:to] - n[at:to] - (ends[at] - n[at])))[k - at]
-            some = np.bitwise_count(letters_m[k] ^ letters_b[j]) <= 6  # what no other test can save is left out first
-            if any_cut:
-                some |= cut_m[k] | cut_b[j]
-            i, j = m[k[some]], j[some]
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + AT_ONCE, "right")))
+            times = n[at:to]
+            j = np.arange(ends[to - 1] - before) + np.repeat(low[at:to] - (ends[at:to] - times - before), times)
+            near = np.bitwise_count(np.repeat(letters_m[at:to], times) ^ letters_b[j]) <= 6  # what no other test can save is left out first
+            if some_m:
+                near |= np.repeat(cut_m[at:to], times)
+            if some_b:
+                near |= cut_b[j]
+            near = np.flatnonzero(near)
+            i, j = m[at + np.searchsorted(ends[at:to], before + near, "right")], j[near]
             ok = alike(one, two, b_one, b_two, i, j)
-            met.append(b_code[j[ok]] * len(names) + code[i[ok]])
+            met.append((b[j[ok]], i[ok]))
             at = to
         if met:
-            x, y = divmod(np.unique(np.concatenate(met)), len(names))
+            x, y = (sid[np.concatenate(k)] for k in zip(*met))
+            names, code = np.unique(np.concatenate((x, y)), return_inverse=True)
+            x, y = divmod(np.unique(code[: len(x)] * len(names) + code[len(x) :]), len(names))
             yield pa.RecordBatch.from_pydict({"b": names[x], "m": names[y]})
 
-    return keys.repartition(parts, "key").mapInArrow(meet, "b bigint, m bigint").distinct()
+    return keys.repartitionById(parts, "part").mapInArrow(meet, "b bigint, m bigint").distinct()
 
 
 def counted(df: DataFrame) -> np.ndarray:
     """How many rows hold a token, how many a title, and how many all letters of one, by buckets of their hash."""
-    bucket = lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(COUNT_BUCKETS)).cast("int")
-    names = F.flatten(F.transform("authors", lambda a: F.slice(F.split(a, " "), 2, 1 << 20)))
-    toks = F.array_distinct(F.transform(F.concat(F.split(F.array_join("words", " "), " "), names), bucket))
-    whole = F.array_distinct(F.transform(F.array(F.get("words", F.lit(0)), F.array_join("words", " ")), lambda w: bucket(w) + COUNT_BUCKETS))
-    all_letters = F.array(bucket(F.array_join("parts", "")) + 2 * COUNT_BUCKETS)
-    out = np.zeros((3, COUNT_BUCKETS), np.int64)
-    for r in df.select(F.explode(F.concat(toks, whole, all_letters)).alias("k")).groupBy("k").count().collect():  # 3 * COUNT_BUCKETS rows at most
-        out[divmod(r["k"], COUNT_BUCKETS)] = r["count"]
-    return out
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, known = np.zeros(3 * COUNT_BUCKETS, np.int64), {}
+        for b in batches:
+            found: list[int] = []
+            for words, authors, whole in zip(b["words"], b["authors"], b["parts"].str.replace(BREAK, "", regex=False)):
+                toks = words.replace(BREAK, " ").split(" ")
+                for a in listed(authors):
+                    toks += a.split(" ")[1:]
+                own = set()
+                for w in toks:
+                    k = known.get(w)
+                    if k is None:
+                        if len(known) > 300_000:
+                            known.clear()
+                        k = known[w] = zlib.crc32(w.encode()) % COUNT_BUCKETS
+                    own.add(k)
+                found += own
+                found += {zlib.crc32(w.encode()) % COUNT_BUCKETS + COUNT_BUCKETS for w in {words.partition(BREAK)[0], words.replace(BREAK, " ")}}
+                found.append(zlib.crc32(whole.encode()) % COUNT_BUCKETS + 2 * COUNT_BUCKETS)
+            out += np.bincount(np.array(found, np.int64), minlength=len(out))
+        if out.any():
+            yield pd.DataFrame([(k, zlib.compress(x.tobytes(), 1)) for k, x in enumerate(np.split(out, SLICES))], columns=["slice", "told"])
+
+    got = summed(texts(df, "words", "authors", "parts").mapInPandas(count, "slice int, told binary"), np.int64, np.int64)
+    return (np.concatenate([got[k] for k in range(SLICES)]) if got else np.zeros(3 * COUNT_BUCKETS, np.int64)).reshape(3, COUNT_BUCKETS)
 
 
 def cosines(m: Model, b: pd.DataFrame) -> np.ndarray:
-    """Cosine of title and author of every pair: of the likest two authors, by the first parts or the whole titles."""
+    """Cosine of title and author of every pair: of the likest two authors, by the first parts or the whole titles. b: words and authors of both sides, joined by BREAK."""
+    titles: dict[str, int] = {}
+    names: dict[str, int] = {}
     sides = []
     for p in "mb":
-        words, authors = [list(x) for x in b[f"{p}_words"]], [list(x) for x in b[f"{p}_authors"]]
-        first = m.vectors([w[0].split() for w in words])
-        longer, whole = [i for i, w in enumerate(words) if len(w) > 1], first.copy()
-        if longer:
-            whole[longer] = m.vectors([" ".join(words[i]).split() for i in longer])
-        sides.append((first, whole, m.vectors([name_tokens(x) for xs in authors for x in xs], names=True), np.cumsum([0, *map(len, authors)])))
-    (f1, w1, a1, s1), (f2, w2, a2, s2) = sides
-    title = np.maximum((f1 * f2).sum(axis=1), (w1 * w2).sum(axis=1))
-    names = np.full(len(b), -1.0, np.float32)
-    cross = [(k, i, j) for k in range(len(b)) for i in range(s1[k], s1[k + 1]) for j in range(s2[k], s2[k + 1])]
+        words = b[f"{p}_words"].tolist()
+        first = np.array([titles.setdefault(w.partition(BREAK)[0], len(titles)) for w in words], np.int64)
+        whole = np.array([titles.setdefault(w.replace(BREAK, " "), len(titles)) for w in words], np.int64)
+        sides.append((first, whole, [[names.setdefault(x, len(names)) for x in listed(a)] for a in b[f"{p}_authors"].tolist()]))
+    t, a = m.vectors([x.split() for x in titles]), m.vectors([name_tokens(x) for x in names], names=True)
+    (f1, w1, a1), (f2, w2, a2) = sides
+    title = np.maximum((t[f1] * t[f2]).sum(axis=1), (t[w1] * t[w2]).sum(axis=1))
+    likest = np.full(len(b), -1.0, np.float32)
+    cross = [(k, i, j) for k, (x, y) in enumerate(zip(a1, a2)) for i in x for j in y]
     if cross:
         k, i, j = np.array(cross).T
-        np.maximum.at(names, k, (a1[i] * a2[j]).sum(axis=1))
-    return np.where(np.diff(s1) * np.diff(s2) > 0, (title + NAMES_WEIGH**2 * names) / (1 + NAMES_WEIGH**2), title)
+        np.maximum.at(likest, k, (a[i] * a[j]).sum(axis=1))
+    return np.where(np.array([bool(x and y) for x, y in zip(a1, a2)]), (title + NAMES_WEIGH**2 * likest) / (1 + NAMES_WEIGH**2), title)
 
 
 def matches(books: DataFrame, metas: DataFrame) -> DataFrame:
@@ -714,12 +809,12 @@ def matches(books: DataFrame, metas: DataFrame) -> DataFrame:
         read = written(features(df, i).withColumn("sid", F.xxhash64(*ATTRIBUTES)), f"{p}_read")
         rows = read.groupBy("sid").agg(*(F.first(c).alias(c) for c in ATTRIBUTES), F.min(F.struct("id", told("publisher"), told("year"))).alias("x"))  # equal by sid
         rows = written(rows.select("sid", *ATTRIBUTES, "x.publisher", "x.year"), f"{p}_rows")
-        ids = written(read.select("id", F.col("sid").alias(p), "publisher", "year"), f"{p}_ids")
+        ids = written(read.select("id", F.col("sid").alias(p), told("publisher"), told("year")), f"{p}_ids")
         discard(read)
         sides.append((rows, ids))
     (b_rows, b_ids), (m_rows, m_ids) = sides
 
-    (counts, titles, letters_of), n_books, n_metas = counted(b_rows.unionByName(m_rows)), b_rows.select(F.sum(F.greatest(F.size("authors"), F.lit(1)))).first()[0] or 0, m_rows.count()
+    (counts, titles, letters_of), n_books, n_metas = counted(b_rows.unionByName(m_rows)), b_rows.select(F.sum(F.length("authors") - F.length(F.replace("authors", F.lit(BREAK), F.lit(""))) + 1)).first()[0] or 0, m_rows.count()
     model = Model(np.zeros((GRAM_BUCKETS, DIMS), np.float32), counts, titles, n_books + n_metas)
     blank = spark.sparkContext.broadcast(model)  # of a fixed size
     seen, share = walked(b_rows.unionByName(m_rows), blank)
@@ -735,22 +830,23 @@ def matches(books: DataFrame, metas: DataFrame) -> DataFrame:
             m = model.value
             for b in batches:
                 if len(b):
-                    told = pd.DataFrame([compared(r) for r in b.itertuples(index=False)], columns=["title_level", "author_level", "agree"], index=b.index)
+                    told = pd.DataFrame(list(map(compared, *(b[f"{p}_{c}"].tolist() for p in "mb" for c in COMPARED))), columns=["title_level", "author_level", "agree"], index=b.index)
                     told.insert(0, "cosine", cosines(m, b).astype(np.float64))
-                    yield pd.concat([b[["b", "m"]], told, b["m_authors"].map(len).eq(0).rename("lone"), b["b_authors"].map("|".join).rename("work"), b[["publisher_same", "year_same"]]], axis=1)
+                    yield pd.concat([b[["b", "m"]], told, b["m_authors"].eq("").rename("lone"), b["b_authors"].str.replace(BREAK, "|", regex=False).rename("work"), b[["publisher_same", "year_same"]]], axis=1)
 
         return pairs.mapInPandas(compare, "b bigint, m bigint, cosine double, title_level int, author_level double, agree int, lone boolean, work string, publisher_same int, year_same int")
 
     side = lambda df, p: df.select(F.col("sid").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in (*ATTRIBUTES, "publisher", "year")))
     b_side, m_side = side(b_rows, "b"), side(m_rows, "m")
-    all_of = lambda p: F.array_join(f"{p}_parts", "")
+    all_of = lambda c: F.replace(c, F.lit(BREAK), F.lit(""))
 
     # records with all letters of a book's title: they need no vectors to meet it
-    common = lambda p: F.pmod(F.crc32(F.array_join(f"{p}parts", "").cast("binary")), F.lit(COUNT_BUCKETS)).isin(hot) if hot else F.lit(False)
-    titled = lambda df, p: df.select(F.col("sid").alias(p), F.array_join("parts", "").alias(f"{p}_whole"), F.get("parts", F.lit(0)).alias(f"{p}_first"), F.get("parts", F.lit(1)).alias(f"{p}_second"), F.col("cut").alias(f"{p}_cut"), common("").alias(f"{p}_common"))
+    common = lambda whole: F.pmod(F.crc32(whole.cast("binary")), F.lit(COUNT_BUCKETS)).isin(hot) if hot else F.lit(False)
+    titled = lambda df, p: df.select(F.col("sid").alias(p), all_of("parts").alias(f"{p}_whole"), F.substring_index("parts", BREAK, 1).alias(f"{p}_first"), F.get(F.split("parts", BREAK), F.lit(1)).alias(f"{p}_second"), F.col("cut").alias(f"{p}_cut"), common(all_of("parts")).alias(f"{p}_common"))
     volumes = F.when((F.col("m_volume") >= 0) | (F.col("b_volume") >= 0), _volume("m") == _volume("b")).otherwise(F.lit(True))
-    keyed = lambda df, p: df.withColumn("letters", F.xxhash64(all_of(p), f"{p}_about"))
-    equal = keyed(m_side, "m").where(~common("m_")).join(keyed(b_side, "b").hint("merge"), "letters").where((all_of("m") == all_of("b")) & volumes)
+    m_all, b_all = all_of("m_parts"), all_of("b_parts")
+    keyed = lambda df, whole, p: df.withColumn("letters", F.xxhash64(whole, f"{p}_about"))
+    equal = keyed(m_side, m_all, "m").where(~common(m_all)).join(keyed(b_side, b_all, "b").hint("merge"), "letters").where((m_all == b_all) & volumes)
     exact = written(paired(equal), "exact")
     # no other book can rank above the best of those, and all that rank as high have the same letters: such records need not be looked up further
     most = (_volume("m") >= 0).cast("int") + (F.col("m_series") != "").cast("int")
@@ -764,8 +860,9 @@ def matches(books: DataFrame, metas: DataFrame) -> DataFrame:
         """Pairs of rows that meet in a bucket, compared, but for those of equal letters."""
         gc.collect()
         spark.sparkContext._jvm.System.gc()  # else the shuffles of the rows stay on the disks
-        keys = _hashed(b_rows, model, planes, tables, False).unionByName(_hashed(rows, model, planes, tables, True))
-        met = written(meetings(keys, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((16 * n_books + 60 * n_metas) / GROUP_ROWS))), "met")
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((16 * n_books + 60 * n_metas) / GROUP_ROWS))
+        keys = _hashed(b_rows, model, planes, tables, False, parts).unionByName(_hashed(rows, model, planes, tables, True, parts))
+        met = written(meetings(keys, parts), "met")
         gc.collect()
         spark.sparkContext._jvm.System.gc()  # else the shuffled buckets stay on the disks
         pairs = met.join(titled(m_rows, "m").hint("merge"), "m").join(titled(b_rows, "b").hint("merge"), "b").where(_near() & ~((F.col("m_whole") == F.col("b_whole")) & ~F.col("m_common"))).select("b", "m")
@@ -789,16 +886,16 @@ def matches(books: DataFrame, metas: DataFrame) -> DataFrame:
 
     # equal publishers and years count before the smallest id: each record looks its book up by both, one and none of them
     def ways(df: DataFrame) -> DataFrame:
-        p, y, none = F.col("publisher"), F.col("year"), F.lit("")
+        p, y, none = F.col("publisher"), F.col("year"), F.lit(None).cast("bigint")
         one = F.array(*(F.struct(x.alias("p"), z.alias("y"), F.lit(n).alias("same")) for x, z, n in ((p, y, 2), (p, none, 1), (none, y, 1), (none, none, 0))))
-        told = F.filter(one, lambda w: (w["p"] != "").cast("int") + (w["y"] != "").cast("int") == w["same"])
-        return df.withColumn("way", F.explode(told)).drop("publisher", "year").select("*", "way.*").drop("way")
+        some = F.col("p").isNotNull().cast("int") + F.col("y").isNotNull().cast("int")
+        return df.withColumn("way", F.explode(one)).drop("publisher", "year").select("*", "way.*").drop("way").where(some == F.col("same")).withColumns({c: F.coalesce(c, F.lit(0)) for c in "py"})
 
-    first = ways(b_ids).groupBy("b", "p", "y").agg(F.min("id").alias("book_id"))
-    kinds = m_ids.groupBy("m", "publisher", "year").agg(F.min("id").alias("least"))
-    asked = ways(kinds.select("m", "publisher", "year", F.col("publisher").alias("mp"), F.col("year").alias("my")).join(good.hint("merge"), "m"))
+    first = ways(b_ids.join(good.select("b").distinct().hint("merge"), "b", "left_semi")).groupBy("b", "p", "y").agg(F.min("id").alias("book_id"))
+    m_kinds = m_ids.select("m", "id", "publisher", "year", *(F.coalesce(c, F.lit(0)).alias(k) for k, c in (("mp", "publisher"), ("my", "year"))))
+    asked = ways(m_kinds.drop("id").distinct().join(good.hint("merge"), "m"))
     best = asked.join(first.hint("merge"), ["b", "p", "y"]).groupBy("m", "mp", "my").agg(F.max(F.struct("score", "same", "cosine", (-F.col("book_id")).alias("low"), "book_id", "confidence")).alias("x"))
-    on = m_ids.select("m", F.col("publisher").alias("mp"), F.col("year").alias("my"), F.col("id").alias("meta_id"))
+    on = m_kinds.select("m", "mp", "my", F.col("id").alias("meta_id"))
     return on.join(best.hint("merge"), ["m", "mp", "my"]).select("x.book_id", "meta_id", F.col("x.cosine").alias("cosine"), F.col("x.confidence").alias("confidence"))
 
 
@@ -818,7 +915,7 @@ def _near() -> Column:
     n = lambda x, y: F.least(F.length(x), F.length(y))
     edited = lambda x, y: F.when(n(x, y) < 5, x == y).when(n(x, y) < 9, F.levenshtein(x, y, 2) >= 0).when(n(x, y) < 16, F.levenshtein(x, y, 4) >= 0).otherwise(F.levenshtein(x, y, 6) >= 0)
     begins = lambda p, x, y: F.col(f"{p}_cut") & (F.levenshtein(x, F.substr(y, F.lit(1), F.length(x)), 4) >= 0)
-    return edited(m[0], b[0]) | edited(m[1], b[1]) | F.coalesce(edited(F.col("m_second"), b[1]), F.lit(False)) | begins("m", m[0], b[0]) | begins("b", b[0], m[0])
+    return edited(m[0], b[0]) | (~((m[0] == m[1]) & (b[0] == b[1])) & edited(m[1], b[1])) | F.coalesce(edited(F.col("m_second"), b[1]), F.lit(False)) | begins("m", m[0], b[0]) | begins("b", b[0], m[0])
 
 
 def _curve(scored: DataFrame, b_ids: DataFrame, m_ids: DataFrame) -> np.ndarray:
@@ -832,7 +929,7 @@ def _curve(scored: DataFrame, b_ids: DataFrame, m_ids: DataFrame) -> np.ndarray:
         return np.array(BELIEVED)
     # how often a book and a record drawn together agree: exactly, from how often each publisher and year occurs
     kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in enumerate(("publisher", "year")))))
-    often = [ids.select(kinds.alias("x")).select("x.*").where("value <> ''").groupBy("kind", "value").agg(F.count("*").cast("double").alias(p)) for ids, p in ((b_ids, "nb"), (m_ids, "nm"))]
+    often = [ids.select(kinds.alias("x")).select("x.*").where(F.col("value").cast("string") != "").groupBy("kind", "value").agg(F.count("*").cast("double").alias(p)) for ids, p in ((b_ids, "nb"), (m_ids, "nm"))]
     both = often[0].join(often[1].hint("merge"), ["kind", "value"], "full").groupBy("kind").agg((F.sum(F.col("nb") * F.col("nm")) / (F.sum("nb") * F.sum("nm"))).alias("rate"))
     rates = {r["kind"]: r["rate"] or 0.0 for r in both.collect()}
     x = np.stack(evidence(*(cells[c].to_numpy(float) for c in ("cosine", "title_level", "author_level", "agree")), lambda ok: ok.astype(float)), axis=1)
@@ -840,9 +937,13 @@ def _curve(scored: DataFrame, b_ids: DataFrame, m_ids: DataFrame) -> np.ndarray:
     return calibrated(x, np.where(agree < 0, np.nan, agree), [rates.get(0, 0.0), rates.get(1, 0.0)], times=cells["n"].to_numpy(float))
 
 
-def compared(r) -> tuple[int, float, int]:
-    """(title level, share of authors that meet, agreement) of a pair; 0 or less means no match."""
-    mp, bp = list(r.m_parts), list(r.b_parts)
+# what of either side is compared
+COMPARED = ["parts", "volume", "series_no", "cut", "about", "authors", "series"]
+
+
+def compared(m_parts: str, m_volume: int, m_no: int, m_cut: bool, m_about: bool, m_authors: str, m_series: str, b_parts: str, b_volume: int, b_no: int, b_cut: bool, b_about: bool, b_authors: str, b_series: str) -> tuple[int, float, int]:
+    """(title level, share of authors that meet, agreement) of a pair; 0 or less means no match. Parts and authors are joined by BREAK."""
+    mp, bp = m_parts.split(BREAK), b_parts.split(BREAK)
     fm, fb = "".join(mp), "".join(bp)
 
     def near(x: str, y: str) -> int:
@@ -856,23 +957,23 @@ def compared(r) -> tuple[int, float, int]:
 
     level = near(fm, fb)
     level = level + 1 if level else near(mp[0], bp[0])
-    if not level and len(mp) > 1 and r.m_series != "" and near(mp[1], bp[0]):
+    if not level and len(mp) > 1 and m_series != "" and near(mp[1], bp[0]):
         level = 1
-    if not level and r.m_cut and cut(fm, fb) or not level and r.b_cut and cut(fb, fm):
+    if not level and m_cut and cut(fm, fb) or not level and b_cut and cut(fb, fm):
         level = 2
-    if r.m_about != r.b_about:
+    if m_about != b_about:
         level = 0
-    ma, ba = list(r.m_authors), list(r.b_authors)
-    met = sum(any(same_author(x, y) for y in ba) for x in ma)
+    ma, ba = listed(m_authors), listed(b_authors)
+    met = sum(x in ba or any(same_author(x, y) for y in ba) for x in ma)
     authors = met / max(1, len(ma)) if ma and ba else (0.01 if not ma and level >= 3 else 0.0)
     agree = 0
-    mv, bv = (r.m_volume if r.m_volume >= 0 else r.m_series_no), (r.b_volume if r.b_volume >= 0 else r.b_series_no)
-    numbered = r.m_volume >= 0 or r.b_volume >= 0
+    mv, bv = (m_volume if m_volume >= 0 else m_no), (b_volume if b_volume >= 0 else b_no)
+    numbered = m_volume >= 0 or b_volume >= 0
     if mv >= 0 and bv >= 0:
         agree = 1 if mv == bv else (-1 if numbered else 0)
     elif numbered:
         agree = -1
-    if agree >= 0 and r.m_series and r.b_series and within(r.m_series, r.b_series, 2):
+    if agree >= 0 and m_series and b_series and within(m_series, b_series, 2):
         agree += 1
     return level, authors, agree
 

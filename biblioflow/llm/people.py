@@ -87,19 +87,27 @@ def plain(s: str) -> str:
     return s
 
 
+_AUTHOR_OR_DATES = re.compile(r"\([^)]*\bauthor[^)]*\)|\b\d{3,4}\s*-\s*(?:\d{3,4})?")
+_DEGREES = re.compile(r"\b(?:Ph\.\s?D|M\.\s?A|B\.\s?A|M\.\s?D|D\.\s?Phil)\b\.?")
+_WITHIN_WORDS, _UPPER, _TOKEN = re.compile(r"(?<=\w)[-'’](?=\w)"), re.compile(r"[^\W\d_a-z]{3,}"), re.compile(r"[^\W\d_]+")
+
+
 def parse(name: str | None) -> tuple[list[str], int, str]:
     """(tokens, how many of the first make the family name or -1 if unknown, kind) of a name."""
     if not name:
         return [], -1, "none"
     s = plain(name).replace("|", ",")
-    s = re.sub(r"\([^)]*\bauthor[^)]*\)|\b\d{3,4}\s*-\s*(?:\d{3,4})?", " ", s)
-    s = re.sub(r"\b(?:Ph\.\s?D|M\.\s?A|B\.\s?A|M\.\s?D|D\.\s?Phil)\b\.?", " ", s)
-    s = re.sub(r"(?<=\w)[-'’](?=\w)", "", s)
-    upper = [bool(re.fullmatch(r"[^\W\d_a-z]{3,}", t)) for t in re.findall(r"[^\W\d_]+", s)]
-    comma = [letters(p) for p in s.split(",")]
-    groups = [[t for t in re.findall(r"[^\W\d_]+", p) if t not in TITLES and t not in ADDED] for p in comma]
+    # each pattern is tried where it has what it cannot match without
+    if "(" in s or "-" in s:
+        s = _AUTHOR_OR_DATES.sub(" ", s)
+    if "." in s:
+        s = _DEGREES.sub(" ", s)
+    if "-" in s or "'" in s or "’" in s:
+        s = _WITHIN_WORDS.sub("", s)
+    upper = [len(t) > 2 and _UPPER.fullmatch(t) is not None for t in _TOKEN.findall(s)]
+    groups = [[t for t in _TOKEN.findall(letters(p)) if t not in TITLES and t not in ADDED] for p in s.split(",")]
     flat = [t for g in groups for t in g]
-    if sum(t in BODY_WORDS or t in _BODY_SHORT for t in flat) >= 1 and any(t in BODY_WORDS for t in flat):
+    if not BODY_WORDS.keys().isdisjoint(flat):
         return [_BODY_SHORT.get(t, t) for t in flat if t not in LIGHT_WORDS], -1, "body"
     groups = [g for g in groups if g]
     if len(groups) >= 2 and not all(t in GENERATIONS for t in groups[1]):

@@ -185,3 +185,30 @@ def test_settled_records_get_what_a_full_search_gives(spark):
     schema = "{} long, title string, authors array<string>, series string, series_index double, publisher string, pubdate string"
     found = ma.matches(spark.createDataFrame(books, schema.format("id")), spark.createDataFrame(metas, schema.format("meta_id")))
     assert {(r["book_id"], r["meta_id"]) for r in found.collect()} == {(2 * i + 1, i) for i in range(len(titles))} | {(2 * i, 100 + i) for i in range(len(titles))}
+
+
+def test_letter_groups_and_sums_of_many_at_once():
+    import zlib
+
+    tokens = ["a", "harbor", "zikova", "straße", "漢字", ""]
+    pairs = lambda s: [*map("".join, zip(s, s[1:])), *map("".join, zip(s, s[2:]))]
+    grams, sizes = ma.grams_of(tokens)
+    expected = [[zlib.crc32("".join(sorted(g)).encode()) % ma.GRAM_BUCKETS for g in (*pairs(f"<{w}>"), *w)] for w in tokens]
+    assert sizes.tolist() == list(map(len, expected)) and grams.tolist() == [g for e in expected for g in e]
+    rows, weight = np.arange(12, dtype=np.float32).reshape(6, 2), np.array([1, 2, 1, 1], np.float32)
+    assert ma._segments(rows, np.array([5, 0, 1, 2]), np.array([1, 0, 3]), weight).tolist() == [[10, 11], [0, 0], [0 + 2 + 4, 2 + 3 + 5]]
+
+
+def test_keys_move_in_packets(spark):
+    from pyspark.sql import functions as F
+
+    parts, n = 7, 300
+    rows = spark.range(n, numPartitions=2).select(F.col("id").alias("sid"), F.concat(F.lit("harborunder"), F.col("id")).alias("parts"), F.concat(F.lit("harbor under "), F.col("id")).alias("words"), F.lit(-1).alias("volume"), F.lit(-1).alias("series_no"), F.lit(False).alias("cut"), F.lit(False).alias("about"), F.lit("p1 brekilun ada").alias("authors"), F.lit("").alias("series"))
+    model = ma.Model(np.zeros((ma.GRAM_BUCKETS, ma.DIMS), np.float32), *np.zeros((2, ma.COUNT_BUCKETS), np.int64), n)
+    model = spark.sparkContext.broadcast(model.learned(np.random.default_rng(1).standard_normal((ma.GRAM_BUCKETS, ma.DIMS)).astype(np.float32), np.zeros((2, ma.GRAM_BUCKETS), np.float32)))
+    sides = [ma._hashed(rows, model, 6, 2, probe, parts) for probe in (False, True)]
+    told = [r for side in sides for r in side.collect()]
+    assert len(told) <= 2 * 2 * parts  # not a row for every key
+    assert {s for r in told for s in np.frombuffer(r["told"], np.int64).reshape(4, -1)[1].tolist()} == set(range(n))
+    met = {(r["b"], r["m"]) for r in ma.meetings(sides[0].unionByName(sides[1]), parts).collect()}
+    assert {(i, i) for i in range(n)} <= met
