@@ -42,6 +42,7 @@ from __future__ import annotations
 import gc
 import math
 import re
+import time
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -856,18 +857,25 @@ def matches(books: DataFrame, metas: DataFrame) -> DataFrame:
     planes = max(4, math.ceil(math.log2(max(2, n_books / BUCKET))))
     tables = tables_for(planes)
 
+    def collected() -> None:
+        """Shuffles that nothing reads any more are deleted; what the first collection lets go is found by the second."""
+        for _ in range(2):
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)  # files are deleted in the background
+
     def searched(rows: DataFrame) -> DataFrame:
         """Pairs of rows that meet in a bucket, compared, but for those of equal letters."""
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()  # else the shuffles of the rows stay on the disks
+        collected()  # else the shuffles of the rows stay on the disks
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((16 * n_books + 60 * n_metas) / GROUP_ROWS))
         keys = _hashed(b_rows, model, planes, tables, False, parts).unionByName(_hashed(rows, model, planes, tables, True, parts))
         met = written(meetings(keys, parts), "met")
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()  # else the shuffled buckets stay on the disks
+        collected()  # else the shuffled buckets stay on the disks
         pairs = met.join(titled(m_rows, "m").hint("merge"), "m").join(titled(b_rows, "b").hint("merge"), "b").where(_near() & ~((F.col("m_whole") == F.col("b_whole")) & ~F.col("m_common"))).select("b", "m")
         out = written(paired(pairs.join(m_side.hint("merge"), "m").join(b_side.hint("merge"), "b")), "scored")
         discard(met)
+        del keys, pairs, met
+        collected()  # and those of the pairs
         return out
 
     scored = exact.unionByName(searched(m_rows.join(settled.select(F.col("m").alias("sid")).hint("merge"), "sid", "left_anti")))
